@@ -111,7 +111,7 @@ def _units_sql(tail: str) -> str:
         clean = f"regexp_replace({clean}, {_text(pattern)}, ' ', 'g')"
     unquoted = f"regexp_replace({clean}, {_text(chr(91) + chr(92) + '[' + chr(92) + '](){}' + chr(34) + chr(39) + chr(93))}, ' ', 'g')"
     said = {d: "|".join(s for dd, s in (("speed", r"kilometres per hour|miles per hour|milles a l'heure|metres per second|km por hora|km/h|mi/h|mph|knots"), ("length", r"centimetros|centimetres|dezimetern|metres|metros|pies|feet|ft|cm")) if dd == d) for d in ("speed", "length")}
-    last = lambda d: f"list_last(regexp_extract_all({plain('remarks')}, {_text(chr(92) + 'b(' + said[d] + ')' + chr(92) + 'b')}))"
+    last = lambda d: f"list_last(regexp_extract_all({'' if d == 'speed' else 'replace('}{plain('remarks')}{'' if d == 'speed' else ', $$metres per second$$, $$$$)'}, {_text(chr(92) + 'b(' + said[d] + ')' + chr(92) + 'b')}))"
     return rf"""
 WITH alias(dimension, alias, unit, factor) AS (VALUES {aliases}),
 said AS (SELECT city, 'speed' AS dimension, {last('speed')} AS word FROM extracts UNION ALL
