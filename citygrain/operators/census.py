@@ -90,15 +90,21 @@ def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50) ->
             yield batch
 
     rows = rows.mapInPandas(kernel, rows.schema)
-    shared = [c for c in worked if c in zones.columns]
-    totals = zones.groupBy(ZONE).agg(*[F.first(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"_z_{c}") for c in shared])
-    sums = rows.groupBy(ZONE).agg(*[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in shared], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s_{c}") for c in shared], *[F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(TOTAL))), F.lit(0.0)).alias(f"_p_{c}") for c in shared])
-    out = rows.join(broadcast_if_small(sums.join(totals, ZONE)), ZONE, "left")
-    for c in shared:
+    out = zone_remainder(zones, rows, ZONE, TOTAL, [c for c in worked if c in zones.columns])
+    return out.select(*[F.col(c).alias(c if c == "geometry" else c.lower()) for c in blocks.columns])
+
+
+def zone_remainder(zones: DataFrame, rows: DataFrame, zone: str, total: str, columns: list[str]) -> DataFrame:
+    """``rows`` with each zone's remainder given to its missing values: whole to a single one, else by the rows' ``total``."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    totals = zones.groupBy(zone).agg(*[F.first(number(c)).alias(f"_z_{c}") for c in columns])
+    sums = rows.groupBy(zone).agg(*[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s_{c}") for c in columns], *[F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(total))), F.lit(0.0)).alias(f"_p_{c}") for c in columns])
+    out = rows.join(broadcast_if_small(sums.join(totals, zone)), zone, "left")
+    for c in columns:
         rest = F.col(f"_z_{c}") - F.col(f"_s_{c}")
-        share = F.when(F.col(f"_n_{c}") == 1, rest).when((F.col(f"_n_{c}") > 1) & (F.col(f"_p_{c}") > 0), rest * F.col(TOTAL) / F.col(f"_p_{c}"))
+        share = F.when(F.col(f"_n_{c}") == 1, rest).when((F.col(f"_n_{c}") > 1) & (F.col(f"_p_{c}") > 0), rest * F.col(total) / F.col(f"_p_{c}"))
         out = out.withColumn(c, F.coalesce(F.col(c), share))
-    return out.select(*[F.col(c).alias(c if c == "geometry" else c.lower()) for c in blocks.columns])
+    return out.select(*rows.columns)
 
 
 def unknown_zones(zones: DataFrame, blocks: DataFrame, column: str = "cve_ageb") -> DataFrame:

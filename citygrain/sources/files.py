@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INVENTORY = "year int, month int, data_id int, able_to_download double, download_method string, interpolate int"
-GEOJSON = "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties map<string,string>"
+GEOJSON = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>>"
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +88,8 @@ def read_rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> Data
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, geometry) of polygon features, one feature a line or one collection a file."""
-    raw = spark.read.option("multiLine", True).schema(f"type string, features array<struct<{GEOJSON.replace(' ', ':', 1).replace(', geometry ', ',geometry:').replace(', properties ', ',properties:')}>>").json(path)
+    """(properties, geometry) of polygon features, one collection a file."""
+    raw = spark.read.option("multiLine", True).schema(GEOJSON).json(path)
     ring = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return raw.select(F.explode("features").alias("f")).select("f.properties", ring.alias("geometry"))
 
