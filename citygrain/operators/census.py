@@ -49,7 +49,7 @@ RULES = _rules()
 
 def apply_equations(rows: pd.DataFrame, passes: int = 50) -> pd.DataFrame:
     """Fill nulls by the equations, in order, pass by pass until nothing changes. Rows do not see each other."""
-    rows = rows.copy()
+    rows = rows.astype(float)
     for _ in range(passes):
         before = int(rows.isna().to_numpy().sum())
         for target, whole, parts, known in RULES:
