@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygrain.operators.skew import broadcast_if_small
-
 # Dimension, unit, factor to the base unit, offset, spellings (lower case, no accents, blanks or full
 # stops). Base units: km/h and metre.
 UNITS = [
@@ -43,9 +41,10 @@ COUNT = r"\d+\s*(?:lanes?|carril(?:es)?|voies?|spur(?:en)?|faixas?)\b"
 
 
 def alias_table(spark: SparkSession, units: list[tuple] = UNITS) -> DataFrame:
-    """(dimension, alias, unit, factor, shift): one row per spelling; a fixed table of under 200 rows."""
-    rows = [(d, a, u, f, o) for d, u, f, o, names in units for a in names.split()]
-    return spark.createDataFrame(rows, "dimension string, alias string, unit string, factor double, shift double")
+    """(dimension, alias, unit, factor, shift): one row per spelling; a fixed inline table of under 200 rows."""
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({text(d)}, {text(a)}, {text(u)}, {f!r}D, {o!r}D)" for d, u, f, o, names in units for a in names.split())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(dimension, alias, unit, factor, shift)")
 
 
 def plain_text(text: Column) -> Column:
@@ -102,20 +101,22 @@ def quantities(df: DataFrame, id_col: str, source_col: str, fields: dict[str, st
         clean(plain_text(F.col("given"))).alias("_given"), F.when(feet, F.lit("ft")).otherwise(clean(suffix)).alias("_suffix"),
         clean(F.regexp_extract("piece", r"^([a-z][a-z./]*)\s+\d", 1)).alias("_prefix"),
     )
-    aliases = alias_table(df.sparkSession).select("dimension", "alias", "unit")
-    for name in ("given", "suffix", "prefix"):
-        known = aliases.withColumnsRenamed({"alias": f"_{name}", "unit": f"_unit_{name}"})
+    aliases = alias_table(df.sparkSession).select("dimension", "alias", F.struct("unit", "factor", "shift").alias("u"))
+    for name in ["suffix", "prefix"] + ["given"] * bool(unit_cols):
+        known = aliases.withColumnsRenamed({"alias": f"_{name}", "u": f"_unit_{name}"})
         long = long.join(F.broadcast(known), ["dimension", f"_{name}"], "left")
-    of_source = broadcast_if_small(defaults.select(F.col(source_col).alias("_source"), "dimension", F.col("default_unit").alias("_unit_default")))
+    # A row per source and dimension; Spark broadcasts it by its size, and shuffles it if there are very many sources.
+    units = alias_table(df.sparkSession).groupBy("dimension", "unit").agg(F.first(F.struct("unit", "factor", "shift")).alias("_unit_default"))
+    of_source = defaults.select(F.col(source_col).alias("_source"), "dimension", F.col("default_unit").alias("unit")).join(F.broadcast(units), ["dimension", "unit"]).drop("unit")
     long = long.join(of_source, ["_source", "dimension"], "left")
     base = F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair])[F.col("dimension")]
+    given = F.col("_unit_given") if unit_cols else F.lit(None).cast("struct<unit:string,factor:double,shift:double>")
     text_unit = F.coalesce("_unit_suffix", "_unit_prefix")
-    unit = F.coalesce("_unit_given", text_unit, "_unit_default", base)
-    origin = F.when(F.col("_unit_given").isNotNull(), "column").when(text_unit.isNotNull(), "text").when(F.col("_unit_default").isNotNull(), "source").otherwise("base")
-    factors = alias_table(df.sparkSession).groupBy("dimension", "unit").agg(F.first("factor").alias("factor"), F.first("shift").alias("shift"))
-    long = long.select(id_col, "field_name", "seq", "number", unit.alias("unit"), origin.alias("unit_from"), base.alias("base_unit"), "dimension", "_extra")
-    out = long.join(F.broadcast(factors), ["dimension", "unit"], "left")
-    return out.select(id_col, "field_name", "seq", "number", "unit", "unit_from", (F.col("number") * F.col("factor") + F.col("shift") + F.col("_extra")).alias("value"), "base_unit")
+    origin = F.when(given.isNotNull(), "column").when(text_unit.isNotNull(), "text").when(F.col("_unit_default").isNotNull(), "source").otherwise("base")
+    unit = F.coalesce(given, text_unit, F.col("_unit_default"), F.struct(base.alias("unit"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("shift")))
+    out = long.select(id_col, "field_name", "seq", "number", unit.alias("_u"), origin.alias("unit_from"), base.alias("base_unit"), "_extra")
+    value = (F.col("number") * F.col("_u.factor") + F.col("_u.shift") + F.col("_extra")).alias("value")
+    return out.select(id_col, "field_name", "seq", "number", F.col("_u.unit").alias("unit"), "unit_from", value, "base_unit")
 
 
 def in_foreign_units(found: DataFrame, id_col: str) -> DataFrame:
