@@ -8,7 +8,6 @@ the whole parent group, else of the same unit at other times.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,41 +32,45 @@ def zone_code(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Prototypes:
-    """Cluster centres: per cluster the means of the numeric and the modes of the categorical features."""
+    """Cluster centres over columns: per cluster the means of the numeric and the modes of the categorical ones."""
 
-    numeric: dict[str, Column]
-    categorical: dict[str, Column]
+    numeric: list[str]
+    categorical: list[str]
     centres: list[tuple[list[float], list]]
     gamma: float
 
     def cluster(self) -> Column:
         """Number of the nearest prototype: squared differences of observed numbers plus gamma per differing category."""
+        if not self.centres:
+            return F.lit(0)
         distances = []
         for means, modes in self.centres:
-            terms = [F.coalesce(F.pow(x - F.lit(float(m)), 2), F.lit(0.0)) for x, m in zip(self.numeric.values(), means, strict=True) if m is not None]
-            terms += [F.when(x == F.lit(m), 0.0).otherwise(self.gamma) for x, m in zip(self.categorical.values(), modes, strict=True) if m is not None]
-            distances.append(reduce(lambda a, b: a + b, terms, F.lit(0.0)))
-        if not distances:
-            return F.lit(0)
-        every = F.array(*distances)
-        return (F.array_position(every, F.array_min(every)) - 1).cast("int")
+            terms = [f"coalesce((`{x}` - {float(m)!r}D) * (`{x}` - {float(m)!r}D), 0D)" for x, m in zip(self.numeric, means, strict=True) if m is not None]
+            terms += [f"if(`{x}` <=> {_literal(m)}, 0D, {self.gamma!r}D)" for x, m in zip(self.categorical, modes, strict=True) if m is not None]
+            distances.append(" + ".join(terms) or "0D")
+        every = f"array({', '.join(distances)})"
+        return F.expr(f"cast(array_position({every}, array_min({every})) - 1 as int)")
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
 
-def fit_prototypes(df: DataFrame, numeric: dict[str, Column], categorical: dict[str, Column], k: int = 6, rounds: int = 3, gamma: float = 0.25) -> Prototypes:
+def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 6, rounds: int = 3, gamma: float = 0.25) -> Prototypes:
     """K-prototypes over all rows: each round is one aggregate of k rows, whatever the size of ``df``.
 
     The first clusters are k quantile ranges of the rows' mean over their observed features. Null features are
     left out of means, modes and distances. An empty table gives no centres, and then one cluster.
     """
-    values, known = list(numeric.values()), [x.isNotNull().cast("int") for x in numeric.values()]
-    mean = F.try_divide(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in values]), reduce(lambda a, b: a + b, known).cast("double"))
-    cuts = df.select(F.percentile_approx(mean, [i / k for i in range(1, k)], 1000)).first()[0] or []
-    assigned = reduce(lambda a, b: a + b, [(F.coalesce(mean, F.lit(0.0)) > c).cast("int") for c in cuts], F.lit(0))
+    known = " + ".join(f"int(`{x}` is not null)" for x in numeric)
+    mean = f"try_divide({' + '.join(f'coalesce(`{x}`, 0D)' for x in numeric)}, {known})"
+    cuts = df.select(F.expr(f"percentile_approx({mean}, array({', '.join(repr(i / k) for i in range(1, k))}), 1000)")).first()[0] or []
+    assigned = F.expr(" + ".join(["0", *(f"int(coalesce({mean}, 0D) > {float(c)!r}D)" for c in cuts)]))
     model = Prototypes(numeric, categorical, [], gamma)
     for _ in range(rounds):
-        aggregates = [F.avg(x).alias(f"n{i}") for i, x in enumerate(values)] + [F.mode(x, True).alias(f"c{i}") for i, x in enumerate(categorical.values())]
+        aggregates = [F.avg(x).alias(f"n{i}") for i, x in enumerate(numeric)] + [F.mode(F.col(x), True).alias(f"c{i}") for i, x in enumerate(categorical)]
         rows = df.groupBy(assigned.alias("_cluster")).agg(*aggregates).orderBy("_cluster").collect()
-        centres = [([r[f"n{i}"] for i in range(len(values))], [r[f"c{i}"] for i in range(len(categorical))]) for r in rows]
+        centres = [([r[f"n{i}"] for i in range(len(numeric))], [r[f"c{i}"] for i in range(len(categorical))]) for r in rows]
         model = Prototypes(numeric, categorical, centres, gamma)
         assigned = model.cluster()
     return model
@@ -87,9 +90,8 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     zone = F.when(F.length(F.trim("cvegeo")) >= 13, F.upper(F.substring(F.trim("cvegeo"), 1, 13)))
     demographic = [c for c in features if c in blocks.columns]
     rows = blocks.select("block_id", "cvegeo", zone.alias("_zone"), "census_year", *[head_count(F.col(h)).alias(h) for h in heads], zone_code(F.col(zone_field)).alias(zone_field), *[F.log1p(head_count(F.col(c))).alias(f"_f_{c}") for c in demographic if c not in heads])
-    numeric = {c: F.col(f"_f_{c}") for c in demographic if c not in heads} | {h: F.log1p(F.col(h)) for h in heads}
-    categorical = {"state": F.substring("_zone", 1, 2), "year": F.col("census_year"), "suffix": F.substring("_zone", 13, 1)}
-    model = fit_prototypes(rows, numeric, categorical, k)
+    rows = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
+    model = fit_prototypes(rows, [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]], ["_c_state", "_c_suffix", "census_year"], k)
     rows = rows.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster")
     clusters = range(max(1, len(model.centres)))
     rows_known = blocks.count()
@@ -97,8 +99,7 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
 
     # Exact medians of bounded whole numbers keep one counter per value, so they combine before the shuffle.
     by_census = rows.where(F.col("_zone").isNotNull()).groupBy("_zone", "census_year").agg(
-        *[F.percentile(F.when(F.col("cluster") == i, F.col(h)), 0.5).alias(f"_{h}_{i}") for h in heads for i in clusters],
-        *[F.percentile(F.col(h), 0.5).alias(f"_{h}_zone") for h in heads],
+        *[F.expr(f"percentile(if(cluster = {i}, {h}, null), 0.5) as _{h}_{i}") for h in heads for i in clusters], *[F.expr(f"percentile({h}, 0.5) as _{h}_zone") for h in heads]
     )
     long_code = F.when(F.length(zone_field) == 13, F.col(zone_field)).otherwise(F.concat(F.substring("_zone", 1, 9), F.col(zone_field)))
     by_zone = rows.where(F.col("_zone").isNotNull()).groupBy("_zone").agg(
@@ -110,7 +111,7 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     out = salted_join(out, by_block, ["cvegeo"], "cvegeo", hot_blocks, F.col("block_id"))
 
     def own(stem: str) -> Column:
-        return F.coalesce(*[F.when(F.col("cluster") == i, F.col(f"_{stem}_{i}")) for i in clusters])
+        return F.expr(f"element_at(array({', '.join(f'_{stem}_{i}' for i in clusters)}), cluster + 1)")
 
     def filled(field: str, levels: list[tuple[str, Column]]) -> list[Column]:
         method = F.when(F.col(field).isNotNull(), "observed")

@@ -317,7 +317,7 @@ def test_prototypes_separate_sizes(spark):
     rows = spark.range(300).selectExpr("if(id < 150, 1.0, 5.0) + (id % 3) / 10 a", "if(id < 150, 'x', 'y') c", "id")
     from pyspark.sql import functions as F
 
-    model = imputation.fit_prototypes(rows, {"a": F.col("a")}, {"c": F.col("c")}, k=2)
+    model = imputation.fit_prototypes(rows, ["a"], ["c"], k=2)
     groups = rows.groupBy((F.col("id") < 150).alias("low")).agg(F.collect_set(model.cluster()).alias("s")).collect()
     assert sorted(len(r.s) for r in groups) == [1, 1] and groups[0].s != groups[1].s
 
