@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citygrain.functions.convert import known_values, require
-from citygrain.operators.skew import broadcast_if_small
 
 # The demographic columns.
 GROUPS = ["P_0A2", "P_3A5", "P_6A11", "P_12A14", "P_15A17", "P_18A24", "P_60YMAS", "P_3YMAS", "P_12YMAS", "P_15YMAS", "P_18YMAS"]
@@ -78,8 +77,8 @@ def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50) ->
     require(blocks, [ZONE, BLOCK, TOTAL, "POBFEM", "POBMAS"], KeyError)
     columns = [c for c in DEMOGRAPHIC if c in blocks.columns]
     worked = [c for c in columns if c != "REL_H_M"]
-    numbers = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in [*columns, TOTAL]}
-    rows = blocks.withColumns(numbers).withColumn("_any", known_values(columns) > 0)
+    numbers = {c: F.expr(f"nanvl(double(`{c}`), null)") for c in [*columns, TOTAL]}
+    rows = blocks.withColumns(numbers).withColumn("_any", F.expr(f"coalesce({', '.join(f'`{c}`' for c in columns)}) is not null"))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,15 +95,12 @@ def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50) ->
 
 def zone_remainder(zones: DataFrame, rows: DataFrame, zone: str, total: str, columns: list[str]) -> DataFrame:
     """``rows`` with each zone's remainder given to its missing values: whole to a single one, else by the rows' ``total``."""
-    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    totals = zones.groupBy(zone).agg(*[F.first(number(c)).alias(f"_z_{c}") for c in columns])
-    sums = rows.groupBy(zone).agg(*[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s_{c}") for c in columns], *[F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(total))), F.lit(0.0)).alias(f"_p_{c}") for c in columns])
-    out = rows.join(broadcast_if_small(sums.join(totals, zone)), zone, "left")
-    for c in columns:
-        rest = F.col(f"_z_{c}") - F.col(f"_s_{c}")
-        share = F.when(F.col(f"_n_{c}") == 1, rest).when((F.col(f"_n_{c}") > 1) & (F.col(f"_p_{c}") > 0), rest * F.col(total) / F.col(f"_p_{c}"))
-        out = out.withColumn(c, F.coalesce(F.col(c), share))
-    return out.select(*rows.columns)
+    totals = zones.groupBy(zone).agg(*[F.expr(f"first(nanvl(double(`{c}`), null)) as `_z_{c}`") for c in columns])
+    parts = [f"count_if(`{c}` is null) as `_n_{c}`, coalesce(sum(`{c}`), 0D) as `_s_{c}`, coalesce(sum(if(`{c}` is null, `{total}`, null)), 0D) as `_p_{c}`".split(", coalesce") for c in columns]
+    sums = rows.groupBy(zone).agg(*[F.expr(("coalesce" if k else "") + part) for own in parts for k, part in enumerate(own)])
+    out = rows.join(sums.join(totals, zone), zone, "left")
+    share = lambda c: f"coalesce(`{c}`, case when `_n_{c}` = 1 then `_z_{c}` - `_s_{c}` when `_n_{c}` > 1 and `_p_{c}` > 0 then (`_z_{c}` - `_s_{c}`) * `{total}` / `_p_{c}` end) as `{c}`"
+    return out.select(*[F.expr(share(c)) if c in columns else F.col(c) for c in rows.columns])
 
 
 def unknown_zones(zones: DataFrame, blocks: DataFrame, column: str = "cve_ageb") -> DataFrame:

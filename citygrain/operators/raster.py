@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,14 +252,21 @@ def null_test(zonal: DataFrame, value: str = "value") -> None:
 def theil_sen(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """(key, slope): median of the slopes of all pairs of a series, by place in its order; null values are left out.
 
-    A series is one array per key (a few values a year), and the pairs are taken within it, so nothing is joined.
+    A series is one array per key (a few values a year); the pairs are taken within it, so nothing is joined.
     """
     rows = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_s"))
-    values = F.transform("_s", lambda s: s["_v"])
-    rows = rows.select(key, values.alias("_v"))
-    slopes = F.flatten(F.transform("_v", lambda b, j: F.transform(F.slice(F.col("_v"), 1, j), lambda a, i: (b - a) / (j - i))))
-    median = F.expr("case when size(_s) = 0 then null when size(_s) % 2 = 1 then _s[size(_s) div 2] else (_s[size(_s) div 2 - 1] + _s[size(_s) div 2]) / 2 end")
-    return rows.select(key, F.array_sort(slopes).alias("_s")).select(key, median.alias("slope"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slopes = []
+            for series in batch.column(1):
+                v = np.asarray(series.values, float)
+                i, j = np.triu_indices(len(v), 1)
+                slopes.append(float(np.median((v[j] - v[i]) / (j - i))) if len(v) > 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slopes, pa.float64())], names=[key, "slope"])
+
+    return rows.select(key, F.transform("_s", lambda s: s["_v"]).alias("_v")).mapInArrow(kernel, f"`{key}` {kind}, slope double")
 
 
 def panel_summary(panel: DataFrame, key: str, index: str, years: list[int] | None = None, value: str = "value") -> DataFrame:

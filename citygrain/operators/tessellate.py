@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citygrain.functions.geom import POLYGON, area_of, clip_half_plane, clip_to_convex, convex_hull
+from citygrain.functions.geom import POLYGON, area_of, clip_to_convex, convex_hull
 from citygrain.session import durable
 
 #: Points that a task may see at once; with more, tiles with their surroundings are worked on.
-TILE_POINTS = 20_000
+TILE_POINTS = 2_000
 
 
 def hulls(points: DataFrame, group: str) -> DataFrame:
@@ -40,20 +41,32 @@ def hulls(points: DataFrame, group: str) -> DataFrame:
 
 def _cells(own: np.ndarray, others: np.ndarray, frame: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """(cell, distance within which other points matter) of each own point: the frame cut by bisectors, near ones first."""
-    for p in own:
-        d = np.hypot(*(others - p).T)
+    for px, py in own.tolist():
+        d = np.hypot(others[:, 0] - px, others[:, 1] - py)
         order = np.argsort(d, kind="stable")
-        cell = frame
-        for k in order:
-            if d[k] == 0:
+        cell = [tuple(c) for c in frame.tolist()]
+        reach = 2 * max(math.hypot(x - px, y - py) for x, y in cell)
+        for far, (qx, qy) in zip(d[order].tolist(), others[order].tolist(), strict=True):
+            if far == 0:
                 continue
-            if d[k] > 2 * np.max(np.hypot(*(cell - p).T)):
+            if far > reach or not cell:
                 break
-            q = others[k]
-            cell = clip_half_plane(cell, *(q - p), float((q @ q - p @ p) / 2))
-            if not len(cell):
-                break
-        yield cell, 2 * float(np.max(np.hypot(*(cell - p).T))) if len(cell) else 0.0
+            a, b, c = qx - px, qy - py, (qx * qx + qy * qy - px * px - py * py) / 2
+            values = [a * x + b * y - c for x, y in cell]
+            if max(values) <= 0:
+                continue
+            cut = []
+            for k, (x, y) in enumerate(cell):
+                v, w = values[k - 1], values[k]
+                if (v < 0 < w) or (w < 0 < v):
+                    x0, y0 = cell[k - 1]
+                    t = v / (v - w)
+                    cut.append((x0 + (x - x0) * t, y0 + (y - y0) * t))
+                if w <= 0:
+                    cut.append((x, y))
+            cell = cut
+            reach = 2 * max((math.hypot(x - px, y - py) for x, y in cell), default=0.0)
+        yield np.array(cell, float).reshape(-1, 2), reach
 
 
 def voronoi(points: DataFrame, area: list[tuple[float, float]], point_id: str, tile_points: int = TILE_POINTS) -> DataFrame:
