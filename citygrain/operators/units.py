@@ -30,6 +30,8 @@ UNITS = [
 ]
 # Spellings that are common words or single signs, hence no units when met in running text.
 NOT_IN_PROSE = "in m ' \" mi kt kn pie mile miles foot".split()
+#: Rows of source defaults up to which they are sent to every task.
+MOST_SOURCES = 100_000
 BASE = {"speed": "km/h", "length": "m"}
 
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñ’′″", "aaaaaaeeeeiiiiooooouuuucn''\""
@@ -71,10 +73,10 @@ def source_defaults(sources: DataFrame, key: str, remarks: str) -> DataFrame:
     return hits.join(F.broadcast(aliases), "alias").groupBy(key, "dimension").agg(F.max_by("unit", "at").alias("default_unit"))
 
 
-def quantities(df: DataFrame, id_col: str, source_col: str, fields: dict[str, str], defaults: DataFrame, unit_cols: dict[str, str] | None = None) -> DataFrame:
+def quantities(df: DataFrame, id_col: str, source_col: str, fields: dict[str, str], defaults: DataFrame, unit_cols: dict[str, str] | None = None, source_rows: int | None = None) -> DataFrame:
     """One row per quantity: (id, field_name, seq, number, unit, unit_from, value, base_unit).
 
-    ``fields`` maps text columns to dimensions, ``defaults`` is the result of ``source_defaults`` with the key
+    ``source_rows`` is the number of sources if known. ``fields`` maps text columns to dimensions, ``defaults`` is the result of ``source_defaults`` with the key
     named as ``source_col``, ``unit_cols`` names columns that hold the unit of a field, if there are any.
     Conditions after ``@``, times of day and counts of lanes are no quantities. Null, empty and wordy entries
     give no row; a unit that is not known for the dimension counts as none. A repeated input row gives repeated
@@ -105,10 +107,11 @@ def quantities(df: DataFrame, id_col: str, source_col: str, fields: dict[str, st
     for name in ["suffix", "prefix"] + ["given"] * bool(unit_cols):
         known = aliases.withColumnsRenamed({"alias": f"_{name}", "u": f"_unit_{name}"})
         long = long.join(F.broadcast(known), ["dimension", f"_{name}"], "left")
-    # A row per source and dimension; Spark broadcasts it by its size, and shuffles it if there are very many sources.
+    # A row per source and dimension: broadcast only if there are at most MOST_SOURCES, else joined by a shuffle.
     units = alias_table(df.sparkSession).groupBy("dimension", "unit").agg(F.first(F.struct("unit", "factor", "shift")).alias("_unit_default"))
     of_source = defaults.select(F.col(source_col).alias("_source"), "dimension", F.col("default_unit").alias("unit")).join(F.broadcast(units), ["dimension", "unit"]).drop("unit")
-    long = long.join(of_source, ["_source", "dimension"], "left")
+    rows = len(BASE) * source_rows if source_rows is not None else defaults.limit(MOST_SOURCES + 1).count()
+    long = long.join(F.broadcast(of_source) if rows <= MOST_SOURCES else of_source, ["_source", "dimension"], "left")
     base = F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair])[F.col("dimension")]
     given = F.col("_unit_given") if unit_cols else F.lit(None).cast("struct<unit:string,factor:double,shift:double>")
     text_unit = F.coalesce("_unit_suffix", "_unit_prefix")

@@ -15,8 +15,9 @@ FEATURES = ["p_0a2", "p_6a11", "p_12a14", "p_18a24", "p_60ymas", "pob0_14", "pob
 
 def p1_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quantity of edges.maxspeed and edges.width in km/h or metres, with where its unit came from."""
-    defaults = units.source_defaults(table(spark, sf_dir, "extracts"), "city", "remarks")
-    return units.quantities(table(spark, sf_dir, "edges"), "edge_id", "city", {"maxspeed": "speed", "width": "length"}, defaults)
+    extracts = table(spark, sf_dir, "extracts")
+    defaults = units.source_defaults(extracts, "city", "remarks")
+    return units.quantities(table(spark, sf_dir, "edges"), "edge_id", "city", {"maxspeed": "speed", "width": "length"}, defaults, source_rows=extracts.count())
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
