@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citygrain.functions.convert import require
 from citygrain.operators.grid import neighbours
-from citygrain.operators.skew import broadcast_if_small
 from citygrain.session import durable
 
+#: Rows of the two sides that one task weighs against each other.
+BLOCK_TARGETS, BLOCK_OBSERVATIONS = 2_000, 100_000
 METHODS = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "min": F.min, "max": F.max}
 
 
@@ -46,25 +49,51 @@ def fill_hexagons(cells: DataFrame, columns: list[str], max_iterations: int = 10
     return cells.select("q", "r", *extra).join(state, ["q", "r"]) if extra else state
 
 
-def interpolate(targets: DataFrame, observations: DataFrame, target_id: str, power: float = 2.0, search_radius: float | None = None, scalar: bool = False) -> DataFrame:
+def interpolate(targets: DataFrame, observations: DataFrame, target_id: str, power: float = 2.0, search_radius: float | None = None, scalar: bool = False, block_targets: int = BLOCK_TARGETS, block_observations: int = BLOCK_OBSERVATIONS) -> DataFrame:
     """(target_id, interpolated_value): inverse-distance weighted mean of z of ``observations`` (x, y, z) at each target (x, y).
 
     The radius is inclusive, 0 means none. Without observations in reach the value is 0; an observation without a z
-    keeps its weight. With ``scalar`` these are -1 and null. With a radius, observations meet targets by grid cells;
-    without one each target needs all observations, which are broadcast only up to a checked size.
+    keeps its weight. With ``scalar`` these are -1 and null. With a radius, observations meet targets by grid cells.
+    Without one each target needs all observations: blocks of targets meet blocks of observations, each pair of
+    blocks once, and only sums leave a block. Rows without coordinates do not count.
     """
-    t, o = targets.select(F.col(target_id).alias("_id"), F.col("x").alias("_tx"), F.col("y").alias("_ty")), observations.select("x", "y", F.when(~F.isnan("z"), F.col("z")).alias("z"))
-    d = F.sqrt(F.pow(F.col("_tx") - F.col("x"), 2) + F.pow(F.col("_ty") - F.col("y"), 2))
+    t = targets.select(F.col(target_id).alias("_id"), F.col("x").cast("double").alias("_tx"), F.col("y").cast("double").alias("_ty"))
+    o = observations.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.when(~F.isnan("z"), F.col("z").cast("double")).alias("z"))
+    placed = t.where(F.col("_tx").isNotNull() & F.col("_ty").isNotNull())
     if search_radius:
+        d = F.sqrt(F.pow(F.col("_tx") - F.col("x"), 2) + F.pow(F.col("_ty") - F.col("y"), 2))
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         cell = lambda c: F.floor(F.col(c) / search_radius)
         o = o.withColumn("_o", F.explode(around)).select("x", "y", "z", (cell("x") + F.col("_o.i")).alias("_cx"), (cell("y") + F.col("_o.j")).alias("_cy"))
-        pairs = t.withColumns({"_cx": cell("_tx"), "_cy": cell("_ty")}).join(o, ["_cx", "_cy"]).where(d <= search_radius)
+        pairs = placed.withColumns({"_cx": cell("_tx"), "_cy": cell("_ty")}).join(o, ["_cx", "_cy"]).where(d <= search_radius)
+        w = 1 / F.pow(d + 1e-12, F.lit(float(power)))
+        sums = pairs.groupBy("_id").agg(F.sum(w).alias("_w"), F.sum(w * F.coalesce("z", F.lit(0.0))).alias("_wz"), F.count("*").alias("_n"), F.count("z").alias("_nz"))
     else:
-        pairs = t.join(broadcast_if_small(o))
-    weighed = pairs.withColumn("_w", 1 / F.pow(d + 1e-12, F.lit(float(power))))
-    value = F.sum(F.col("_w") * F.coalesce("z", F.lit(0.0))) / F.sum("_w")
+        sums = _block_sums(placed, o, power, block_targets, block_observations).groupBy("_id").agg(*[F.sum(c).alias(c) for c in ("_w", "_wz", "_n", "_nz")])
+    value = F.col("_wz") / F.col("_w")
     if scalar:
-        value = F.when(F.count("z") == F.count("*"), value)
-    found = weighed.groupBy("_id").agg(value.alias("interpolated_value"), F.lit(True).alias("_met"))
-    return t.select("_id").distinct().join(found, "_id", "left").select(F.col("_id").alias(target_id), F.when(F.col("_met").isNull(), F.lit(-1.0 if scalar else 0.0)).otherwise(F.col("interpolated_value")).alias("interpolated_value"))
+        value = F.when(F.col("_n") == F.col("_nz"), value)
+    out = t.select("_id").distinct().join(sums.where("_n > 0"), "_id", "left")
+    return out.select(F.col("_id").alias(target_id), F.when(F.col("_n").isNull(), F.lit(-1.0 if scalar else 0.0)).otherwise(value).alias("interpolated_value"))
+
+
+def _block_sums(targets: DataFrame, observations: DataFrame, power: float, block_targets: int, block_observations: int) -> DataFrame:
+    nt, no = max(1, -(-targets.count() // block_targets)), max(1, -(-observations.count() // block_observations))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.withColumn("_bt", F.pmod(F.xxhash64("_id"), F.lit(nt)).cast("int")).withColumn("_bo", every(no))
+    right = observations.withColumn("_bo", F.pmod(F.xxhash64("x", "y"), F.lit(no)).cast("int")).withColumn("_bt", every(nt))
+    kind = targets.schema["_id"].dataType.simpleString()
+
+    def sums(own: pa.Table, seen: pa.Table) -> pa.Table:
+        tx, ty = own.column("_tx").to_numpy(), own.column("_ty").to_numpy()
+        x, y = seen.column("x").to_numpy(), seen.column("y").to_numpy()
+        z = seen.column("z").to_numpy().astype(float)
+        known = np.nan_to_num(z, nan=0.0)
+        w, wz = np.zeros(len(tx)), np.zeros(len(tx))
+        for k in range(0, len(tx), 64):
+            inverse = 1.0 / (np.sqrt((tx[k : k + 64, None] - x) ** 2 + (ty[k : k + 64, None] - y) ** 2) + 1e-12) ** power
+            w[k : k + 64], wz[k : k + 64] = inverse.sum(1), inverse @ known
+        n = np.full(len(tx), len(x), np.int64)
+        return pa.table({"_id": own.column("_id"), "_w": w, "_wz": wz, "_n": n, "_nz": np.full(len(tx), int((~np.isnan(z)).sum()), np.int64)})
+
+    return left.groupBy("_bt", "_bo").cogroup(right.groupBy("_bt", "_bo")).applyInArrow(sums, f"_id {kind}, _w double, _wz double, _n long, _nz long")

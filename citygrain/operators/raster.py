@@ -95,9 +95,9 @@ def cloud_matrix(items: DataFrame, satellite: str, max_cloud: float | None = Non
 
 def ranked_dates(matrix: DataFrame) -> DataFrame:
     """(date, avg_cloud, n_clear, complete): dates with any clear tile; order by avg_cloud, nulls last, to rank them."""
-    tiles = matrix.agg(F.countDistinct("tile").alias("_tiles"))
+    tiles = matrix.agg(F.countDistinct("tile")).scalar()
     by_date = matrix.groupBy("date").agg(F.avg("cloud").alias("avg_cloud"), F.count("cloud").alias("n_clear"))
-    return by_date.join(F.broadcast(tiles)).where("n_clear > 0").select("date", "avg_cloud", "n_clear", (F.col("n_clear") == F.col("_tiles")).alias("complete"))
+    return by_date.where("n_clear > 0").select("date", "avg_cloud", "n_clear", (F.col("n_clear") == tiles).alias("complete"))
 
 
 def best_scene_per_tile(matrix: DataFrame) -> DataFrame:
@@ -222,7 +222,8 @@ def zonal_mean(pixels: DataFrame, zones: DataFrame, zone_id: str, affine: tuple[
     found = joined.groupBy(*keys, zone_id).agg(F.avg(value).alias(value), F.lit(True).alias("_met"))
     every = zones.select(zone_id).distinct()
     if keys:
-        every = every.join(F.broadcast(pixels.select(*keys).distinct()))
+        # Every zone gets every month; the list of months is one small array.
+        every = every.withColumn("_k", F.explode(pixels.agg(F.collect_set(F.struct(*keys))).scalar())).select(zone_id, "_k.*")
     out = every.join(found, [*keys, zone_id], "left")
     return out.select(*keys, zone_id, F.when(F.col("_met").isNull(), F.lit(outside).cast("double")).otherwise(F.col(value)).alias(value))
 
@@ -243,6 +244,30 @@ def _touches(shape, x0, y0, x1, y1):
     return reduce(lambda a, b: a | b, corners) | ends | F.exists(segments, crosses)
 
 
+def monthly_index(scenes: DataFrame, matrix: DataFrame, bands: list[str], equation: str, max_distance: int = 50, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(year, month, row, col, value): one index raster a month from scene pixels (date, tile, band, row, col, value).
+
+    Each tile takes its least clouded date of the month (the dates that a search would try first), tiles are laid over
+    each other in the order of their names, bands are brought side by side, and gaps are filled from near pixels. All
+    months are one plan; months without a clear scene are missing, to be filled by ``fill_months``.
+    """
+    months = matrix.withColumns({"year": F.year("date"), "month": F.month("date")})
+    mean = matrix.groupBy("date").agg(F.avg("cloud").alias("_mean"))
+    best = months.where(F.col("cloud").isNotNull()).join(mean, "date").groupBy("year", "month", "tile").agg(F.min(F.struct("cloud", "_mean", "date")).alias("m")).select("year", "month", "tile", "m.date")
+    chosen = clean_pixels(scenes).join(best, ["date", "tile"])
+    if box is not None:
+        chosen = crop(chosen, box)
+    keys = ["year", "month", "row", "col"]
+    mosaic = mosaic_first(chosen, [*keys, "band"], "tile")
+    return fill_nodata(clean_pixels(band_index(mosaic, keys, bands, equation), "index").withColumnRenamed("index", "value"), ["year", "month"], max_distance)
+
+
+def months_to_do(months: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The months of an inventory that have scenes and are not written yet, so that a stopped job can go on."""
+    todo = months.where("data_id = 1")
+    return todo if done is None else todo.join(done.select("year", "month").distinct(), ["year", "month"], "left_anti")
+
+
 def null_test(zonal: DataFrame, value: str = "value") -> None:
     """Raises NanValues if a zone has no value."""
     if zonal.where(F.col(value).isNull()).limit(1).count():

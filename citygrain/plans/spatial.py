@@ -207,7 +207,8 @@ CASE WHEN v0 < 0 AND v1 > 0 THEN -greatest(abs(v0), abs(v1)) ELSE v0 END AS vmin
 def q45_bounds(spark: SparkSession, d: str) -> DataFrame:
     points = views.points(spark, d)
     square = classify.square_bounds(points, (0.25, 0.5), "x", "y", "x", "y")
-    return square.join(F.broadcast(classify.colour_range(points, "value")))
+    colours = classify.colour_range(points, "value")
+    return square.select("*", *[colours.select(c).scalar().alias(c) for c in ("vmin", "vmax")])
 
 
 @query(f"{with_views('pois')} SELECT 4096e0 AS total_area, count(*) AS n_cells FROM (SELECT DISTINCT x, y FROM pois)")

@@ -67,9 +67,9 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """One row per user and day of January 2024, without a value on days without events of the first kind."""
     events = table(spark, d, "events")
-    days = spark.range(30).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    days = F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30')")).alias("day")
     known = events.where(F.col("event_id") % 3 == 0).groupBy(F.col("user_id").alias("feature"), F.to_date("ts").alias("day")).agg(F.max("value").alias("value"))
-    return events.select(F.col("user_id").alias("feature")).distinct().join(F.broadcast(days)).join(known, ["feature", "day"], "left")
+    return events.select(F.col("user_id").alias("feature")).distinct().select("feature", days).join(known, ["feature", "day"], "left")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:

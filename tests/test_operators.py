@@ -147,6 +147,8 @@ def test_interpolate(spark):
     assert value(interpolate.interpolate(at, seen, "id", search_radius=0.1, scalar=True))[1] == -1.0
     gap = seen.withColumn("z", F.when(F.col("z") != 20, F.col("z")))
     assert value(interpolate.interpolate(at, gap, "id"))[1] == pytest.approx(20.0) and value(interpolate.interpolate(at, gap, "id", scalar=True))[1] is None
+    assert value(interpolate.interpolate(at, seen, "id", block_targets=1, block_observations=1)) == pytest.approx({1: 25.0, 2: 275 / 17, 3: 10.0})
+    assert value(interpolate.interpolate(at, seen.limit(0), "id")) == {1: 0.0, 2: 0.0, 3: 0.0}
     edge = seen.union(spark.createDataFrame([(0.5, 0.0, 15.0), (0.5, 1.0, 35.0)], seen.schema))
     assert value(interpolate.interpolate(at, edge, "id", search_radius=0.5))[1] == pytest.approx(25.0)
 
@@ -409,6 +411,16 @@ def test_scenes_and_inventory(spark):
             raster.RasterJob(**(job | bad))
 
 
+def test_monthly_index(spark):
+    day = lambda m, n: dt.date(2024, m, n)
+    matrix = spark.createDataFrame([(day(1, 1), "A", 5.0), (day(1, 2), "A", 1.0), (day(1, 2), "B", 9.0), (day(2, 1), "A", None)], "date date, tile string, cloud double")
+    scenes = [(day(1, 1), "A", b, 0, 0, 7.0) for b in ("nir", "red")] + [(day(1, 2), "A", "nir", 0, 0, 3.0), (day(1, 2), "A", "red", 0, 0, 1.0), (day(1, 2), "B", "nir", 0, 0, 9.0), (day(1, 2), "B", "red", 0, 0, 1.0), (day(1, 2), "B", "nir", 0, 2, 9.0), (day(1, 2), "B", "red", 0, 2, 3.0), (day(1, 2), "B", "nir", 0, 1, 9.0), (day(1, 2), "B", "red", 0, 1, 0.0), (day(2, 1), "A", "nir", 0, 0, 1.0)]
+    out = raster.monthly_index(spark.createDataFrame(scenes, "date date, tile string, band string, row int, col int, value double"), matrix, ["nir", "red"], "(nir-red)/(nir+red)")
+    assert {(r.year, r.month, r.row, r.col): r.value for r in out.collect()} == {(2024, 1, 0, 0): 0.5, (2024, 1, 0, 2): 0.5, (2024, 1, 0, 1): 0.5}
+    months = spark.createDataFrame([(2024, 1, 1), (2024, 2, 1), (2024, 3, 0)], "year int, month int, data_id int")
+    assert [r.month for r in raster.months_to_do(months, out).collect()] == [2] and raster.months_to_do(months, None).count() == 2
+
+
 def test_trends(spark):
     panel = spark.createDataFrame([("a", 2024, m, v) for m, v in enumerate([1.0, 3.0, 2.0, 5.0], 1)] + [("b", 2024, 1, 2.0), ("a", 2025, 1, None)], "f string, year int, month int, value double")
     assert {r.f: r.slope for r in raster.theil_sen(panel, "f", ["year", "month"], "value").collect()} == pytest.approx({"a": 7 / 6, "b": None})
