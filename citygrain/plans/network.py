@@ -84,15 +84,15 @@ def q25_isochrone_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_reach(_ALL, 'length * 60 / 4000e0')}, a AS (SELECT dist, (n.x * ({3**0.5!r} / 3) - n.y / 3) / 2.71828 AS q0, n.y * (2 / 3e0) / 2.71828 AS r0 FROM d JOIN net_nodes n ON n.osmid = d.node),
-b AS (SELECT *, round(q0) AS rq, round(r0) AS rr, round(-q0 - r0) AS rs FROM a), c AS (SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs + q0 + r0) AS ds FROM b),
+b AS (SELECT *, round(q0) AS rq, round(r0) AS rr, round(-q0 - r0) AS rs FROM a), c AS (SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs - (-q0 - r0)) AS ds FROM b),
 h AS (SELECT dist, CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM c)
-SELECT q || ':' || r AS hex_id, count(*) AS n_nodes, round(avg(dist), 6) AS time_poi, CASE WHEN avg(dist) < 15 THEN '15 minutes or less' WHEN avg(dist) < 30 THEN '15 minutes to 30 minutes' WHEN avg(dist) < 45 THEN '30 minutes to 45 minutes' WHEN avg(dist) < 60 THEN '45 minutes to 60 minutes' ELSE '60 or more minutes' END AS time_class FROM h GROUP BY q, r""")
+SELECT q || ':' || r AS hex_id, count(*) AS n_nodes, round(avg(dist), 9) AS time_poi, CASE WHEN avg(dist) < 15 THEN '15 minutes or less' WHEN avg(dist) < 30 THEN '15 minutes to 30 minutes' WHEN avg(dist) < 45 THEN '30 minutes to 45 minutes' WHEN avg(dist) < 60 THEN '45 minutes to 60 minutes' ELSE '60 or more minutes' END AS time_class FROM h GROUP BY q, r""")
 def q57_proximity_by_hexagon(spark: SparkSession, d: str) -> DataFrame:
     """From points of interest to mean minutes per hexagon: nearest nodes, network times, cells, classes."""
     q, r = grid.cell_of(F.col("x"), F.col("y"), 2.71828)
     cells = q21_times(spark, d).select(grid.cell_id(q, r).alias("hex_id"), "time_poi")
     means = cells.groupBy("hex_id").agg(F.count("*").alias("n_nodes"), F.avg("time_poi").alias("time_poi"))
-    return classify.classify_time(means, "time_poi").select("hex_id", "n_nodes", F.round("time_poi", 6).alias("time_poi"), "time_class")
+    return classify.classify_time(means, "time_poi").select("hex_id", "n_nodes", F.round("time_poi", 9).alias("time_poi"), "time_class")
 
 
 @query()

@@ -157,7 +157,7 @@ def q17_idw_radius(spark: SparkSession, d: str) -> DataFrame:
 _ROOT = f"{grid.ROOT3!r}"
 _AXIAL = f"""a AS (SELECT *, (x * ({_ROOT} / 3) - y / 3) / {HEX_EDGE} AS q0, y * (2 / 3e0) / {HEX_EDGE} AS r0 FROM points),
 b AS (SELECT *, round(q0) AS rq, round(r0) AS rr, round(-q0 - r0) AS rs FROM a),
-c AS (SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs + q0 + r0) AS ds FROM b),
+c AS (SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs - (-q0 - r0)) AS ds FROM b),
 hex AS (SELECT id, value, CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM c)"""
 
 
