@@ -23,7 +23,8 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
 
     Polygons are repeated for the cells their bounds cover, points have one cell; the exact position decides. Points
     only lie ``within`` (inside), ``touch`` (on the boundary) or ``intersect`` (both); they contain and cross nothing.
-    ``cell`` is the cell size, by default the mean extent of the polygons. With ``how="left"`` points without a match
+    ``cell`` is the cell size; by default polygons lie on grids by their own size (each covers a few cells), and points
+    have a cell on each of these grids, so that neither large nor small polygons make many rows. With ``how="left"`` points without a match
     stay, with a null id. Null coordinates and null or empty polygons match nothing; a polygon id that is also a
     column of ``points`` raises RuntimeError.
     """
@@ -33,17 +34,25 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
         raise RuntimeError(f"the points already have a column {polygon_id!r}")
     shapes = polygons.where(F.size(geometry) > 0).select(F.col(polygon_id), F.col(geometry).alias("_shape"))
     shapes = shapes.withColumns({f"_{k}": v for k, v in geom.bounds(F.col("_shape")).items()})
-    if cell is None:
-        extent = shapes.agg(F.avg(F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")))).first()[0]
-        cell = extent or 1.0
-    low = lambda c: F.floor(F.col(c) / cell)
+    extent = F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny"), F.lit(1e-9))
+    level = F.lit(0) if cell is not None else (2 * F.ceil(F.log2(extent) / 2)).cast("int")
+    shapes = shapes.withColumn("_level", level)
+    levels = [0] if cell is not None else [r[0] for r in shapes.select("_level").distinct().collect()]
+    size = F.lit(float(cell)) if cell is not None else F.pow(F.lit(2.0), F.col("_level"))
+    low = lambda c: F.floor(F.col(c) / size)
     shapes = shapes.withColumn("_cx", F.explode(F.sequence(low("_minx"), low("_maxx")))).withColumn("_cy", F.explode(F.sequence(low("_miny"), low("_maxy"))))
-    keyed = points.withColumns({"_cx": low(x), "_cy": low(y)})
+    # A left join must keep each point once if nothing matches, so the levels are only spread before an inner join.
+    if how != "inner" and len(levels) > 1:
+        hits = spatial_join(points.select(x, y).distinct(), polygons, polygon_id, predicate, "inner", None, x, y, geometry)
+        hits = hits.select(F.col(x).alias("_hx"), F.col(y).alias("_hy"), F.col(polygon_id))
+        return points.join(hits, (F.col(x) == F.col("_hx")) & (F.col(y) == F.col("_hy")), how).select(*points.columns, polygon_id)
+    keyed = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels or [0]])) if len(levels) > 1 else F.lit(levels[0] if levels else 0))
+    keyed = keyed.withColumns({"_cx": low(x), "_cy": low(y)})
     places = PREDICATES[predicate]
     inside = geom.position(F.col(x), F.col(y), F.col("_shape")).isin(*places) if places else F.lit(False)
     box = F.col(x).between(F.col("_minx"), F.col("_maxx")) & F.col(y).between(F.col("_miny"), F.col("_maxy"))
     left, right = keyed.alias("p"), shapes.alias("s")
-    match = (F.col("p._cx") == F.col("s._cx")) & (F.col("p._cy") == F.col("s._cy")) & box & inside
+    match = (F.col("p._level") == F.col("s._level")) & (F.col("p._cx") == F.col("s._cx")) & (F.col("p._cy") == F.col("s._cy")) & box & inside
     return left.join(right, match, how).select(*[F.col(f"p.{c}") for c in points.columns], F.col(f"s.{polygon_id}"))
 
 

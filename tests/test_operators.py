@@ -85,6 +85,22 @@ def test_areas_and_points(spark):
         aggregate.points_to_polygons(pts, areas, "cve", include_nearest=True)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spatial_join_of_mixed_sizes(spark, how):
+    rng = np.random.default_rng(8)
+    at, size = rng.random((60, 2)) * 100, 10 ** rng.uniform(-2, 2, 60)
+    shapes = [(i, box(a, b, a + s, b + s)) for i, ((a, b), s) in enumerate(zip(at.tolist(), size.tolist()))] + [(90, None), (91, box(3, 3, 3, 3))]
+    xy = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.random((150, 2)) * 120)] + [(400, None, 1.0), (401, 3.0, 3.0), (401, 3.0, 3.0)]
+    pts, polygons = spark.createDataFrame(xy, "id int, x double, y double"), spark.createDataFrame(shapes, f"shape int, geometry {SHAPE}")
+    got = sorted((r.id, -1 if r["shape"] is None else r["shape"]) for r in joins.spatial_join(pts, polygons, "shape", "intersects", how).collect())
+    want = []
+    for k, px, py in xy:
+        hit = [i for i, ((a, b), s) in enumerate(zip(at.tolist(), size.tolist())) if px is not None and a <= px <= a + s and b <= py <= b + s] + [91] * ((px, py) == (3.0, 3.0))
+        want += [(k, i) for i in hit] or ([(k, -1)] if how == "left" else [])
+    assert got == sorted(want)
+    assert joins.spatial_join(pts, polygons.limit(0), "shape", how=how).count() == (len(xy) if how == "left" else 0)
+
+
 @pytest.mark.parametrize("projected", [True, False])
 @pytest.mark.parametrize("most", [1000, 0])
 def test_nearest_nodes(spark, projected, most):
