@@ -165,6 +165,18 @@ def test_kinds(text, kind):
     assert all(len(v) == 3 for v in found.values())
 
 
+def test_long_texts_are_measured_whole(monkeypatch):
+    codes = quality.common_codes(COMMON)
+    texts = pa.array([PROSE * 30 + TABLE * 30, None, (TABLE + "\n") * 40, PROSE, "x" * 9000, "no end " * 900])
+    whole = quality.measure(texts, codes)
+    monkeypatch.setattr(quality, "LONG_BYTES", 4000)
+    parts = quality.measure(texts, codes)
+    assert parts["kind"].tolist() == whole["kind"].tolist() and parts["n_words"].tolist()[:4] == whole["n_words"].tolist()[:4]
+    for k in ("sentence_share", "symbol_share", "digit_share", "table_line_share", "common_word_share"):
+        assert np.abs(parts[k] - whole[k]).max() < 0.05, k
+    assert "".join(quality._parts(PROSE * 200)) == PROSE * 200
+
+
 def test_measures():
     found = quality.measure(pa.array(["ab cde, 12\nf."]), quality.common_codes(["f"]))
     assert found["n_words"][0] == 3 and found["mean_word_length"][0] == 2 and found["common_word_share"][0] == pytest.approx(1 / 3)
