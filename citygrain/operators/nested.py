@@ -61,24 +61,34 @@ def _unescape(raw: pa.Array) -> list[str | None]:
     return out
 
 
+def _running(mask: np.ndarray) -> np.ndarray:
+    """How often the mask holds before each place, and at the end."""
+    return np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+
+
 def tokenize(column: pa.Array) -> Tokens:
     """Tokens of the texts of ``column`` that are complete JSON; other texts give none (see ``complete``)."""
     data, off = string_bytes(column)
     n, size = len(off) - 1, len(data)
-    row = np.repeat(np.arange(n), np.diff(off))
-    at = np.arange(size)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
     bad = np.zeros(n, bool)
 
+    # A quote after an odd run of backslashes is part of a string. A run ends at the start of a text.
     slash = data == 92
-    not_slash = last_index(~slash)
-    run = at - 1 - np.concatenate([[-1], not_slash[:-1]])
-    run = np.minimum(run, at - off[:-1][row])
-    quote = (data == 34) & (run % 2 == 0)
-    total = np.concatenate([[0], np.cumsum(quote)])
+    quote = data == 34
+    runs = np.flatnonzero(slash)
+    if len(runs):
+        head = np.concatenate([[True], (np.diff(runs) > 1) | (row[runs[1:]] != row[runs[:-1]])])
+        begin = runs[head]
+        end = np.append(runs[np.flatnonzero(head)[1:] - 1], runs[-1]) + 1
+        after = end[((end - begin) % 2 == 1) & (end < size)]
+        quote[after[row[after] == row[after - 1]]] = False
+    total = _running(quote)
     bad |= (np.diff(total[off]) & 1).astype(bool)
     quote &= ~bad[row]
-    total = np.concatenate([[0], np.cumsum(quote)])
+    total = _running(quote)
     inside = ((total[1:] - total[off[:-1]][row]) & 1).astype(bool)
+    del total
     bad[row[inside & (data < 32)]] = True
     bad[row[slash & ~inside]] = True
 
@@ -90,11 +100,11 @@ def tokenize(column: pa.Array) -> Tokens:
     ends = np.concatenate([begins[1:], [True]]) if size else begins
     before, after = np.concatenate([[False], literal[:-1]]) & ~begins, np.concatenate([literal[1:], [False]]) & ~ends
     first = (outside & (kind < TEXT)) | (quote & inside) | (literal & ~before)
-    start = at[first]
+    start = np.flatnonzero(first)
     stop = start + 1
     kind, row = kind[start], row[start]
-    stop[kind == LITERAL] = at[literal & ~after] + 1
-    stop[kind == TEXT] = at[quote & ~inside]
+    stop[kind == LITERAL] = np.flatnonzero(literal & ~after) + 1
+    stop[kind == TEXT] = np.flatnonzero(quote & ~inside)
     start = start + (kind == TEXT)
 
     opens, closes = (kind == OPEN_OBJECT) | (kind == OPEN_LIST), (kind == CLOSE_OBJECT) | (kind == CLOSE_LIST)
@@ -154,7 +164,7 @@ def tokenize(column: pa.Array) -> Tokens:
 
 
 def _escaped_keys(tokens: Tokens, slash: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(slash)])
+    total = _running(slash)
     return np.flatnonzero(tokens.is_key & (total[tokens.stop] > total[tokens.start]))
 
 

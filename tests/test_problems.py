@@ -313,6 +313,14 @@ def test_fill_blocks(spark):
     assert imputation.fill_blocks(spark.createDataFrame([], schema), ["p_0a2"]).count() == 0
 
 
+def test_fill_blocks_of_a_hot_zone(spark, monkeypatch):
+    table = spark.range(900).selectExpr("id block_id", "concat(if(id % 2 = 0, '0101100010010', lpad(cast(id % 40 as string), 13, '1')), lpad(cast(id % 7 as string), 3, '0')) cvegeo", "if(id % 3 = 0, null, '0010') cve_ageb", "cast(2000 + id % 3 as int) census_year", "if(id % 5 = 0, null, cast(id % 50 as double)) pobtot", "cast(id % 9 as double) pobfem", "if(id % 4 = 0, -1D, 3D) pobmas")
+    assert skew.hot_keys(table.selectExpr("substring(cvegeo, 1, 13) z"), "z")
+    salted = sorted(imputation.fill_blocks(table, ["pobfem"], k=2).collect(), key=lambda r: r.block_id)
+    monkeypatch.setattr(imputation, "hot_keys", lambda *a, **k: [])
+    assert salted == sorted(imputation.fill_blocks(table, ["pobfem"], k=2).collect(), key=lambda r: r.block_id) and len(salted) == 900
+
+
 def test_prototypes_separate_sizes(spark):
     rows = spark.range(300).selectExpr("if(id < 150, 1.0, 5.0) + (id % 3) / 10 a", "if(id < 150, 'x', 'y') c", "id")
     from pyspark.sql import functions as F
