@@ -167,6 +167,33 @@ w AS (SELECT *, {counts}, count(code) OVER (PARTITION BY zone) AS z_code FROM c)
 {" UNION ALL ".join(parts)} UNION ALL SELECT block_id, 'cve_ageb' FROM w WHERE code IS NULL AND z_code > 0"""
 
 
+def _p4_sql() -> str:
+    """Separators that do not separate are masked, then the entry is split at the rest."""
+    steps = [r"""regexp_replace(trim(raw), '^[\[({](.*)[\])}]$', '\1')""", r"""regexp_replace({}, '([0-9]),([0-9]+ *[A-Za-z])', '\1¤\2', 'g')"""]
+    steps += [r"""regexp_replace({}, '(@ *\([^();]*);', '\1§', 'g')"""] * 4
+    steps += [r"""regexp_replace({}, '([a-z] *)/( *(?:h|hr|s)\b)', '\1‡\2', 'gi')""", r"""regexp_replace({}, '([''"])[ \t]+([''"])', '\1;\2', 'g')"""]
+    masked = steps[0]
+    for step in steps[1:]:
+        masked = step.replace("{}", masked, 1)
+    item = r"""replace(replace(replace(trim(trim(trim(x, ' '), '"'''), ' '), '¤', ','), '§', ';'), '‡', '/')"""
+    fields = " UNION ALL ".join(f"SELECT edge_id, '{f}' AS field_name, {f} AS raw FROM edges" for f in PACKED_FIELDS)
+    return f"""WITH e AS ({fields}), s AS (SELECT edge_id, field_name, [{item} FOR x IN regexp_split_to_array({masked}, '[;|,/\\t]')] AS items FROM e WHERE raw IS NOT NULL),
+p AS (SELECT edge_id, field_name, unnest(range(1, len(items) + 1)) AS pos, items FROM s WHERE len([x FOR x IN items IF x <> '']) > 1)
+SELECT edge_id, field_name, CAST(pos AS INTEGER) AS pos, items[pos] AS item FROM p WHERE items[pos] <> ''"""
+
+
+_P6_SQL = r"""WITH good AS (SELECT DISTINCT response_id, body FROM overpass_responses WHERE json_valid(body)),
+obj AS (SELECT g.response_id, t.value AS o, t.path AS path, t.fullkey FROM good g, json_tree(g.body) t WHERE t.type = 'OBJECT'),
+way AS (SELECT response_id, TRY_CAST(o ->> '$.id' AS BIGINT) AS way_id, o -> '$.nodes' AS nodes, o -> '$.tags' AS tags FROM obj
+  WHERE lower(o ->> '$.type') = 'way' OR ((o -> '$.type') IS NULL AND regexp_matches(fullkey, '[.]way\[[0-9]+\]$'))),
+road AS (SELECT response_id, way_id, CASE WHEN json_type(nodes) = 'ARRAY' THEN CAST(nodes AS JSON[]) ELSE [nodes] END AS items FROM way
+  WHERE way_id IS NOT NULL AND nodes IS NOT NULL AND trim(coalesce(CASE WHEN json_type(tags) = 'OBJECT' THEN tags ->> '$.highway' ELSE
+    list_last([coalesce(x ->> '$.v', x ->> '$.value') FOR x IN CAST(tags AS JSON[]) IF coalesce(x ->> '$.k', x ->> '$.key') = 'highway']) END, '')) <> ''),
+item AS (SELECT response_id, way_id, unnest(range(1, len(items) + 1)) AS pos, items FROM road)
+SELECT DISTINCT response_id, way_id, CAST(pos AS INTEGER) AS pos, TRY_CAST(coalesce(CASE WHEN json_type(items[pos]) = 'OBJECT' THEN items[pos] ->> '$.ref' END, items[pos] ->> '$') AS BIGINT) AS node_id FROM item
+WHERE TRY_CAST(coalesce(CASE WHEN json_type(items[pos]) = 'OBJECT' THEN items[pos] ->> '$.ref' END, items[pos] ->> '$') AS BIGINT) IS NOT NULL"""
+
+
 ORACLES = {
     "p1_found": _units_sql("SELECT DISTINCT edge_id, field_name FROM final WHERE unit <> base_unit"),
     "p1_quantities": _units_sql("SELECT f.edge_id, f.field_name, CAST(f.seq AS INTEGER) AS seq, f.number, f.unit, f.unit_from, f.number * a.factor + 0.0 + coalesce(f.inches * 0.0254, 0.0) AS value, f.base_unit FROM final f JOIN (SELECT DISTINCT dimension, unit, factor FROM alias) a ON a.dimension = f.dimension AND a.unit = f.unit"),
@@ -183,6 +210,8 @@ test AS (SELECT h.id, h.lon, h.lat, h.cve_ageb, h.shift,
   FROM hit h JOIN seg s ON s.cve_ageb = h.cve_ageb AND s.shift = h.shift GROUP BY ALL)
 SELECT id, lon, lat, min(cve_ageb) AS cve_ageb FROM test WHERE crossed % 2 = 1 OR touched = 1 GROUP BY id, lon, lat""",
     "p3_found": _p3_sql(),
+    "p4_found": _p4_sql(),
+    "p6_found": _P6_SQL,
     "p5_found": f"WITH {_REFS} SELECT table_name, field_name, row_id, ref_id, strftime(loaded_at, '%Y-%m') AS period FROM orphan",
     "p5_report": f"WITH {_REFS} SELECT table_name, field_name, strftime(loaded_at, '%Y-%m') AS period, status, count(*) AS n_refs, count(DISTINCT ref_id) AS n_targets FROM orphan GROUP BY ALL",
 }
