@@ -3,6 +3,8 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +26,7 @@ def duck():
 def rows_of(frame):
     """Rows as sorted texts, columns by name, floats to six digits."""
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if v is None or (np.isscalar(v) and v != v) or v is pd.NA or v is pd.NaT else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
