@@ -396,6 +396,19 @@ def test_zonal_and_fill(spark):
     sample = raster.resample_nearest(pixels, (-1.0, 1.0, 1.0, 1.0), spark.createDataFrame([(0.5, 0.5), (9.0, 9.0)], "x double, y double"))
     assert sorted((r.value is None, r.value) for r in sample.collect() if r.value is not None) == [(False, 1.0)] and sample.count() == 2
 
+@pytest.mark.parametrize("keys", [range(1, 8001), range(1, 3), [0, 39, 319, 320, 5000], []])
+def test_zones_cover_all_pixels(spark, tmp_path, keys):
+    from citygrain.plans.raster import q36b_zonal_mean_all
+
+    spark.createDataFrame([(k, float(k % 97), 3) for k in keys], "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    groups: dict = {}
+    for k in keys:
+        groups.setdefault(k // 40 // 8 * 4 + k % 40 // 10, []).append(float(k % 97))
+    zones = range((max(keys) // 40 // 8 + 1) * 4) if len(keys) else []
+    got = {r.zone_id: r.nir for r in q36b_zonal_mean_all(spark, str(tmp_path)).collect()}
+    assert got == {z: pytest.approx(np.mean(groups[z]) if z in groups else 0.0, abs=1e-6) for z in zones}
+
+
 
 def test_scenes_and_inventory(spark):
     item = lambda i, day, tile, cloud: (i, dt.datetime(2024, 1, day), {"s2:mgrs_tile": tile, "s2:high_proba_clouds_percentage": str(cloud)}, [("nir", f"n{i}"), ("red", f"r{i}")])
