@@ -29,7 +29,9 @@ COMMON_SHARE, LETTER_SHARE = 0.14, 0.55
 #: Words per sentence that a block of prose, or a marked line, must have at least.
 WORDS_PER_SENTENCE, WORDS_PER_ITEM = 3.5, 6
 ALIGNED_LINES = 3
-#: Bytes from which a text is measured in parts, to bound the memory of a task.
+#: Delimiters of table cells, and how many of one a line has at least.
+DELIMITERS = ((38, 1), (124, 2), (9, 1), (44, 2), (59, 2))
+#: Bytes from which the lines of a text are read in parts, to bound the memory of a task; the result is that of the whole.
 LONG_BYTES = 4 << 20
 
 STATISTICS = {
@@ -82,37 +84,36 @@ def _runs(flag: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
 def measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     """The statistics of each text; ``common`` has the codes of the common words (up to eight bytes each), sorted.
 
-    A text beyond LONG_BYTES is measured in parts that end at line ends (at blank lines where there are any), all of
-    them, and its shares are the means of theirs by characters, words or lines; environments end with a part.
+    A text beyond LONG_BYTES is measured alone. Only the values of its lines are taken in parts; what reaches over
+    lines (environments, blocks, aligned runs, autocorrelations) is decided over all of them.
     """
     long_ = [i for i, t in enumerate(pc.binary_length(texts).to_pylist()) if t and t > LONG_BYTES]
     if not long_:
-        return {k: v for k, v in _measure(texts, common).items() if k in STATISTICS}
-    rest = _measure(pc.if_else(pa.array(np.isin(np.arange(len(texts)), long_)), pa.scalar(None, texts.type), texts), common)
+        return _measure(texts, common)
+    out = _measure(pc.if_else(pa.array(np.isin(np.arange(len(texts)), long_)), pa.scalar(None, texts.type), texts), common)
     for i in long_:
-        parts = _measure(pa.array(_parts(texts[i].as_py())), common)
-        for k in STATISTICS:
-            if k == "n_words":
-                rest[k][i] = parts[k].sum()
-            elif k != "kind":
-                weight = parts["_lines" if "line" in k or k in ("length_autocorrelation", "indent_periodicity") else "n_words" if "word" in k else "_solid"]
-                rest[k][i] = (parts[k] * weight).sum() / max(weight.sum(), 1)
-        rest["_solid"][i] = parts["_solid"].sum()
-    rest["kind"] = _kind(rest)
-    return {k: v for k, v in rest.items() if k in STATISTICS}
-
-
-def _parts(text: str) -> list[str]:
-    out, at = [], 0
+        for k, v in _measure(texts.slice(i, 1), common).items():
+            out[k][i] = v[0]
+    return out
+
+
+def _parts(text: str | bytes) -> Iterator:
+    """The text in parts of about LONG_BYTES / 4 that end at line ends; a longer line is in one part."""
+    feed, back = ("\n", "\r") if isinstance(text, str) else (b"\n", b"\r")
+    at = 0
     while at < len(text):
         end = min(at + LONG_BYTES // 4, len(text))
         if end < len(text):
-            cut = max(text.rfind("\n\n", at, end), text.rfind("\n\r\n", at, end))
-            cut = cut if cut > at else max(text.rfind("\n", at, end), text.rfind("\r", at, end), text.rfind(" ", at, end))
-            end = cut + 1 if cut > at else end
-        out.append(text[at:end])
+            cut = max(text.rfind(feed, at, end), text.rfind(back, at, end))
+            if cut < 0:
+                cut = text.find(feed, end)
+                sooner = text.find(back, end, cut if cut >= 0 else len(text))
+                cut = sooner if sooner >= 0 else cut
+            end = cut + 1 if cut >= 0 else len(text)
+            # A carriage return and its line feed are one line end.
+            end += text[end - 1 : end] == back and text[end : end + 1] == feed
+        yield text[at:end]
         at = end
-    return out
 
 
 def _kind(found: dict[str, np.ndarray]) -> np.ndarray:
@@ -121,24 +122,20 @@ def _kind(found: dict[str, np.ndarray]) -> np.ndarray:
     return np.where(found["_solid"] == 0, "empty", np.where(found["sentence_share"] >= 0.5, "prose", other))
 
 
-def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
-    data, off = string_bytes(texts)
-    n, size = len(off) - 1, len(data)
-    if not size:
-        zero = np.zeros(n)
-        return {k: (np.full(n, "empty") if v == "string" else np.zeros(n, np.int64) if v == "long" else zero.copy()) for k, v in STATISTICS.items()} | {"_solid": zero, "_lines": zero}
-
+def _line_values(data: np.ndarray, off: np.ndarray, common: np.ndarray, prior: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    """Values of each line that only need its bytes and, for column edges, the line above; ``prior`` is the part before."""
+    size = len(data)
+    places = np.arange(size, dtype=np.int32 if size < 2**31 - 1 else np.int64)
     # Lines: they end at a line feed, at a carriage return without one, and at the end of a text.
     feed = (data == 10) | (data == 13)
     feed[:-1] &= ~((data[:-1] == 13) & (data[1:] == 10))
     bounds = np.unique(np.concatenate([off[:-1], np.flatnonzero(feed) + 1]))
     start = bounds[bounds < size]
     stop = np.append(start[1:], size)
-    doc = np.searchsorted(off, start, "right") - 1
     lines = len(start)
 
     solid = ~_BLANK[data]
-    cut = np.minimum.reduceat(np.where((data == 37) & (np.concatenate([[0], data[:-1]]) != 92), np.arange(size), size), start)
+    cut = np.minimum.reduceat(np.where((data == 37) & (np.concatenate([[0], data[:-1]]) != 92), places, size), start)
     code_stop = np.minimum(cut, stop)
 
     def per_line(mask: np.ndarray, end: np.ndarray = stop) -> np.ndarray:
@@ -148,7 +145,7 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     solid_all, solid_code = per_line(solid), per_line(solid, code_stop)
     letter, digit = _LETTER[data], _DIGIT[data]
     letters, digits = per_line(letter, code_stop), per_line(digit, code_stop)
-    first_solid = np.minimum.reduceat(np.where(solid, np.arange(size), size), start)
+    first_solid = np.minimum.reduceat(np.where(solid, places, size), start)
     first_solid = np.minimum(first_solid, stop - 1)
     indent = np.where(solid_all > 0, first_solid - start, 0)
     width = np.where(solid_all > 0, stop - start, 0)
@@ -174,7 +171,7 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     stops = np.flatnonzero(_END[data])
     ahead, behind = data[np.minimum(stops + 1, size - 1)], data[np.maximum(stops - 1, 0)]
     last_line = stops + 1 >= stop[np.searchsorted(start, stops, "right") - 1]
-    word_before = _LETTER[behind] & _LETTER[data[np.maximum(stops - 2, 0)]]
+    word_before = _LETTER[behind] & _LETTER[data[np.maximum(stops - 2, 0)]] & ((stops > 1) | (prior is None))
     ends = stops[(_BLANK[ahead] | last_line | _OPEN_END[ahead]) & (word_before | _OPEN_END[behind])]
     end_line = np.searchsorted(start, ends, "right") - 1
     end_line = end_line[ends < code_stop[end_line]]
@@ -182,81 +179,121 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     final = last_index(solid)[np.maximum(code_stop - 1, 0)]
     closes = (final >= start) & (_END[data[np.maximum(final, 0)]] | (_OPEN_END[data[np.maximum(final, 0)]] & _END[data[np.maximum(final - 1, 0)]]))
 
-    # Environments without sentences, and lines of markup.
+    # Lines of markup.
+    lead = np.flatnonzero(data[first_solid] == 92)
+    run_stop = np.minimum.accumulate(np.where(~letter, places, size)[::-1])[::-1]
+    name_start = np.minimum(first_solid[lead] + 1, size - 1)
+    name_stop = np.minimum(run_stop[name_start], stop[lead])
+    prefix = codes(data, name_start, np.minimum(name_stop, name_start + 8))
+    markup = np.zeros(lines, bool)
+    markup[lead] = np.isin(prefix, _COMMAND_CODES)
+    item = np.zeros(lines, bool)
+    item[lead] = prefix == np.uint64(_prefix_code(b"item"))
+
+    # Delimiters, column edges, and how many of a line's edges the line above has too.
+    delimiters = {f"many_{d}": per_line((data == d) & (np.concatenate([[0], data[:-1]]) != 92)) for d, _ in DELIMITERS}
+    space = data == 32
+    gap_end = np.flatnonzero(space[:-1] & ~space[1:] & np.concatenate([[False], space[:-2]]) & ~feed[1:]) + 1
+    gap_line = np.searchsorted(start, gap_end, "right") - 1
+    inner = gap_end > first_solid[gap_line]
+    gap_end, gap_line = gap_end[inner], gap_line[inner]
+    gaps = np.bincount(gap_line, minlength=lines)
+    # The far edge of a column's cell is where its run of solid bytes ends.
+    edge = np.minimum.accumulate(np.where(~solid, places, size)[::-1])[::-1][np.minimum(gap_end, size - 1)]
+    met, last = {}, {}
+    for name, place in (("near", gap_end - start[gap_line]), ("far", edge - start[gap_line])):
+        key = gap_line * (1 << 20) + np.minimum(place, (1 << 20) - 1)
+        above = np.isin(key - (1 << 20), key if prior is None else np.concatenate([prior[f"_last_{name}"], key]))
+        met[f"met_{name}"] = np.bincount(gap_line[above], minlength=lines)
+        # Keys of the last line, as line -1 of the part that follows.
+        last[f"_last_{name}"] = key[gap_line == lines - 1] - lines * (1 << 20)
+
+    # Lists: lines that begin with a marker.
+    lead_byte, next_byte = data[first_solid], data[np.minimum(first_solid + 1, size - 1)]
+    run_digit = np.minimum.accumulate(np.where(~digit & (data != 46), places, size)[::-1])[::-1]
+    number_stop = np.minimum(run_digit[first_solid], stop - 1)
+    numbered = _DIGIT[lead_byte] & (number_stop - first_solid <= 8) & (_BLANK[data[number_stop]] & (data[np.maximum(number_stop - 1, 0)] == 46) | (data[number_stop] == 41))
+    bullet = np.isin(lead_byte, list(b"-*+")) & _BLANK[next_byte]
+    marked = item | ((numbered | bullet) & (solid_all > 0))
+
+    word_bytes = np.bincount(word_line[plain], (word_stop - word_start)[plain], lines).astype(np.int64)
+    counts = {"start": start, "stop": stop, "code_stop": code_stop, "solid_all": solid_all, "solid_code": solid_code, "letters": letters, "digits": digits, "indent": indent, "width": width, "words": words, "commons": commons, "word_bytes": word_bytes, "terminals": terminals, "symbols": solid_all - per_line(letter) - per_line(digit), "gaps": gaps, **delimiters, **met}
+    # Places and counts of a part fit four bytes, unless a line is longer than that.
+    narrow = np.int32 if size < 2**31 - 1 else np.int64
+    return {k: v.astype(narrow) for k, v in counts.items()} | {"closes": closes, "markup": markup, "marked": marked} | last
+
+
+def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
+    data, off = string_bytes(texts)
+    n, size = len(off) - 1, len(data)
+    if not size:
+        zero = np.zeros(n)
+        return {k: np.full(n, "empty") if v == "string" else np.zeros(n, np.int64) if v == "long" else zero.copy() for k, v in STATISTICS.items()}
+    text = data.tobytes()
+    parts: list[dict[str, np.ndarray]] = []
+    if n > 1 or size <= LONG_BYTES:
+        parts.append(_line_values(data, off, common, None))
+    else:
+        base = 0
+        for piece in _parts(text):
+            values = _line_values(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), common, parts[-1] if parts else None)
+            parts.append(values | {k: values[k] + np.int64(base) for k in ("start", "stop", "code_stop")})
+            base += len(piece)
+    line = {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k[0] != "_"}
+    del parts
+    start, code_stop = line["start"].astype(np.int64), line["code_stop"]
+    solid_all, solid_code, letters, digits, words, commons, gaps = (line[k] for k in ("solid_all", "solid_code", "letters", "digits", "words", "commons", "gaps"))
+    terminals, closes, markup, marked = (line[k] for k in ("terminals", "closes", "markup", "marked"))
+    doc = np.searchsorted(off, start, "right") - 1
+    lines = len(start)
+
+    # Environments without sentences.
     outside = np.ones(lines, bool)
     depth = np.zeros(lines + 1, np.int64)
     open_at: dict[bytes, int] = {}
     current = -1
-    hits = [(m.start(), m.group(1) or (b"begin" if m.group(3) == b"iffalse" else b"end"), m.group(2) or b"iffalse") for m in _ENV.finditer(data.tobytes())]
+    hits = [(m.start(), m.group(1) or (b"begin" if m.group(3) == b"iffalse" else b"end"), m.group(2) or b"iffalse") for m in _ENV.finditer(text)]
     hit_lines = np.searchsorted(start, [h[0] for h in hits], "right") - 1 if hits else np.empty(0, int)
 
     def close_all() -> None:
-        for line in open_at.values():
-            depth[line] += 1
+        for begin in open_at.values():
+            depth[begin] += 1
             depth[np.searchsorted(doc, current, "right")] -= 1
         open_at.clear()
 
-    for (where, what, name), line in zip(hits, hit_lines.tolist(), strict=True):
-        if where >= code_stop[line] and name != b"iffalse":
+    for (where, what, name), at in zip(hits, hit_lines.tolist(), strict=True):
+        if where >= code_stop[at] and name != b"iffalse":
             continue
-        if doc[line] != current:
+        if doc[at] != current:
             close_all()
-            current = doc[line]
+            current = doc[at]
         if what == b"begin":
-            open_at.setdefault(name, line)
+            open_at.setdefault(name, at)
         elif name in open_at:
             depth[open_at.pop(name)] += 1
-            depth[line + 1] -= 1
+            depth[at + 1] -= 1
     close_all()
     outside &= np.cumsum(depth)[:-1] == 0
-    lead = np.flatnonzero(data[first_solid] == 92)
-    run_stop = np.minimum.accumulate(np.where(~letter, np.arange(size), size)[::-1])[::-1]
-    name_start = np.minimum(first_solid[lead] + 1, size - 1)
-    name_stop = np.minimum(run_stop[name_start], stop[lead])
-    prefix = codes(data, name_start, np.minimum(name_stop, name_start + 8))
-    markup = np.zeros(lines, bool)
-    markup[lead] = np.isin(prefix, _COMMAND_CODES)
-    item = np.zeros(lines, bool)
-    item[lead] = prefix == np.uint64(_prefix_code(b"item"))
 
     # Tables: the same number of delimiters, or the same column edges, as the neighbouring line.
     aligned = np.zeros(lines, bool)
-    for delimiter, least in ((38, 1), (124, 2), (9, 1), (44, 2), (59, 2)):
-        many = per_line((data == delimiter) & (np.concatenate([[0], data[:-1]]) != 92))
+    for delimiter, least in DELIMITERS:
+        many = line[f"many_{delimiter}"]
         enough = many >= least
         if delimiter in (44, 59):
             enough &= digits + many > 0.5 * solid_code
         same = np.concatenate([[False], (many[1:] == many[:-1]) & enough[1:] & (doc[1:] == doc[:-1])])
         same |= np.concatenate([same[1:], [False]])
         aligned |= _runs(same & enough, doc, ALIGNED_LINES)
-    space = data == 32
-    gap_end = np.flatnonzero(space[:-1] & ~space[1:] & np.concatenate([[False], space[:-2]]) & ~feed[1:]) + 1
-    gap_line = np.searchsorted(start, gap_end, "right") - 1
-    inner = gap_end > first_solid[gap_line]
-    gap_end, gap_line = gap_end[inner], gap_line[inner]
-    gaps = np.bincount(gap_line, minlength=lines)
-    # The far edge of a column's cell is where its run of solid bytes ends.
-    edge = np.minimum.accumulate(np.where(~solid, np.arange(size), size)[::-1])[::-1][np.minimum(gap_end, size - 1)]
-    for place in (gap_end - start[gap_line], edge - start[gap_line]):
-        key = gap_line * (1 << 20) + np.minimum(place, (1 << 20) - 1)
-        above = np.isin(key - (1 << 20), key)
-        met = np.bincount(gap_line[above], minlength=lines)
+    for met in (line["met_near"], line["met_far"]):
         same = (gaps >= 2) & (met >= 0.6 * gaps) & (np.concatenate([[-1], doc[:-1]]) == doc)
         same |= np.concatenate([same[1:], [False]])
         aligned |= _runs(same & (gaps >= 2), doc, ALIGNED_LINES)
     aligned &= commons < np.maximum(3, 0.3 * words)
 
-    # Lists: lines that begin with a marker.
-    lead_byte, next_byte = data[first_solid], data[np.minimum(first_solid + 1, size - 1)]
-    run_digit = np.minimum.accumulate(np.where(~digit & (data != 46), np.arange(size), size)[::-1])[::-1]
-    number_stop = np.minimum(run_digit[first_solid], stop - 1)
-    numbered = _DIGIT[lead_byte] & (number_stop - first_solid <= 8) & (_BLANK[data[number_stop]] & (data[np.maximum(number_stop - 1, 0)] == 46) | (data[number_stop] == 41))
-    bullet = np.isin(lead_byte, list(b"-*+")) & _BLANK[next_byte]
-    marked = item | ((numbered | bullet) & (solid_all > 0))
-
     # Blocks: neighbouring lines that can hold sentences; a marked line is a block of its own.
-    text = outside & ~markup & ~aligned & (solid_code > 0) & (letters >= 0.4 * solid_code)
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (doc[1:] != doc[:-1])]) | marked | np.concatenate([[False], marked[:-1]])
+    able = outside & ~markup & ~aligned & (solid_code > 0) & (letters >= 0.4 * solid_code)
+    new = np.concatenate([[True], (able[1:] != able[:-1]) | (doc[1:] != doc[:-1])]) | marked | np.concatenate([[False], marked[:-1]])
     block = np.cumsum(new) - 1
     total = lambda v: np.bincount(block, v, block[-1] + 1)
     block_words, block_common, block_ends = total(words), total(commons), total(terminals)
@@ -266,25 +303,25 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     prose = (block_ends > 0) & (block_common >= np.maximum(1, COMMON_SHARE * block_words)) & (block_letters >= LETTER_SHARE * block_solid)
     prose &= np.where(block_marked, (block_words >= WORDS_PER_ITEM) & (block_common >= 2) & block_closes, block_words >= WORDS_PER_SENTENCE * block_ends)
     prose &= block_words >= 4
-    sentence_line = text & prose[block]
+    sentence_line = able & prose[block]
 
     by_doc = lambda v: np.bincount(doc, v, n)
     all_solid = by_doc(solid_all)
     filled = solid_all > 0
     lines_filled = by_doc(filled)
     n_words = by_doc(words).astype(np.int64)
-    word_bytes = np.bincount(doc[word_line[plain]], (word_stop - word_start)[plain], n)
+    word_bytes = by_doc(line["word_bytes"])
     sentence = _ratio(by_doc(np.where(sentence_line, solid_code, 0)), all_solid)
     table_share, list_share = _ratio(by_doc(aligned & filled), lines_filled), _ratio(by_doc(marked & filled), lines_filled)
-    repeats = _lagged(width.astype(float), doc, n, (2, 3, 4))
-    periodic = _lagged(indent.astype(float), doc, n, (1, 2, 3, 4))
-    symbol = by_doc(solid_all - per_line(letter) - per_line(digit))
+    repeats = _lagged(line["width"].astype(float), doc, n, (2, 3, 4))
+    periodic = _lagged(line["indent"].astype(float), doc, n, (1, 2, 3, 4))
+    symbol = by_doc(line["symbols"])
     found = {
         "n_words": n_words, "mean_word_length": _ratio(word_bytes, n_words), "symbol_share": _ratio(symbol, all_solid), "digit_share": _ratio(by_doc(digits), all_solid),
         "terminal_line_share": _ratio(by_doc(closes & filled), lines_filled), "common_word_share": _ratio(by_doc(commons), n_words), "table_line_share": table_share, "list_line_share": list_share,
-        "length_autocorrelation": repeats, "indent_periodicity": periodic, "comment_share": _ratio(by_doc(solid_all - solid_code), all_solid), "sentence_share": sentence, "_solid": all_solid, "_lines": lines_filled,
+        "length_autocorrelation": repeats, "indent_periodicity": periodic, "comment_share": _ratio(by_doc(solid_all - solid_code), all_solid), "sentence_share": sentence, "_solid": all_solid,
     }
-    return found | {"kind": _kind(found)}
+    return {k: v for k, v in (found | {"kind": _kind(found)}).items() if k in STATISTICS}
 
 
 def common_codes(words: list[str]) -> np.ndarray:

@@ -177,6 +177,21 @@ def test_long_texts_are_measured_whole(monkeypatch):
     assert "".join(quality._parts(PROSE * 200)) == PROSE * 200
 
 
+def test_long_texts_have_the_statistics_of_the_whole(monkeypatch):
+    codes = quality.common_codes(COMMON)
+    rng = np.random.default_rng(5)
+    bits = [PROSE, TABLE, "\\begin{verbatim}\n", "\\end\n{verbatim}\n", "\\iffalse\n", "\\fi\n", "% " + PROSE.replace("\n", " "), "\n\n", "a.\r\n", "a.\r", "- it is\n", "one   two   six\n", "x" * 1500, "(a). ", "\\", "2) "]
+    texts = ["".join(bits[k] for k in rng.integers(0, len(bits), 60)) for _ in range(40)]
+    texts += ["\\begin{verbatim}\n" + (PROSE + "\n") * 200 + "\\end{verbatim}\n", "% " + "it is the end of that. " * 400 + "\n" + PROSE, "é\n" * 3000, "\r\n" * 4000, None]
+    alone = [quality.measure(pa.array([t], pa.string()), codes) for t in texts]
+    monkeypatch.setattr(quality, "LONG_BYTES", 1600)
+    parts = quality.measure(pa.array(texts), codes)
+    for i, one in enumerate(alone):
+        assert {k: parts[k][i] for k in quality.STATISTICS} == {k: one[k][0] for k in quality.STATISTICS}
+    assert parts["sentence_share"][40] == 0 and parts["comment_share"][41] > 0.9
+    assert all("".join(quality._parts(t)) == t for t in texts if t)
+
+
 def test_measures():
     found = quality.measure(pa.array(["ab cde, 12\nf."]), quality.common_codes(["f"]))
     assert found["n_words"][0] == 3 and found["mean_word_length"][0] == 2 and found["common_word_share"][0] == pytest.approx(1 / 3)
