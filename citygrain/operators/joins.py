@@ -174,11 +174,17 @@ def _nearest_by_rings(points: DataFrame, nodes: DataFrame, projected: bool, x: s
     extent = max(span[2] - span[0], span[3] - span[1], 1e-9)
     size, rest, done = 2 * extent / max(1.0, span[4] ** 0.5), keyed, None
     own = keyed.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-    reach = max(span[2], own[2] or span[2]) - min(span[0], own[0] or span[0]) + max(span[3], own[3] or span[3]) - min(span[1], own[1] or span[1])
+    own = span if own[0] is None else own
+    reach = max(span[2], own[2]) - min(span[0], own[0]) + max(span[3], own[3]) - min(span[1], own[1])
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     while True:
         final = size >= reach
-        spread = nodes.withColumn("_o", F.explode(offsets)).withColumns({"_cx": F.floor(F.col("_nx") / size) + F.col("_o.i"), "_cy": F.floor(F.col("_ny") / size) + F.col("_o.j")}).drop("_o")
+        around = nodes
+        if not projected:
+            # As in NearestIndex, nodes also lie at x - 360 and x + 360; only copies that share a cell with a point can be met.
+            turned = nodes.withColumn("_nx", F.explode(F.array(F.col("_nx") - 360, F.col("_nx") + 360)))
+            around = nodes.unionByName(turned.where(F.col("_nx").between(own[0] - 2 * size, own[2] + 2 * size)))
+        spread = around.withColumn("_o", F.explode(offsets)).withColumns({"_cx": F.floor(F.col("_nx") / size) + F.col("_o.i"), "_cy": F.floor(F.col("_ny") / size) + F.col("_o.j")}).drop("_o")
         near = rest.withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)}).join(spread, ["_cx", "_cy"])
         plane = F.sqrt(F.pow(F.col(x) - F.col("_nx"), 2) + F.pow(F.col(y) - F.col("_ny"), 2))
         d = plane if projected else haversine(F.col(x), F.col(y), F.col("_nx"), F.col("_ny"))

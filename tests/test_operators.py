@@ -122,6 +122,28 @@ def test_nearest_nodes(spark, projected, most):
         joins.nearest_nodes(pts.withColumn("x", F.lit(None).cast("double")), nodes, projected)
 
 
+def test_rings_reach_over_the_180th_meridian(spark):
+    from citygrain.operators.proximity import haversine_m
+
+    rng = np.random.default_rng(8)
+    side = lambda n: np.where(rng.random(n) < 0.5, -1, 1) * rng.uniform(176, 180, n)
+    nx, ny = np.concatenate([side(150), rng.uniform(-180, 180, 150)]), rng.uniform(-85, 85, 300)
+    px, py = np.append(side(80), [-180.0, 180.0, 179.9, 0.0]), np.append(rng.uniform(-89, 89, 80), [0.0, 0.0, 90.0, -90.0])
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(nx, ny))], "osmid long, x double, y double")
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(px, py))], "id long, x double, y double")
+    got = joins.nearest_nodes(pts, nodes, False, True, most_broadcast=0).collect()
+    assert sorted(r.id for r in got) == list(range(len(px)))
+    for r in got:
+        d = haversine_m(r.x, r.y, nx, ny)
+        assert r.distance_node == pytest.approx(d.min(), abs=0.01) and d[r.osmid] == pytest.approx(d.min(), abs=0.01)
+    east = spark.createDataFrame([(1, 179.0, 0.0), (2, -179.99, 0.0)] + [(k, k / 10.0, 40.0) for k in range(3, 600)], "osmid long, x double, y double")
+    assert joins.nearest_nodes(spark.createDataFrame([(179.99, 0.0)], "x double, y double"), east, False, most_broadcast=0).first().osmid == 2
+    assert joins.nearest_nodes(pts.limit(0), east, False, most_broadcast=0).count() == 0
+    far = spark.createDataFrame([(k, 50.0 + k, 50.0) for k in range(10)], "osmid long, x double, y double")
+    zero = spark.createDataFrame([(0.0, 0.0)], "x double, y double")
+    assert [joins.nearest_nodes(zero, far, False, most_broadcast=most).first() for most in (0, 100)] == [(0.0, 0.0, 0)] * 2
+
+
 def test_grid(spark):
     q, r = grid.cell_of(F.col("x"), F.col("y"), 2.0)
     rng = np.random.default_rng(1)
