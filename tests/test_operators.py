@@ -329,6 +329,24 @@ def test_network_searches(spark):
     assert hull.count() == 1 and {(r.u, r.v, r.key) for r in inside.collect()} == {(u, v, k) for u, v, k, _ in plain if u in near and v in near}
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_searches_on_dirty_edges(spark, most):
+    nodes, edges, plain = lattice(spark)
+    # Short ways over places that are no nodes, edges without weight, and an edge only one end of which is a node.
+    dirt = [(3, 777, 0, 0.5), (777, 40, 0, 0.5), (888, 889, 0, 1.0), (48, 889, 0, 1.0), (3, 45, 0, None), (0, 48, 0, math.nan), (900, 3, 0, None), (None, 3, 0, 1.0)]
+    dirty = edges.unionByName(spark.createDataFrame(dirt, "u long, v long, key int, length double"))
+    seeds = spark.createDataFrame([(0, 12345), (1, 3), (2, 40), (3, 40), (4, 777), (5, 889)], "seed_pos long, osmid long")
+    each = {s: {k: v[0] for k, v in dijkstra(plain, s).items()} for s in (3, 40)}
+    at = {1: 3, 2: 40, 3: 40}
+    for limit in (None, 1500.0):
+        near = {(p, k): d for p, s in at.items() for k, d in each[s].items() if limit is None or d <= limit}
+        got = {r.osmid: (r.dist, r.seed_pos) for r in network.multi_source(nodes, dirty, seeds, "length", limit, most_edges=most).collect()}
+        assert got == {k: min((d, p) for (p, o), d in near.items() if o == k) for _, k in near}
+        assert {(r.seed_pos, r.osmid): r.dist for r in network.per_seed(nodes, dirty, seeds, "length", limit, most_edges=most).collect()} == near
+    counts = {r.osmid: r.n for r in network.counts_within(nodes, dirty, seeds, "length", 1500.0, most_edges=most).collect()}
+    assert counts == {k: sum(o == k for _, o in near) for _, k in near}
+
+
 def test_time_to_pois(spark):
     nodes, edges, plain = lattice(spark)
     pois = spark.createDataFrame([("p", 3.2, 0.1, "g1"), ("q", 5.0, 5.1, "g1"), ("r", 5.0, 4.9, "g2")], "poi_id string, x double, y double, goi string")
