@@ -84,12 +84,12 @@ def pack(docs: DataFrame, capacities: DataFrame, shares: DataFrame | None = None
         target = sources.select("source").join(shares.select("source", "share"), "source", "left").fillna(0.0)
     per_part = docs.groupBy("part", "source").agg(F.sum("n_tokens").alias("actual"))
     of_part = per_part.groupBy("part").agg(F.sum("actual").alias("part_total"))
-    every = of_part.withColumn("source", F.explode(F.lit([r["source"] for r in sources.limit(10_000).collect()] or [""])))
+    every = of_part.crossJoin(F.broadcast(sources.select("source")))
     every = every.join(target, "source").join(per_part, ["part", "source"], "left").fillna(0, ["actual"])
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.coalesce(F.sum(F.col("share") * F.col("part_total") - F.col("actual")).over(before), F.lit(0.0))
     budget = every.select("part", "source", "share", carried.alias("deficit"))
-    sizes = [(r["size_id"], r["capacity_tokens"]) for r in capacities.select("size_id", "capacity_tokens").where("capacity_tokens >= 1").distinct().limit(1000).collect()]
+    sizes = [(r["size_id"], r["capacity_tokens"]) for r in capacities.select("size_id", "capacity_tokens").where("capacity_tokens >= 1").distinct().collect()]
     kind = capacities.schema["size_id"].dataType.simpleString()
     each = F.explode(F.array(*[F.struct(F.lit(a).cast(kind).alias("size_id"), F.lit(b).cast("long").alias("capacity_tokens")) for a, b in sizes])) if sizes else F.explode(F.array().cast(f"array<struct<size_id:{kind},capacity_tokens:bigint>>"))
     id_kind = docs.schema["doc_id"].dataType.simpleString()

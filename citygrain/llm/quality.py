@@ -333,12 +333,15 @@ def common_codes(words: list[str]) -> np.ndarray:
 def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text", max_words: int = 10_000) -> DataFrame:
     """(id, statistics) of each text, one row per row of ``docs``; a narrow scan without a shuffle.
 
-    ``common_words`` has a column ``word``; it is a fixed list, read up to ``max_words`` words. ``sentence_share`` is
+    ``common_words`` has a column ``word``; it is a fixed list; more than ``max_words`` words raise ValueError. ``sentence_share`` is
     the share of the non-blank characters that stand in sentences of natural language outside comments; ``kind`` is
     ``prose`` from a half on, else ``table``, ``list`` or ``junk``, and ``empty`` for null, empty and blank texts, whose
     shares are 0. Texts are taken whole, whatever their length. Other columns are not read.
     """
-    common = common_codes([r[0] for r in common_words.select("word").where(F.col("word").isNotNull()).distinct().limit(max_words).collect()])
+    words = [r[0] for r in common_words.select("word").where(F.col("word").isNotNull()).distinct().limit(max_words + 1).collect()]
+    if len(words) > max_words:
+        raise ValueError(f"there are more than {max_words} common words")
+    common = common_codes(words)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

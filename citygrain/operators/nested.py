@@ -181,9 +181,13 @@ def _integers(t: Tokens, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     known = (index >= 0) & np.isin(t.kind[index], (TEXT, LITERAL))
     values = np.zeros(len(index), np.int64)
     raw = slices(t.data, t.start[index[known]], t.stop[index[known]])
-    whole = pc.match_substring_regex(raw, r"^\s*-?[0-9]{1,18}(?:\.0+)?\s*$").to_numpy(zero_copy_only=False)
-    number = pc.cast(pc.replace_substring_regex(raw.filter(pa.array(whole)), r"\s+|\.0+\s*$", ""), pa.int64())
-    where = np.flatnonzero(known)[whole]
+    whole = pc.match_substring_regex(raw, r"^\s*-?[0-9]{1,19}(?:\.0+)?\s*$").to_numpy(zero_copy_only=False)
+    number = pc.replace_substring_regex(raw.filter(pa.array(whole)), r"\s+|\.0+\s*$", "")
+    # Of 19 digits, those that a BIGINT holds.
+    digits = pc.utf8_lpad(pc.replace_substring_regex(number, "^-", ""), 19, "0")
+    fits = pc.less_equal(digits, pc.if_else(pc.starts_with(number, "-"), str(2**63), str(2**63 - 1)).cast(digits.type)).to_numpy(zero_copy_only=False)
+    number = pc.cast(number.filter(pa.array(fits)), pa.int64())
+    where = np.flatnonzero(known)[whole][fits]
     values[where] = number.to_numpy()
     known = np.zeros(len(index), bool)
     known[where] = True

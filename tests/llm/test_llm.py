@@ -192,6 +192,19 @@ def test_long_texts_have_the_statistics_of_the_whole(monkeypatch):
     assert all("".join(quality._parts(t)) == t for t in texts if t)
 
 
+def test_common_words_beyond_the_bound_raise(spark):
+    docs, words = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([("a",), ("b",), ("b",)], "word string")
+    assert quality.text_statistics(docs, words, max_words=2).count() == 1
+    with pytest.raises(ValueError):
+        quality.text_statistics(docs, words, max_words=1)
+
+
+def test_packing_has_all_capacities(spark):
+    docs = spark.range(1).selectExpr("id doc_id", "'s' source", "2L n_tokens")
+    many = spark.range(1, 1011).selectExpr("cast(id as int) size_id", "id + 8 capacity_tokens")
+    assert packing.pack(docs, many).select("size_id").distinct().count() == 1010
+
+
 def test_measures():
     found = quality.measure(pa.array(["ab cde, 12\nf."]), quality.common_codes(["f"]))
     assert found["n_words"][0] == 3 and found["mean_word_length"][0] == 2 and found["common_word_share"][0] == pytest.approx(1 / 3)

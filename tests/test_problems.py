@@ -398,3 +398,18 @@ def test_passes_cut_no_text(monkeypatch):
     ranges = list(buffers.passes(texts))
     assert [i for a, b in ranges for i in range(a, b)] == list(range(6))
     assert list(buffers.passes(pa.array([], pa.string()))) == []
+
+
+def test_numbers_of_19_digits_are_known():
+    import numpy as np
+    import pyarrow as pa
+
+    from citygrain.operators import nested
+
+    texts = ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "1000000000000000001", "12.0", "x"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    stop = np.cumsum([len(t) for t in texts])
+    tokens = type("T", (), dict(data=data, start=stop - [len(t) for t in texts], stop=stop, kind=np.full(len(texts), nested.LITERAL)))
+    values, known = nested._integers(tokens, np.arange(len(texts)))
+    assert known.tolist() == [True, False, True, True, True, False]
+    assert values[known].tolist() == [2**63 - 1, -(2**63), 10**18 + 1, 12]
