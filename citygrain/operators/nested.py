@@ -2,7 +2,8 @@
 
 The Arrow buffer of the texts is flattened with array operations only: quote parity and bracket depth give the
 tokens, a sort by depth gives each token its enclosing container (the parent index), offsets within a container
-give the places of list items, and keys reach the children by a vectorised take. No text is parsed by itself.
+give the places of list items, and keys reach the children by a vectorised take. A string that holds JSON itself is
+unescaped and put in the place of the string, and the text is flattened again. No text is parsed by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +23,15 @@ OPEN_OBJECT, CLOSE_OBJECT, OPEN_LIST, CLOSE_LIST, COLON, COMMA, TEXT, LITERAL, S
 _KIND = np.full(256, LITERAL, np.int8)
 for _byte, _kind in zip(b'{}[]:,"', range(7), strict=True):
     _KIND[_byte] = _kind
+_HEX = np.full(256, -1, np.int64)
+for _byte in b"0123456789abcdefABCDEF":
+    _HEX[_byte] = int(chr(_byte), 16)
+_ESCAPED = np.arange(256, dtype=np.uint8)
+for _byte, _plain in zip(b"bfnrt", b"\b\f\n\r\t", strict=True):
+    _ESCAPED[_byte] = _plain
+_CAN_ESCAPE = np.isin(np.arange(256), list(b'"\\/bfnrtu'))
+#: What a string that holds JSON begins with; quotes and backslashes are those of strings within strings.
+_HOLDS_JSON = r'^(?:[ \t\r\n"]|\\[nrt"\\])*[\[{]'
 _LITERAL = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
 
 
@@ -38,27 +48,67 @@ class Tokens:
     is_key: np.ndarray
     complete: np.ndarray  # per row
     code: np.ndarray  # of texts up to eight bytes
+    off: np.ndarray  # where the rows begin and end in ``data``
 
     def text(self, index: np.ndarray) -> pa.Array:
         """Unescaped strings (or literals as written) of the tokens at ``index``."""
-        raw = slices(self.data, self.start[index], self.stop[index])
-        escaped = pc.match_substring(raw, "\\").to_numpy(zero_copy_only=False)
-        if not escaped.any():
-            return raw
-        plain = pa.array(_unescape(raw.filter(pa.array(escaped))), raw.type)
-        return pc.replace_with_mask(raw, pa.array(escaped), plain)
-
-
-def _unescape(raw: pa.Array) -> list[str | None]:
-    import json
-
-    out = []
-    for x in raw.to_pylist():
-        try:
-            out.append(json.loads(f'"{x}"').encode("utf-8", "replace").decode())
-        except ValueError:
-            out.append(None)
-    return out
+        return unescape(slices(self.data, self.start[index], self.stop[index]))
+
+
+def _escapes(data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backslashes that begin an escape, and the run of backslashes (begin, end) that each row's come in."""
+    runs = np.flatnonzero(data == 92)
+    if not len(runs):
+        return runs, np.empty((0, 2), np.int64)
+    head = np.concatenate([[True], (np.diff(runs) > 1) | (row[runs[1:]] != row[runs[:-1]])])
+    begin = runs[head]
+    end = np.append(runs[np.flatnonzero(head)[1:] - 1], runs[-1]) + 1
+    first = np.repeat(begin, end - begin)
+    return runs[(runs - first) % 2 == 0], np.column_stack([begin, end])
+
+
+def _hex(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The value of four hexadecimal digits from ``at`` on, or -1."""
+    value = np.zeros(len(at), np.int64)
+    for k in range(4):
+        digit = _HEX[data[np.minimum(at + k, len(data) - 1)]]
+        value = np.where((value < 0) | (digit < 0) | (at + k >= len(data)), -1, value * 16 + digit)
+    return value
+
+
+def unescape(raw: pa.Array) -> pa.Array:
+    """JSON strings without their escapes; half a surrogate pair becomes a question mark."""
+    data, off = string_bytes(raw)
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    at, _ = _escapes(data, row)
+    if not len(at):
+        return raw
+    out, keep = data.copy(), np.ones(len(data), bool)
+    keep[at] = False
+    after = np.minimum(at + 1, len(data) - 1)
+    out[after] = _ESCAPED[data[after]]
+    at = at[data[after] == 117]
+    value = _hex(data, at + 2)
+    at, value = at[value >= 0], value[value >= 0]
+    high = (value >= 0xD800) & (value < 0xDC00)
+    low = (value >= 0xDC00) & (value < 0xE000)
+    follows = np.concatenate([(at[1:] == at[:-1] + 6) & (row[at[1:]] == row[at[:-1]]) & low[1:], [False]]) if len(at) else high
+    pair = high & follows
+    second = np.concatenate([[False], pair[:-1]]) if len(at) else pair
+    whole = np.where(pair, 0x10000 + ((value - 0xD800) << 10) + np.append(value[1:], 0) - 0xDC00, value)
+    whole = np.where((high & ~pair) | (low & ~second), 63, whole)
+    for k in range(6):
+        keep[at + k] = False
+    at, whole = at[~second], whole[~second]
+    size = 1 + (whole > 0x7F) + (whole > 0x7FF) + (whole > 0xFFFF)
+    for k in range(4):
+        on = size > k
+        shift = 6 * (size[on] - 1 - k)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size[on]]
+        out[at[on] + k] = (whole[on] >> shift) | lead if k == 0 else ((whole[on] >> shift) & 0x3F) | 0x80
+        keep[at[on] + k] = True
+    total = np.concatenate([[0], np.cumsum(keep)])
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(total[off]), pa.py_buffer(np.ascontiguousarray(out[keep]))).cast(raw.type)
 
 
 def _running(mask: np.ndarray) -> np.ndarray:
@@ -76,13 +126,15 @@ def tokenize(column: pa.Array) -> Tokens:
     # A quote after an odd run of backslashes is part of a string. A run ends at the start of a text.
     slash = data == 92
     quote = data == 34
-    runs = np.flatnonzero(slash)
+    escapes, runs = _escapes(data, row)
     if len(runs):
-        head = np.concatenate([[True], (np.diff(runs) > 1) | (row[runs[1:]] != row[runs[:-1]])])
-        begin = runs[head]
-        end = np.append(runs[np.flatnonzero(head)[1:] - 1], runs[-1]) + 1
+        begin, end = runs.T
         after = end[((end - begin) % 2 == 1) & (end < size)]
         quote[after[row[after] == row[after - 1]]] = False
+        after = np.minimum(escapes + 1, size - 1)
+        wrong = ~_CAN_ESCAPE[data[after]]
+        wrong |= (data[after] == 117) & (_hex(data, after + 1) < 0)
+        bad[row[escapes[wrong]]] = True
     total = _running(quote)
     bad |= (np.diff(total[off]) & 1).astype(bool)
     quote &= ~bad[row]
@@ -155,17 +207,53 @@ def tokenize(column: pa.Array) -> Tokens:
     place = np.cumsum(keep) - 1
     parent = np.where(parent >= 0, place[parent], -1)[keep]
     start, stop, kind, row, is_key = (x[keep] for x in (start, stop, kind, row, is_key))
-    tokens = Tokens(data, start, stop, kind, row, parent, is_key, ~bad, codes(data, start, stop))
-    escaped = _escaped_keys(tokens, slash)
+    tokens = Tokens(data, start, stop, kind, row, parent, is_key, ~bad, codes(data, start, stop), off)
+    total = _running(slash)
+    escaped = np.flatnonzero((kind == TEXT) & (total[stop] > total[start]) & (stop - start <= 48))  # eight characters of six bytes
     if len(escaped):
-        for i, word in zip(escaped, tokens.text(escaped).to_pylist(), strict=True):
-            tokens.code[i] = code(word) if word and len(word.encode()) <= 8 else 0
+        plain, at = string_bytes(tokens.text(escaped))
+        tokens.code[escaped] = codes(plain, at[:-1], at[1:])
     return tokens
 
 
-def _escaped_keys(tokens: Tokens, slash: np.ndarray) -> np.ndarray:
-    total = _running(slash)
-    return np.flatnonzero(tokens.is_key & (total[tokens.stop] > total[tokens.start]))
+def splice(t: Tokens) -> tuple[np.ndarray, pa.Array]:
+    """(rows, texts): the rows with strings that are complete JSON lists or objects, and their texts with these in place of the strings.
+
+    The value of a tag stays a string, whatever it looks like.
+    """
+    none = np.empty(0, np.int64), pa.array([], pa.large_string())
+    lead = t.data[np.minimum(t.start, len(t.data) - 1)] if len(t.data) else t.start
+    found = np.flatnonzero((t.kind == TEXT) & ~t.is_key & (t.stop - t.start > 1) & np.isin(lead, list(b'[{\\ "')))
+    tags = np.zeros(len(t.kind) + 1, bool)
+    key = np.flatnonzero(t.is_key & (t.code == code("tags")))
+    tags[key + 2] = True
+    holder = t.parent[found]
+    found = found[~((holder >= 0) & (tags[holder] | ((t.parent[holder] >= 0) & tags[t.parent[holder]])))]
+    if not len(found):
+        return none
+    raw = slices(t.data, t.start[found], t.stop[found])
+    found = found[pc.match_substring_regex(raw, _HOLDS_JSON).to_numpy(zero_copy_only=False)]
+    inner = t.text(found).cast(pa.large_string())
+    whole = tokenize(inner).complete
+    found, inner = found[whole], inner.filter(pa.array(whole))
+    if not len(found):
+        return none
+    plain, at = string_bytes(inner)
+    data = np.concatenate([t.data, plain])
+    at = at + len(t.data)
+    row = t.row[found]
+    rows, first, many = np.unique(row, return_index=True, return_counts=True)
+    # The pieces of a row: what stands before each string, the string's text, and in the end the rest.
+    before = np.concatenate([[0], t.stop[found[:-1]] + 1])
+    before[first] = t.off[rows]
+    start = np.concatenate([before, at[:-1], t.stop[found[first + many - 1]] + 1])
+    stop = np.concatenate([t.start[found] - 1, at[1:], t.off[rows + 1]])
+    order = np.lexsort((np.concatenate([np.zeros(len(found)), np.ones(len(found)), np.zeros(len(rows))]), np.concatenate([found, found, np.full(len(rows), len(t.kind))]), np.concatenate([row, row, rows])))
+    start, stop = start[order], stop[order]
+    ends = np.cumsum(2 * many + 1)
+    sizes = np.concatenate([[0], np.cumsum(stop - start)])
+    text, _ = string_bytes(slices(data, start, stop))
+    return rows, pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(np.concatenate([[0], sizes[ends]])), pa.py_buffer(np.ascontiguousarray(text)))
 
 
 def _member(t: Tokens, *names: str) -> np.ndarray:
@@ -197,11 +285,36 @@ def _integers(t: Tokens, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def flatten_ways(column: pa.Array) -> dict[str, dict[str, np.ndarray | pa.Array]]:
     """Flat tables ``ways``, ``tags`` and ``nodes`` of the ways at any depth of the JSON texts; ``row`` links to the text.
 
+    Strings that hold complete JSON count as what they hold, at any depth of strings within strings; such texts
+    are flattened again with the strings' content in their place, until none is left.
+    """
+    levels, own = [], np.arange(len(column))
+    while True:
+        t = tokenize(column)
+        again, column = splice(t)
+        flat = _flatten(t)
+        for part in flat.values():
+            stays = ~np.isin(part["row"], again)
+            for name, values in part.items():
+                part[name] = values.filter(pa.array(stays)) if isinstance(values, pa.Array) else values[stays]
+            part["row"] = own[part["row"]]
+        levels.append(flat)
+        if not len(again):
+            break
+        own = own[again]
+    if len(levels) == 1:
+        return levels[0]
+    join = lambda parts: pa.concat_arrays([p.cast(pa.large_string()) for p in parts]) if isinstance(parts[0], pa.Array) else np.concatenate(parts)
+    return {k: {c: join([level[k][c] for level in levels]) for c in levels[0][k]} for k in levels[0]}
+
+
+def _flatten(t: Tokens) -> dict[str, dict[str, np.ndarray | pa.Array]]:
+    """The flat tables of the tokens.
+
     A way is an object of type ``way`` in any case, or without a type in a list under the key ``way``, that has an
     id; a member that only refers to one has none. Nodes may be a list of numbers, of texts or of objects with a
     ``ref``, or one number; tags an object or a list of key and value objects. A null in a list keeps its place.
     """
-    t = tokenize(column)
     count = len(t.kind)
     if not count:
         none, text = np.empty(0, np.int64), pa.array([], pa.string())
@@ -238,7 +351,7 @@ def flatten_ways(column: pa.Array) -> dict[str, dict[str, np.ndarray | pa.Array]
     listed = nodes_of[ways]
     has_list = np.flatnonzero((listed >= 0) & (t.kind[listed] == OPEN_LIST))
     item, which, pos = items(listed[has_list])
-    single = np.flatnonzero((listed >= 0) & ((t.kind[listed] == LITERAL) | (t.kind[listed] == TEXT)))
+    single = np.flatnonzero((listed >= 0) & (((t.kind[listed] == LITERAL) & (t.code[listed] != code("null"))) | (t.kind[listed] == TEXT)))
     item = np.concatenate([item, listed[single]])
     of_way = np.concatenate([has_list[which], single])
     pos = np.concatenate([pos, np.ones(len(single), np.int64)])

@@ -182,16 +182,23 @@ p AS (SELECT edge_id, field_name, unnest(range(1, len(items) + 1)) AS pos, items
 SELECT edge_id, field_name, CAST(pos AS INTEGER) AS pos, items[pos] AS item FROM p WHERE items[pos] <> ''"""
 
 
-_P6_SQL = r"""WITH good AS (SELECT DISTINCT response_id, body FROM overpass_responses WHERE json_valid(body)),
-obj AS (SELECT g.response_id, t.value AS o, t.path AS path, t.fullkey FROM good g, json_tree(g.body) t WHERE t.type = 'OBJECT'),
-way AS (SELECT response_id, TRY_CAST(o ->> '$.id' AS BIGINT) AS way_id, o -> '$.nodes' AS nodes, o -> '$.tags' AS tags FROM obj
-  WHERE lower(o ->> '$.type') = 'way' OR ((o -> '$.type') IS NULL AND regexp_matches(fullkey, '[.]way\[[0-9]+\]$'))),
-road AS (SELECT response_id, way_id, CASE WHEN json_type(nodes) = 'ARRAY' THEN CAST(nodes AS JSON[]) ELSE [nodes] END AS items FROM way
-  WHERE way_id IS NOT NULL AND nodes IS NOT NULL AND trim(coalesce(CASE WHEN json_type(tags) = 'OBJECT' THEN tags ->> '$.highway' ELSE
-    list_last([coalesce(x ->> '$.v', x ->> '$.value') FOR x IN CAST(tags AS JSON[]) IF coalesce(x ->> '$.k', x ->> '$.key') = 'highway']) END, '')) <> ''),
+_P6_WAYS = r"""WITH RECURSIVE doc AS (SELECT response_id, CAST(body AS JSON) AS j FROM overpass_responses WHERE json_valid(body) UNION
+  SELECT d.response_id, CAST(t.value ->> '$' AS JSON) FROM doc d, json_tree(d.j) t WHERE t.type = 'VARCHAR' AND regexp_matches(t.value ->> '$', '^[\s"]*[\[{]')
+  AND json_valid(t.value ->> '$') AND NOT regexp_matches(t.fullkey, '[.]tags[.]|[.]tags\[[0-9]+\][.]')),
+obj AS (SELECT d.response_id, t.value AS o, t.fullkey FROM doc d, json_tree(d.j) t WHERE t.type = 'OBJECT'),
+way AS (SELECT DISTINCT response_id, way_id, nodes, tags, CASE WHEN json_type(tags) = 'OBJECT' THEN tags ->> '$.highway' ELSE
+    list_last([coalesce(x ->> '$.v', x ->> '$.value') FOR x IN CAST(tags AS JSON[]) IF coalesce(x ->> '$.k', x ->> '$.key') = 'highway']) END AS road
+  FROM (SELECT response_id, TRY_CAST(o ->> '$.id' AS BIGINT) AS way_id, o -> '$.nodes' AS nodes, o -> '$.tags' AS tags FROM obj
+    WHERE lower(o ->> '$.type') = 'way' OR ((o -> '$.type') IS NULL AND regexp_matches(fullkey, '[.]way\[[0-9]+\]$'))) WHERE way_id IS NOT NULL)"""
+_P6_SQL = _P6_WAYS + r""",
+road AS (SELECT response_id, way_id, CASE WHEN json_type(nodes) = 'ARRAY' THEN CAST(nodes AS JSON[]) ELSE [nodes] END AS items FROM way WHERE nodes IS NOT NULL AND trim(coalesce(road, '')) <> ''),
 item AS (SELECT response_id, way_id, unnest(range(1, len(items) + 1)) AS pos, items FROM road)
 SELECT DISTINCT response_id, way_id, CAST(pos AS INTEGER) AS pos, TRY_CAST(coalesce(CASE WHEN json_type(items[pos]) = 'OBJECT' THEN items[pos] ->> '$.ref' END, items[pos] ->> '$') AS BIGINT) AS node_id FROM item
 WHERE TRY_CAST(coalesce(CASE WHEN json_type(items[pos]) = 'OBJECT' THEN items[pos] ->> '$.ref' END, items[pos] ->> '$') AS BIGINT) IS NOT NULL"""
+_P6_TAGS_SQL = _P6_WAYS + r""",
+pair AS (SELECT response_id, way_id, k AS tag_key, json_extract(tags, '$."' || k || '"') AS v FROM (SELECT response_id, way_id, tags, unnest(json_keys(tags)) AS k FROM way WHERE json_type(tags) = 'OBJECT') UNION ALL
+  SELECT response_id, way_id, coalesce(x ->> '$.k', x ->> '$.key'), coalesce(x -> '$.v', x -> '$.value') FROM (SELECT response_id, way_id, unnest(CAST(tags AS JSON[])) AS x FROM way WHERE json_type(tags) = 'ARRAY'))
+SELECT DISTINCT response_id, way_id, tag_key, v ->> '$' AS tag_value FROM pair WHERE tag_key IS NOT NULL AND json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
 
 
 ORACLES = {
@@ -212,6 +219,8 @@ SELECT id, lon, lat, min(cve_ageb) AS cve_ageb FROM test WHERE crossed % 2 = 1 O
     "p3_found": _p3_sql(),
     "p4_found": _p4_sql(),
     "p6_found": _P6_SQL,
+    "p6_ways": _P6_WAYS + " SELECT DISTINCT response_id, way_id, CAST(CASE json_type(nodes) WHEN 'ARRAY' THEN json_array_length(nodes) WHEN 'OBJECT' THEN 0 WHEN 'NULL' THEN 0 ELSE CASE WHEN nodes IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS n_nodes, CASE WHEN trim(coalesce(road, '')) <> '' THEN road END AS highway FROM way",
+    "p6_tags": _P6_TAGS_SQL,
     "p5_found": f"WITH {_REFS} SELECT table_name, field_name, row_id, ref_id, strftime(loaded_at, '%Y-%m') AS period FROM orphan",
     "p5_report": f"WITH {_REFS} SELECT table_name, field_name, strftime(loaded_at, '%Y-%m') AS period, status, count(*) AS n_refs, count(DISTINCT ref_id) AS n_targets FROM orphan GROUP BY ALL",
 }

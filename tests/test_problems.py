@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -195,8 +197,18 @@ def ways_plainly(body):
         except (TypeError, ValueError):
             return None
 
+    def opened(x):
+        """What a string of JSON holds; other values as they are."""
+        try:
+            inner = json.loads(x) if isinstance(x, str) and x.lstrip(' \t\r\n"')[:1] in ("[", "{") else x
+            return opened(inner) if inner is not x else x
+        except ValueError:
+            return x
+
     def walk(o, key, in_list):
+        o = opened(o)
         if isinstance(o, dict):
+            o = {k: opened(v) for k, v in o.items()}
             kind = o.get("type")
             named = isinstance(kind, str) and kind.lower() == "way"
             if (named or ("type" not in o and key == "way")) and number(o.get("id")) is not None and not isinstance(o["id"], bool):
@@ -208,7 +220,8 @@ def ways_plainly(body):
                     if number(n) is not None and isinstance(road, str) and road.strip():
                         out.add((int(o["id"]), pos, int(n)))
             for k, v in o.items():
-                walk(v, k, False)
+                if k != "tags":
+                    walk(v, k, False)
         elif isinstance(o, list):
             for v in o:
                 walk(v, key, True)
@@ -218,9 +231,16 @@ def ways_plainly(body):
 
 
 def found_ways(texts):
-    flat = nested.flatten_ways(pa.array(texts))["nodes"]
-    road = flat["highway"].to_pylist()
-    return [{(int(w), int(p), int(n)) for r, w, p, n, h in zip(flat["row"], flat["way_id"], flat["pos"], flat["node_id"], road) if r == i and h is not None} for i in range(len(texts))]
+    return found_ways_of(pa.array(texts, pa.string()))
+
+
+def found_ways_of(texts):
+    flat = nested.flatten_ways(texts)["nodes"]
+    out = [set() for _ in range(len(texts))]
+    for r, w, p, n, h in zip(flat["row"], flat["way_id"], flat["pos"], flat["node_id"], flat["highway"].to_pylist()):
+        if h is not None:
+            out[r].add((int(w), int(p), int(n)))
+    return out
 
 
 def test_flatten_ways_layouts():
@@ -235,6 +255,40 @@ def test_flatten_ways_layouts():
     assert len(found_ways(bodies)[0]) == 4
 
 
+def test_json_in_strings_is_flattened():
+    way = {"type": "way", "id": 5, "nodes": [1, 2], "tags": {"highway": '["a"]', "name": "caf\u00e9 \\ \"x\""}}
+    bare = {k: v for k, v in way.items() if k != "type"}
+    inner = json.dumps([way])
+    bodies = [
+        json.dumps({"elements": inner}), json.dumps({"elements": [way | {"id": 6}, inner]}), json.dumps({"a": json.dumps({"b": json.dumps({"c": [way]})})}), json.dumps(inner), json.dumps(json.dumps(inner)),
+        json.dumps({"elements": [way | {"nodes": "[1, 2]", "tags": json.dumps(way["tags"])}]}), json.dumps({"way": json.dumps([bare])}), json.dumps({"elements": inner[:-1]}), json.dumps({"elements": inner})[:-1],
+        json.dumps({"x": "\n\t " + json.dumps([way], indent=2), "y": ["[1", "{}", "[]", inner.replace("5", "7")]}), json.dumps({"elements": [way | {"tags": {"highway": "x", "note": json.dumps([way | {"id": 9}])}}]}), '{"a": "\\q"}', '{"a": "\\u12g4"}', None, "",
+    ]
+    assert found_ways(bodies) == [ways_plainly(b) for b in bodies]
+    assert [len(x) for x in found_ways(bodies)] == [2, 4, 2, 2, 2, 2, 2, 0, 0, 4, 2, 0, 0, 0, 0]
+    flat = nested.flatten_ways(pa.array(bodies))
+    assert flat["tags"]["tag_value"].to_pylist().count(way["tags"]["name"]) == 10 and set(flat["ways"]["row"]) == {0, 1, 2, 3, 4, 5, 6, 9, 10}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8") | st.sampled_from('\\"/\n\t\u00e9\U0001f600'), max_size=8), min_size=1, max_size=5))
+def test_unescape_is_that_of_json(words):
+    raw = [json.dumps(w, ensure_ascii=k % 2 == 0)[1:-1] for k, w in enumerate(words)]
+    assert nested.unescape(pa.array(raw)).to_pylist() == words
+    assert nested.unescape(pa.array(["\\ud83d x", "\\udc00", "\\ud83d\\u0041", "\\/"])).to_pylist() == ["? x", "?", "?A", "/"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_planted_reference_is_found(sf):
+    path = Path(f"/root/testdata/{sf}/overpass_responses.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    bodies = pq.read_table(path).column("body").combine_chunks()
+    want = [ways_plainly(b) for b in bodies.to_pylist()]
+    got = [found for lo, hi in buffers.passes(bodies) for found in found_ways_of(bodies.slice(lo, hi - lo))]
+    assert sum(map(len, want)) > 1000 and got == want
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.sampled_from(["type", "id", "nodes", "tags", "way", "k", "v", "highway", "a\"b"]), c | st.just("way") | st.integers(1, 9), max_size=4), max_leaves=12)
 
 
