@@ -155,3 +155,17 @@ def share_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("_all"))
     out = targets.join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left").fillna(0, ["n_texts", "most_uses", "tokens"])
     return out.select("mix_id", "source", "target_share", "max_repeats", "n_texts", "most_uses", "tokens", F.coalesce(F.try_divide("tokens", "_all"), F.lit(0.0)).alias("actual_share"))
+
+
+def broken_rules(drawn: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_id, n_sources, beyond_repeats, off_target, strangers) per mix; the last three are 0.
+
+    Texts used more often than ``max_repeats`` allows, sources whose tokens miss their target by more than the landing
+    can move (two texts of the source), and draws of no source of the mix. Sources without texts do not count.
+    """
+    sizes = docs.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_texts"), F.max("n_tokens").alias("largest"))
+    plan = expected_uses(sizes, targets).where("n_texts > 0").select("mix_id", "source", "max_repeats", "largest", (F.col("uses") * F.col("tokens")).alias("wanted"))
+    got = drawn.groupBy("mix_id", "source").agg(F.max("uses").alias("most"), F.sum(F.col("n_tokens") * F.col("uses")).alias("reached"), F.lit(1).alias("drawn"))
+    both = plan.withColumn("planned", F.lit(1)).join(got, ["mix_id", "source"], "full")
+    miss = F.abs(F.coalesce("reached", F.lit(0)) - F.coalesce("wanted", F.lit(0.0))) > 2 * F.coalesce("largest", F.lit(0)) + 1
+    return both.groupBy("mix_id").agg(F.count("planned").alias("n_sources"), *[F.count_if(c).cast("int").alias(n) for n, c in (("beyond_repeats", F.col("most") > F.col("max_repeats")), ("off_target", miss), ("strangers", F.col("planned").isNull()))])

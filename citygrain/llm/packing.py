@@ -37,7 +37,8 @@ def schedule(tokens: np.ndarray, source: np.ndarray, share: np.ndarray, deficit:
 def best_fit(size: np.ndarray, window: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(container, offset, number of containers): each window's pieces, largest first, into the fullest container that takes them.
 
-    Containers with room left stay open for later windows. Full pieces never enter the search.
+    Containers with room left stay open for later windows. Full pieces never enter the search. A piece costs a search
+    in, and an insertion into, the sorted list of open containers: a few microseconds, for at most PART_TOKENS tokens a task.
     """
     container, offset = np.empty(len(size), np.int64), np.zeros(len(size), np.int64)
     full = np.flatnonzero(size >= capacity)
@@ -131,3 +132,37 @@ def container_report(packed: DataFrame) -> DataFrame:
     """(size_id, capacity_tokens, n_containers, n_texts, n_cut, tokens, waste_share) per capacity."""
     filled = packed.groupBy("size_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("held"), F.sum((F.col("piece") == 0).cast("long")).alias("texts"), F.sum((F.col("piece") == 1).cast("long")).alias("cut"))
     return filled.groupBy("size_id", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("texts").alias("n_texts"), F.sum("cut").alias("n_cut"), F.sum("held").alias("tokens"), (1 - F.sum("held") / F.max("capacity_tokens") / F.count("*")).alias("waste_share"))
+
+
+def window_report(packed: DataFrame, window_containers: int = WINDOW_CONTAINERS) -> DataFrame:
+    """(size_id, capacity_tokens, source, n_windows, target_share, mean_share, largest_error): how full windows keep the shares.
+
+    The target is the source's share of all tokens packed, as ``pack`` has it without ``shares``. A window is full
+    if it holds nine tenths of its tokens or more; the last of a part, and those in which a source has run out, are not.
+    """
+    part = F.shiftright("container_id", 32)
+    own = packed.groupBy("size_id", "capacity_tokens", part.alias("part"), "window", "source").agg(F.sum("n_tokens").alias("tokens"))
+    whole = own.groupBy("size_id", "part", "window").agg(F.sum("tokens").alias("held"))
+    full = whole.join(own.select("size_id", "capacity_tokens").distinct(), "size_id").where(F.col("held") >= 0.9 * window_containers * F.col("capacity_tokens"))
+    total = own.groupBy("size_id").agg(F.sum("tokens").alias("all"))
+    target = own.groupBy("size_id", "source").agg(F.sum("tokens").alias("tokens")).join(total, "size_id").select("size_id", "source", F.try_divide("tokens", "all").alias("target_share"))
+    each = full.join(target, "size_id").join(own.select("size_id", "part", "window", "source", "tokens"), ["size_id", "part", "window", "source"], "left")
+    share = F.coalesce(F.col("tokens"), F.lit(0)) / F.col("held")
+    return each.groupBy("size_id", "capacity_tokens", "source").agg(F.count("*").alias("n_windows"), F.max("target_share").alias("target_share"), F.avg(share).alias("mean_share"), F.max(F.abs(share - F.col("target_share"))).alias("largest_error"))
+
+
+def broken_rules(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(size_id, capacity_tokens, n_texts, overfull, overlapping, wrongly_cut, incomplete) per capacity; the last four are 0.
+
+    Containers above their capacity or with pieces over each other, texts cut that need not be or cut elsewhere than
+    at the capacity, and texts whose pieces are not all of them. ``docs`` is (doc_id, source, n_tokens), its ids unique.
+    """
+    sides = ["size_id", "capacity_tokens"]
+    held = packed.groupBy(*sides, "container_id").agg(F.sum("n_tokens").alias("held"), F.max(F.col("offset") + F.col("n_tokens")).alias("reach"), F.sum(F.col("offset") * F.col("n_tokens") + F.col("n_tokens") * (F.col("n_tokens") - 1) / 2).alias("places"))
+    # Pieces side by side from 0 on take each place once: the sum of the places is that of 0 to held - 1.
+    boxes = held.groupBy(*sides).agg(F.count_if(F.greatest("held", "reach") > F.col("capacity_tokens")).alias("overfull"), F.count_if((F.col("reach") != F.col("held")) | (F.col("places") != F.col("held") * (F.col("held") - 1) / 2)).alias("overlapping"))
+    pieces = packed.groupBy(*sides, "doc_id").agg(F.sum("n_tokens").alias("sum"), F.count("*").alias("n"), F.max(F.when(F.col("token_from") != F.col("piece") * F.col("capacity_tokens"), 1).otherwise(0)).alias("elsewhere"))
+    both = pieces.join(docs.select("doc_id", "n_tokens"), "doc_id")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+    texts = both.groupBy(*sides).agg(F.count("*").alias("n_texts"), F.count_if((F.col("n") != need) | (F.col("elsewhere") == 1)).alias("wrongly_cut"), F.count_if(F.col("sum") != F.col("n_tokens")).alias("incomplete"))
+    return texts.join(boxes, sides).select(*sides, "n_texts", *[F.col(c).cast("int").alias(c) for c in ("overfull", "overlapping", "wrongly_cut", "incomplete")])

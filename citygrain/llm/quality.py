@@ -1,15 +1,17 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
-All texts of a batch are one byte buffer; statistics of lines are differences of running sums over it. Tables show in
-delimiters or column edges at the same places of neighbouring lines, lists in markers, periodic indentation and
-line lengths that repeat at a lag. Together with word, symbol and punctuation ratios they decide which lines hold
-sentences of natural language.
+All texts of a batch are one byte buffer with a line end after each text; statistics of lines are differences of running
+sums over it. Tables show in delimiters or column edges at the same places of neighbouring lines, lists in markers, in
+indentation and line lengths that repeat at a lag, junk in lines that repeat but for their numbers. Together with word,
+symbol and punctuation ratios they decide which lines hold sentences of natural language.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citygrain.operators.buffers import codes, last_index, passes, string_bytes
+from citygrain.operators.buffers import code, last_index, passes, string_bytes
 
-# Environments without sentences, commands that make a line markup.
-ENVIRONMENTS = "tabular tabularx longtable array thebibliography theindex equation align gather multline eqnarray displaymath math verbatim lstlisting tikzpicture axis comment filecontents".split()
-COMMANDS = "documentclass usepackage newcommand renewcommand providecommand def let title author date thanks begin end maketitle input include includegraphics bibliography bibliographystyle label centering section subsection subsubsection chapter part bibitem addplot toprule midrule bottomrule hline tableofcontents appendix newtheorem pagestyle setlength setcounter DeclareMathOperator affiliation address email keywords".split()
+# Environments that look like prose but are none; the rest of the markup shows by its structure.
+ENVIRONMENTS = "thebibliography verbatim lstlisting comment filecontents".split()
 _ENV = re.compile(rb"\\(begin|end)\s*\{(" + "|".join(ENVIRONMENTS).encode() + rb")\*?\}|\\(iffalse|fi)\b")
 
 #: A block of lines is prose from these shares on: common words among words, letters among non-blank characters.
@@ -29,6 +30,12 @@ COMMON_SHARE, LETTER_SHARE = 0.14, 0.55
 #: Words per sentence that a block of prose, or a marked line, must have at least.
 WORDS_PER_SENTENCE, WORDS_PER_ITEM = 3.5, 6
 ALIGNED_LINES = 3
+#: Lines of one text that are equal but for blanks and numbers repeat from this number on.
+REPEATED_LINES = 3
+#: A run is regular if its lines' lengths or indents correlate this much with those a few lines before, in so many lines
+#: at least. It is a list if it also has fewer sentence ends a line than this; wrapped prose has one in two lines or more.
+REGULAR, REGULAR_LINES, LIST_ENDS = 0.6, 8, 0.3
+LENGTH_LAGS, INDENT_LAGS = (2, 3, 4), (1, 2, 3, 4)
 #: Delimiters of table cells, and how many of one a line has at least.
 DELIMITERS = ((38, 1), (124, 2), (9, 1), (44, 2), (59, 2))
 #: Bytes from which the lines of a text are read in parts, to bound the memory of a task; the result is that of the whole.
@@ -40,18 +47,62 @@ STATISTICS = {
 }
 
 _LETTER, _DIGIT, _BLANK, _END, _OPEN_END = (np.zeros(256, bool) for _ in range(5))
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _DIGIT[48:58] = True
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _END[list(b".!?:;")] = True
 _OPEN_END[list(b")}]$\"'*`")] = True
+_ITEM = code("item")
+#: An odd factor of the hashes of words and lines, which wrap around at 64 bits.
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def _prefix_code(word: bytes) -> int:
-    return int.from_bytes(word[:8], "little")
+@lru_cache(maxsize=65_536)
+def _point(c: int) -> tuple[str, bytes]:
+    """(L, N, Z or S for letters and marks, numbers, blanks and symbols; bytes in lower case if there are as many) of a code point."""
+    own = chr(c) if not 0xD800 <= c < 0xE000 and c < 0x110000 else "?"
+    kind = unicodedata.category(own)
+    low = own.lower().encode()
+    kind = "L" if kind[0] in "LM" else kind[0] if kind[0] in "NZ" else "Z" if own.isspace() else "S"
+    return kind, low if len(low) == len(own.encode()) else own.encode()
 
 
-_COMMAND_CODES = np.array(sorted(_prefix_code(c.encode()) for c in COMMANDS), np.uint64)
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte: is it of a letter, a number, a blank; does it begin a character; and the bytes in lower case."""
+    letter, digit, blank, begins = _LETTER[data], _DIGIT[data], _BLANK[data], (data & 0xC0) != 0x80
+    lower = np.where((data >= 65) & (data <= 90), data | 32, data)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+        at = [np.minimum(lead + k, len(data) - 1) for k in range(4)]
+        point = data[lead].astype(np.int64) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for k in (1, 2, 3):
+            point = np.where(size > k, (point << 6) | (data[at[k]] & 0x3F), point)
+        points, which = np.unique(point, return_inverse=True)
+        known = [_point(c) for c in points.tolist()]
+        kind = np.array([k for k, _ in known])[which]
+        low = np.array([list(x.ljust(4, b"\0")[:4]) for _, x in known], np.uint8)[which]
+        for k in range(4):
+            on = size > k
+            to = at[k][on]
+            letter[to], digit[to], blank[to] = kind[on] == "L", kind[on] == "N", kind[on] == "Z"
+            lower[to] = low[on, k]
+    return letter, digit, blank, begins, lower
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the factor and of its inverse, up to ``n``."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, f, np.uint64))]) for f in (np.uint64(_FACTOR), np.uint64(pow(_FACTOR, -1, 1 << 64))))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of the bytes, from one running sum."""
+    power, inverse = _powers(1 << max(10, (len(data) + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
+        return (total[stop] - total[start]) * inverse[start]
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,7 +133,7 @@ def _runs(flag: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
 
 
 def measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
-    """The statistics of each text; ``common`` has the codes of the common words (up to eight bytes each), sorted.
+    """The statistics of each text; ``common`` has the hashes of the common words, sorted.
 
     A text beyond LONG_BYTES is measured alone. Only the values of its lines are taken in parts; what reaches over
     lines (environments, blocks, aligned runs, autocorrelations) is decided over all of them.
@@ -126,6 +177,8 @@ def _line_values(data: np.ndarray, off: np.ndarray, common: np.ndarray, prior: d
     """Values of each line that only need its bytes and, for column edges, the line above; ``prior`` is the part before."""
     size = len(data)
     places = np.arange(size, dtype=np.int32 if size < 2**31 - 1 else np.int64)
+    before = np.concatenate([[10], data[:-1]])
+    twice = np.concatenate([[10], before[:-1]])
     # Lines: they end at a line feed, at a carriage return without one, and at the end of a text.
     feed = (data == 10) | (data == 13)
     feed[:-1] &= ~((data[:-1] == 13) & (data[1:] == 10))
@@ -134,64 +187,68 @@ def _line_values(data: np.ndarray, off: np.ndarray, common: np.ndarray, prior: d
     stop = np.append(start[1:], size)
     lines = len(start)
 
-    solid = ~_BLANK[data]
-    cut = np.minimum.reduceat(np.where((data == 37) & (np.concatenate([[0], data[:-1]]) != 92), places, size), start)
+    letter, digit, blank, begins, lower = _classes(data)
+    solid = ~blank
+    cut = np.minimum.reduceat(np.where((data == 37) & (before != 92), places, size), start)
     code_stop = np.minimum(cut, stop)
 
     def per_line(mask: np.ndarray, end: np.ndarray = stop) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return (total[end] - total[start]).astype(np.int64)
 
-    solid_all, solid_code = per_line(solid), per_line(solid, code_stop)
-    letter, digit = _LETTER[data], _DIGIT[data]
-    letters, digits = per_line(letter, code_stop), per_line(digit, code_stop)
+    visible = solid & begins
+    solid_all, solid_code = per_line(visible), per_line(visible, code_stop)
+    letters, digits = per_line(letter & begins, code_stop), per_line(digit & begins)
     first_solid = np.minimum.reduceat(np.where(solid, places, size), start)
     first_solid = np.minimum(first_solid, stop - 1)
     indent = np.where(solid_all > 0, first_solid - start, 0)
-    width = np.where(solid_all > 0, stop - start, 0)
+    width = np.where(solid_all > 0, per_line(begins & ~feed), 0)
 
-    # Words: runs of letters.
-    before = np.concatenate([[False], letter[:-1]])
-    word_start = np.flatnonzero(letter & ~before)
-    word_stop = np.flatnonzero(before & ~letter)
+    # Words: runs of letters. A line end closes each text, so none runs on into the next.
+    was_letter = np.concatenate([[False], letter[:-1]])
+    word_start = np.flatnonzero(letter & ~was_letter)
+    word_stop = np.flatnonzero(was_letter & ~letter)
     if len(word_stop) < len(word_start):
         word_stop = np.append(word_stop, size)
-    lower = np.where((data >= 65) & (data <= 90), data | 32, data)
-    word_code = codes(lower, word_start, word_stop)
-    at = np.searchsorted(common, word_code)
-    is_common = (common[np.minimum(at, len(common) - 1)] == word_code) if len(common) else np.zeros(len(word_code), bool)
+    word = _hashes(lower, word_start, word_stop)
+    at = np.searchsorted(common, word)
+    is_common = (common[np.minimum(at, len(common) - 1)] == word) if len(common) else np.zeros(len(word), bool)
     word_line = np.searchsorted(start, word_start, "right") - 1
     in_code = word_start < code_stop[word_line]
-    command = data[np.maximum(word_start - 1, 0)] == 92
-    plain = in_code & ~command
+    plain = in_code & (before[word_start] != 92)
     words = np.bincount(word_line[plain], minlength=lines)
     commons = np.bincount(word_line[plain & is_common], minlength=lines)
 
     # Sentence ends: a stop after a word of two letters, a bracket or math, before white space or closing marks.
     stops = np.flatnonzero(_END[data])
-    ahead, behind = data[np.minimum(stops + 1, size - 1)], data[np.maximum(stops - 1, 0)]
+    ahead, behind = np.minimum(stops + 1, size - 1), np.maximum(stops - 1, 0)
     last_line = stops + 1 >= stop[np.searchsorted(start, stops, "right") - 1]
-    word_before = _LETTER[behind] & _LETTER[data[np.maximum(stops - 2, 0)]] & ((stops > 1) | (prior is None))
-    ends = stops[(_BLANK[ahead] | last_line | _OPEN_END[ahead]) & (word_before | _OPEN_END[behind])]
+    word_before = (letter[behind] & (behind < stops)) & (letter[np.maximum(stops - 2, 0)] & (stops > 1))
+    ends = stops[(blank[ahead] | last_line | _OPEN_END[data[ahead]]) & (word_before | _OPEN_END[before[stops]])]
     end_line = np.searchsorted(start, ends, "right") - 1
     end_line = end_line[ends < code_stop[end_line]]
     terminals = np.bincount(end_line, minlength=lines)
     final = last_index(solid)[np.maximum(code_stop - 1, 0)]
-    closes = (final >= start) & (_END[data[np.maximum(final, 0)]] | (_OPEN_END[data[np.maximum(final, 0)]] & _END[data[np.maximum(final - 1, 0)]]))
-
-    # Lines of markup.
-    lead = np.flatnonzero(data[first_solid] == 92)
+    closing = data[np.maximum(final, 0)]
+    closes = (final >= start) & (_END[closing] | (_OPEN_END[closing] & _END[before[np.maximum(final, 0)]]))
+
+    # Lines of markup begin with a command and have no word outside commands and their arguments, unless these hold sentences.
+    lead = data[first_solid] == 92
+    escaped = before == 92
+    nesting = np.cumsum((((data == 123) | (data == 91)) & ~escaped).astype(np.int32) - (((data == 125) | (data == 93)) & ~escaped))
+    nesting = nesting - np.concatenate([[0], nesting[:-1]])[start][np.repeat(np.arange(lines), stop - start)]
+    free = np.bincount(word_line[plain & (nesting[word_start] <= 0)], minlength=lines)
+    markup = lead & (free == 0) & ~((terminals > 0) & (words >= WORDS_PER_ITEM) & (commons >= 2))
     run_stop = np.minimum.accumulate(np.where(~letter, places, size)[::-1])[::-1]
-    name_start = np.minimum(first_solid[lead] + 1, size - 1)
-    name_stop = np.minimum(run_stop[name_start], stop[lead])
-    prefix = codes(data, name_start, np.minimum(name_stop, name_start + 8))
-    markup = np.zeros(lines, bool)
-    markup[lead] = np.isin(prefix, _COMMAND_CODES)
+    name_start = np.minimum(first_solid + 1, size - 1)
+    name_stop = run_stop[name_start]
+    is_item = lead & (name_stop - name_start == 4)
     item = np.zeros(lines, bool)
-    item[lead] = prefix == np.uint64(_prefix_code(b"item"))
+    item[is_item] = _first_four(data, name_start[is_item]) == _ITEM
+    markup &= ~item
 
     # Delimiters, column edges, and how many of a line's edges the line above has too.
-    delimiters = {f"many_{d}": per_line((data == d) & (np.concatenate([[0], data[:-1]]) != 92)) for d, _ in DELIMITERS}
+    delimiters = {f"many_{d}": per_line((data == d) & ~escaped) for d, _ in DELIMITERS}
     space = data == 32
     gap_end = np.flatnonzero(space[:-1] & ~space[1:] & np.concatenate([[False], space[:-2]]) & ~feed[1:]) + 1
     gap_line = np.searchsorted(start, gap_end, "right") - 1
@@ -210,23 +267,48 @@ def _line_values(data: np.ndarray, off: np.ndarray, common: np.ndarray, prior: d
 
     # Lists: lines that begin with a marker.
     lead_byte, next_byte = data[first_solid], data[np.minimum(first_solid + 1, size - 1)]
-    run_digit = np.minimum.accumulate(np.where(~digit & (data != 46), places, size)[::-1])[::-1]
+    run_digit = np.minimum.accumulate(np.where(~_DIGIT[data] & (data != 46), places, size)[::-1])[::-1]
     number_stop = np.minimum(run_digit[first_solid], stop - 1)
-    numbered = _DIGIT[lead_byte] & (number_stop - first_solid <= 8) & (_BLANK[data[number_stop]] & (data[np.maximum(number_stop - 1, 0)] == 46) | (data[number_stop] == 41))
+    numbered = _DIGIT[lead_byte] & (number_stop - first_solid <= 8) & (_BLANK[data[number_stop]] & (before[number_stop] == 46) | (data[number_stop] == 41))
     bullet = np.isin(lead_byte, list(b"-*+")) & _BLANK[next_byte]
     marked = item | ((numbered | bullet) & (solid_all > 0))
 
-    word_bytes = np.bincount(word_line[plain], (word_stop - word_start)[plain], lines).astype(np.int64)
-    counts = {"start": start, "stop": stop, "code_stop": code_stop, "solid_all": solid_all, "solid_code": solid_code, "letters": letters, "digits": digits, "indent": indent, "width": width, "words": words, "commons": commons, "word_bytes": word_bytes, "terminals": terminals, "symbols": solid_all - per_line(letter) - per_line(digit), "gaps": gaps, **delimiters, **met}
+    # What a line says but for its blanks and numbers.
+    kept = solid & ~(_DIGIT[data] & _DIGIT[before])
+    folded = np.where(_DIGIT[data], 48, data)[kept]
+    at = np.concatenate([[0], np.cumsum(kept)])
+    said = _hashes(folded, at[start], at[stop])
+
+    word_chars = np.concatenate([[0], np.cumsum(begins)])
+    word_length = np.bincount(word_line[plain], (word_chars[word_stop] - word_chars[word_start])[plain], lines).astype(np.int64)
+    counts = {"start": start, "stop": stop, "code_stop": code_stop, "solid_all": solid_all, "solid_code": solid_code, "letters": letters, "digits": digits, "indent": indent, "width": width, "words": words, "commons": commons, "word_length": word_length, "terminals": terminals, "symbols": per_line(visible & ~letter & ~digit), "gaps": gaps, **delimiters, **met}
     # Places and counts of a part fit four bytes, unless a line is longer than that.
     narrow = np.int32 if size < 2**31 - 1 else np.int64
-    return {k: v.astype(narrow) for k, v in counts.items()} | {"closes": closes, "markup": markup, "marked": marked} | last
+    return {k: v.astype(narrow) for k, v in counts.items()} | {"closes": closes, "markup": markup, "marked": marked, "said": said} | last
 
 
-def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
+def _first_four(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for k in range(4):
+        out |= data[np.minimum(at + k, len(data) - 1)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _closed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with a line end after each."""
     data, off = string_bytes(texts)
+    own = off + np.arange(len(off))
+    out = np.full(own[-1], 10, np.uint8)
+    keep = np.ones(own[-1], bool)
+    keep[own[1:] - 1] = False
+    out[keep] = data
+    return out, own
+
+
+def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
+    data, off = _closed(texts)
     n, size = len(off) - 1, len(data)
-    if not size:
+    if size == n:
         zero = np.zeros(n)
         return {k: np.full(n, "empty") if v == "string" else np.zeros(n, np.int64) if v == "long" else zero.copy() for k, v in STATISTICS.items()}
     text = data.tobytes()
@@ -243,7 +325,7 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     del parts
     start, code_stop = line["start"].astype(np.int64), line["code_stop"]
     solid_all, solid_code, letters, digits, words, commons, gaps = (line[k] for k in ("solid_all", "solid_code", "letters", "digits", "words", "commons", "gaps"))
-    terminals, closes, markup, marked = (line[k] for k in ("terminals", "closes", "markup", "marked"))
+    terminals, closes, markup, marked, said = (line[k] for k in ("terminals", "closes", "markup", "marked", "said"))
     doc = np.searchsorted(off, start, "right") - 1
     lines = len(start)
 
@@ -291,8 +373,25 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
         aligned |= _runs(same & (gaps >= 2), doc, ALIGNED_LINES)
     aligned &= commons < np.maximum(3, 0.3 * words)
 
+    # Junk: lines that say the same, but for numbers, as others of their text. A sentence said again stays one.
+    filled = np.flatnonzero((solid_all > 0) & ~markup)
+    order = filled[np.lexsort((said[filled], doc[filled]))]
+    new = np.concatenate([[True], (said[order][1:] != said[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else np.empty(0, bool)
+    times = np.diff(np.append(np.flatnonzero(new), len(order)))
+    repeated = np.zeros(lines, bool)
+    repeated[order] = np.repeat(times, times) >= REPEATED_LINES
+    repeated &= (terminals == 0) | (digits > 0)
+
+    able = outside & ~markup & ~aligned & ~repeated & (solid_code > 0) & (letters >= 0.4 * solid_code)
+    # Lists: runs of lines whose lengths or indents repeat at a lag, and that have few sentence ends.
+    run = np.cumsum(np.concatenate([[True], (able[1:] != able[:-1]) | (doc[1:] != doc[:-1])])) - 1
+    runs = run[-1] + 1
+    run_lines = np.bincount(run, minlength=runs)
+    regular = np.maximum(_lagged(line["width"].astype(float), run, runs, LENGTH_LAGS), _lagged(line["indent"].astype(float), run, runs, INDENT_LAGS)) >= REGULAR
+    regular &= (run_lines >= REGULAR_LINES) & (np.bincount(run, terminals, runs) < LIST_ENDS * run_lines)
+    able &= ~regular[run]
+
     # Blocks: neighbouring lines that can hold sentences; a marked line is a block of its own.
-    able = outside & ~markup & ~aligned & (solid_code > 0) & (letters >= 0.4 * solid_code)
     new = np.concatenate([[True], (able[1:] != able[:-1]) | (doc[1:] != doc[:-1])]) | marked | np.concatenate([[False], marked[:-1]])
     block = np.cumsum(new) - 1
     total = lambda v: np.bincount(block, v, block[-1] + 1)
@@ -310,14 +409,14 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     filled = solid_all > 0
     lines_filled = by_doc(filled)
     n_words = by_doc(words).astype(np.int64)
-    word_bytes = by_doc(line["word_bytes"])
+    word_length = by_doc(line["word_length"])
     sentence = _ratio(by_doc(np.where(sentence_line, solid_code, 0)), all_solid)
     table_share, list_share = _ratio(by_doc(aligned & filled), lines_filled), _ratio(by_doc(marked & filled), lines_filled)
-    repeats = _lagged(line["width"].astype(float), doc, n, (2, 3, 4))
-    periodic = _lagged(line["indent"].astype(float), doc, n, (1, 2, 3, 4))
+    repeats = _lagged(line["width"].astype(float), doc, n, LENGTH_LAGS)
+    periodic = _lagged(line["indent"].astype(float), doc, n, INDENT_LAGS)
     symbol = by_doc(line["symbols"])
     found = {
-        "n_words": n_words, "mean_word_length": _ratio(word_bytes, n_words), "symbol_share": _ratio(symbol, all_solid), "digit_share": _ratio(by_doc(digits), all_solid),
+        "n_words": n_words, "mean_word_length": _ratio(word_length, n_words), "symbol_share": _ratio(symbol, all_solid), "digit_share": _ratio(by_doc(digits), all_solid),
         "terminal_line_share": _ratio(by_doc(closes & filled), lines_filled), "common_word_share": _ratio(by_doc(commons), n_words), "table_line_share": table_share, "list_line_share": list_share,
         "length_autocorrelation": repeats, "indent_periodicity": periodic, "comment_share": _ratio(by_doc(solid_all - solid_code), all_solid), "sentence_share": sentence, "_solid": all_solid,
     }
@@ -325,9 +424,10 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def common_codes(words: list[str]) -> np.ndarray:
-    """Sorted codes of the words; those of more than eight bytes cannot be told from long words and are left out."""
-    coded = {int.from_bytes(w, "little") for w in (x.lower().encode() for x in words if x) if len(w) <= 8}
-    return np.array(sorted(coded), np.uint64)
+    """Sorted hashes of the words in lower case."""
+    own = pa.array(sorted({x.lower() for x in words if x}), pa.string())
+    data, off = string_bytes(own)
+    return np.sort(_hashes(data, off[:-1], off[1:]))
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text", max_words: int = 10_000) -> DataFrame:

@@ -6,8 +6,10 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Rank file of a byte-level BPE; any file of base64 tokens and ranks with the pattern below will do.
@@ -17,6 +19,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WORDS = re.compile(r"\s*\S+|\s+")
 #: Words whose counts a worker remembers at a time; beyond it the memory starts anew.
 REMEMBERED = 400_000
+_SENT: set[tuple[str, str]] = set()
 
 
 class _Counts(dict):
@@ -54,12 +57,18 @@ def token_counter(path: str = TOKENIZER):
 def with_token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` and n_tokens of the whole text; null and empty texts have 0. A narrow scan, no shuffle.
 
-    Only ``keep`` and the text column are read, so other columns do not matter. The text itself goes no further.
+    Only ``keep`` and the text column are read, so other columns do not matter. The text itself goes no further. The
+    rank file is sent to the executors, which need not have it at ``path``.
     """
+    sc = docs.sparkSession.sparkContext
+    if (sc.applicationId, path) not in _SENT:
+        sc.addFile(path)
+        _SENT.add((sc.applicationId, path))
+    name = Path(path).name
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(path)
+        count = token_counter(SparkFiles.get(name))
         for batch in batches:
             n = pa.array([count(t.as_py()) for t in batch.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, "n_tokens"])

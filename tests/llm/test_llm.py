@@ -2,11 +2,13 @@
 
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from citygrain.llm import mixing, packing, quality, tokens
+from citygrain.llm import mixing, packing, plans, quality, tokens
 
 DATA = Path("/root/testdata/sf0.001")
 needs_tokenizer = pytest.mark.skipif(not Path(tokens.TOKENIZER).exists(), reason="no tokenizer file")
@@ -102,9 +104,31 @@ def test_pack_windows_follow_target(spark):
     assert len(inner) > 20 and abs(inner.median() - share) < 0.02
 
 
+def test_packing_rules_and_windows(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", 10 + i % 7 + (150 if i % 500 == 0 else 0)) for i in range(6000)], "doc_id long, source string, n_tokens long")
+    capacities = spark.createDataFrame([(1, 100), (2, 250)], "size_id int, capacity_tokens long")
+    packed = packing.pack(docs, capacities, part_tokens=40_000, window_containers=20).cache()
+    rules = [tuple(r) for r in packing.broken_rules(packed, docs).orderBy("size_id").collect()]
+    assert rules == [(1, 100, 6000, 0, 0, 0, 0), (2, 250, 6000, 0, 0, 0, 0)]
+    moved = packed.selectExpr("size_id", "capacity_tokens", "if(doc_id = 7, 1L, container_id) container_id", "if(doc_id in (7, 8), 1L, offset) offset", "doc_id", "piece", "if(doc_id = 500, token_from + 1, token_from) token_from", "n_tokens", "source", "window").where("not (doc_id = 1000 and piece = 0)")
+    broken = packing.broken_rules(moved, docs).where("size_id = 1").first()
+    assert broken.overlapping >= 1 and broken.wrongly_cut == 2 and broken.incomplete == 1 and broken.n_texts == 6000
+    report = {(r.size_id, r.source): r for r in packing.window_report(packed, 20).collect()}
+    assert report[1, "a"].n_windows > 10 and abs(report[1, "a"].mean_share - report[1, "a"].target_share) < 0.02 and report[1, "b"].largest_error < 0.5
+
+
 # ---------------------------------------------------------------- mixing
 
 
+def test_mixing_rules(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10 + i % 50) for i in range(2000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(1, "a", 0.7, 2), (1, "b", 0.3, 2), (1, "none", 0.0, 2), (2, "b", 1.0, 1), (2, "gone", 0.2, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    drawn = mixing.draw_mixes(docs, targets)
+    assert sorted(map(tuple, mixing.broken_rules(drawn, docs, targets).collect())) == [(1, 2, 0, 0, 0), (2, 1, 0, 0, 0)]
+    wrong = drawn.selectExpr("mix_id", "if(mix_id = 2 and doc_id < 100, 'x', source) source", "doc_id", "n_tokens", "if(mix_id = 1 and source = 'a', uses + 1, uses) uses")
+    assert sorted(map(tuple, mixing.broken_rules(wrong, docs, targets).collect())) == [(1, 2, 1, 1, 0), (2, 1, 0, 2, 1)]
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(2)
     p, x = rng.random(500), rng.integers(0, 1000, 500)
@@ -223,6 +247,75 @@ def test_statistics_do_not_depend_on_neighbours(spark):
     assert quality.text_statistics(table.limit(0), words).count() == 0
 
 
+def test_words_end_with_their_text():
+    texts = ["a b", "c d", "the end", "table", "of", "", None, "the", "e\u0301t\u00e9", "\u00c9T\u00c9.", "a.", "b", "x\r", "\ny", "%the", "the\\", "the 50\\", "% of", "\t1", ".2", "a", ". b"]
+    codes = quality.common_codes(["the", "of", "\u00e9t\u00e9", "a"])
+    alone = [quality.measure(pa.array([t], pa.string()), codes) for t in texts]
+    assert [int(a["n_words"][0]) for a in alone[:6]] == [2, 2, 2, 1, 1, 0]
+    for cut in range(1, len(texts)):
+        for lo, hi in ((0, cut), (cut, len(texts))):
+            found = quality.measure(pa.array(texts[lo:hi], pa.string()), codes)
+            for i in range(lo, hi):
+                assert {k: found[k][i - lo] for k in quality.STATISTICS} == {k: alone[i][k][0] for k in quality.STATISTICS}, texts[i]
+
+
+def test_characters_are_code_points():
+    found = quality.measure(pa.array(["\u6f22\u5b57\u6f22\u5b57", "\u201cab\u201d \u2014 c", "\u00c9T\u00c9 \u00fcber", "a\u00a0b", "\u0661\u0662 x", "continuously"]), quality.common_codes(["\u00e9t\u00e9", "continuously"]))
+    assert found["n_words"].tolist() == [1, 2, 2, 2, 1, 1] and found["mean_word_length"].tolist() == [4, 1.5, 3.5, 1, 1, 12]
+    assert found["symbol_share"].tolist() == pytest.approx([0, 3 / 6, 0, 0, 0, 0]) and found["digit_share"][4] == pytest.approx(2 / 3)
+    assert found["common_word_share"].tolist() == [0, 0, 0.5, 0, 0, 1]
+
+
+LOG = "".join(f"Overfull box ({i * 7 % 90}.{i}pt too wide) in the paragraph at lines {i}--{i * 3}\nWarning: the reference on page {i} is undefined on the line {i * 11} [{i}].\n" for i in range(1, 8))
+OUTLINE = "".join(f"the {a} of the network and its {b}\n        each {b} in the grid with a {a}\n    of the {a}, and for {b}\n" for a, b in zip("surface curve lattice index sensor".split(), "map error measure field noise".split(), strict=True)) + "the end of a list.\n"
+
+
+@pytest.mark.parametrize(("text", "switch", "off"), [(LOG, "REPEATED_LINES", 10**9), ("We see the grid in a district.\n" + "the global parameter of each scale\n" * 30, "REPEATED_LINES", 10**9), (OUTLINE, "REGULAR", 9.0)])
+def test_repetition_and_regularity_decide(monkeypatch, text, switch, off):
+    codes = quality.common_codes(COMMON)
+    assert quality.measure(pa.array([text]), codes)["sentence_share"][0] < 0.5
+    monkeypatch.setattr(quality, switch, off)
+    assert quality.measure(pa.array([text]), codes)["sentence_share"][0] > 0.5
+
+
+def test_markup_shows_by_its_structure():
+    sentence = "The network confirms the measure of the district and the grid."
+    share = lambda t: quality.measure(pa.array([t]), quality.common_codes(COMMON))["sentence_share"][0]
+    for line in ("\\anything{a title of the work with the name of it}", "\\newmacro[x]{\\y}{the of and to}", "\\phantom", "\\unheard{a}{b}{the of the}"):
+        assert share(line) == 0 and share(line + "\n" + sentence) == pytest.approx(len(sentence.replace(" ", "")) / len((line + sentence).replace(" ", "")))
+    assert share("\\emph{The network} confirms the measure of the district and the grid.") == 1 and share("\\footnote{" + sentence + "}") == 1
+
+
+def test_a_long_environment_counts_as_one():
+    text = "\\begin{verbatim}\n" + (PROSE + "\n") * (6_000_000 // len(PROSE)) + "\\end{verbatim}\n"
+    assert len(text) > quality.LONG_BYTES and quality.measure(pa.array([text]), quality.common_codes(COMMON))["sentence_share"][0] == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_batches_do_not_matter():
+    folder = str(DATA).replace("sf0.001", "sf0.01")
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    codes = quality.common_codes(pq.read_table(f"{folder}/common_words.parquet").column("word").to_pylist())
+    whole = quality.measure(texts, codes)
+    for i in range(len(texts)):
+        one = quality.measure(texts.slice(i, 1), codes)
+        assert {k: whole[k][i] for k in quality.STATISTICS} == {k: one[k][0] for k in quality.STATISTICS}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", list(plans.QUERIES))
+def test_query(spark, name):
+    got = plans.QUERIES[name](spark, str(DATA)).toPandas()
+    assert len(set(got.columns)) == len(got.columns)
+    if name in plans.ORACLES:
+        db = duckdb.connect()
+        for f in DATA.glob("*.parquet"):
+            db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+        want = db.execute(plans.ORACLES[name]).df()[list(got.columns)]
+        rows = lambda df: sorted(map(tuple, df.astype(float).round(9).to_numpy()))
+        assert rows(got) == rows(want)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_agrees_with_hand_labels(spark):
     folder = str(DATA).replace("sf0.001", "sf0.01")
