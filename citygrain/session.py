@@ -33,12 +33,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set (tests on
-    one machine) a temporary folder is used. The files outlive lost executors.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where all runs on one machine (a master
+    ``local`` or ``local-cluster``) a temporary folder is used if none is set; elsewhere a missing folder raises RuntimeError,
+    as the executors could not read each other's files. The files outlive lost executors.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citygrain-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -285,6 +285,30 @@ def test_voronoi_and_hulls(spark):
     assert hull == {"a": 4.0, "b": None}
 
 
+def test_voronoi_has_no_task_with_all_points(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    clumps = np.concatenate([rng.random((500, 2)) * 100, rng.normal(50, 0.4, (400, 2)), np.column_stack([np.linspace(-30, 130, 40), np.full(40, 20.0)])])
+    table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(clumps)], "id long, x double, y double")
+    area = [(0, 0), (100, 0), (100, 100), (50, 60), (0, 100)]
+    every = tessellate.cells_of(clumps, clumps, np.array([[0.0, 0], [100, 0], [100, 100], [0, 100]]))
+    want = {i: geom.area_of(geom.clip_to_convex(np.array(area, float), c[:k])) if k > 2 else 0.0 for i, (c, k) in enumerate(zip(*every, strict=True))}
+    for most in (None, 10):
+        got = {r.id: r.area for r in tessellate.voronoi(table, area, "id", tile_points=90, most_broadcast=most).select("id", "area").collect()}
+        assert {i for i, a in got.items() if a > 1e-9} == {i for i, a in want.items() if a > 1e-9}
+        assert max(abs(got.get(i, 0.0) - a) for i, a in want.items()) < 1e-6 and sum(got.values()) == pytest.approx(8000)
+
+
+def test_hulls_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(tessellate, "HULL_CORNERS", 20)
+    rng = np.random.default_rng(4)
+    rows = [("abcd"[i % 4] if i % 9 else None, *map(float, rng.normal(0, 1 + i % 4, 2))) for i in range(4000)]
+    table = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    got = {r.g: r.area for r in tessellate.hulls(table, "g").select("g", geom.polygon_area(F.col("geometry")).alias("area")).collect()}
+    for g in (None, *"abcd"):
+        assert got[g] == pytest.approx(geom.area_of(geom.convex_hull(np.array([r[1:] for r in rows if r[0] == g]))))
+    assert tessellate.hulls(table.limit(0), "g").count() == 0
+
+
 # ---------------------------------------------------------------- network
 
 
