@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 from citygrain.functions.convert import known_values, require
 
 # The demographic columns.
-GROUPS = ["P_0A2", "P_3A5", "P_6A11", "P_12A14", "P_15A17", "P_18A24", "P_60YMAS", "P_3YMAS", "P_12YMAS", "P_15YMAS", "P_18YMAS"]
-SPLIT_BY_SEX = GROUPS[:7]
-DEMOGRAPHIC = ["POBFEM", "POBMAS", *[g + s for g in GROUPS for s in ("", "_F", "_M")], "REL_H_M", "POB0_14", "POB15_64", "POB65_MAS", "PCON_DISC"]
+DEMOGRAPHIC = """
+    POBFEM POBMAS P_0A2 P_0A2_F P_0A2_M P_3A5 P_3A5_F P_3A5_M P_6A11 P_6A11_F P_6A11_M P_12A14 P_12A14_F P_12A14_M P_15A17 P_15A17_F P_15A17_M
+    P_18A24 P_18A24_F P_18A24_M P_60YMAS P_60YMAS_F P_60YMAS_M P_3YMAS P_3YMAS_F P_3YMAS_M P_12YMAS P_12YMAS_F P_12YMAS_M
+    P_15YMAS P_15YMAS_F P_15YMAS_M P_18YMAS P_18YMAS_F P_18YMAS_M REL_H_M POB0_14 POB15_64 POB65_MAS PCON_DISC
+""".split()
+GROUPS = ["P_0A2", "P_3A5", "P_6A11", "P_12A14", "P_15A17"]
+SPLIT_BY_SEX = [*GROUPS, "P_18A24", "P_60YMAS"]
 ZONE, BLOCK, TOTAL = "CVE_AGEB", "CVEGEO", "POBTOT"
 YOUNG = ["P_0A2", "P_3A5", "P_6A11", "P_12A14"]
 
@@ -47,18 +52,30 @@ RULES = _rules()
 
 
 def apply_equations(rows: pd.DataFrame, passes: int = 50) -> pd.DataFrame:
-    """Fill nulls by the equations, in order, pass by pass until nothing changes. Rows do not see each other."""
-    rows = rows.astype(float)
+    """Fill nulls by the equations, in order, pass by pass until nothing changes. Rows do not see each other.
+
+    An equation is worked out only for the rows that lack its target, over a matrix of the columns.
+    """
+    place = {c: k for k, c in enumerate(rows.columns)}
+    values = rows.to_numpy(dtype=float, na_value=np.nan).T.copy()
+    rules = [(place[t], None if w is None else place[w], [place[p] for p in parts], known) for t, w, parts, known in RULES if {t, *parts, *([w] if w else [])} <= set(place)]
     for _ in range(passes):
-        before = int(rows.isna().to_numpy().sum())
-        for target, whole, parts, known in RULES:
-            if not {target, *parts, *([whole] if whole else [])} <= set(rows.columns):
+        changed = False
+        for target, whole, parts, known in rules:
+            open_ = np.flatnonzero(np.isnan(values[target]))
+            if not len(open_):
                 continue
-            total = rows[parts].sum(axis=1, min_count=1) if known else rows[parts].sum(axis=1, skipna=False)
-            rows[target] = rows[target].fillna(rows[whole] - total if whole else total)
-        if int(rows.isna().to_numpy().sum()) == before:
+            terms = values[parts][:, open_]
+            total = terms.sum(0)
+            if known:
+                missing = np.isnan(terms)
+                total = np.where(missing.all(0), np.nan, np.where(missing, 0.0, terms).sum(0))
+            found = total if whole is None else values[whole][open_] - total
+            values[target, open_] = found
+            changed |= not np.isnan(found).all()
+        if not changed:
             break
-    return rows
+    return pd.DataFrame(values.T, index=rows.index, columns=rows.columns)
 
 
 def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from citygrain.functions import geom
 from citygrain.operators.proximity import EARTH_M, RTree, haversine_m
+from citygrain.operators.skew import SALTS, hot_keys
 from citygrain.session import durable
 
 PREDICATES = {"within": (1,), "intersects": (0, 1), "touches": (0,), "contains": (), "crosses": ()}
 #: Targets up to this number are sent to every task; more are searched by rings of grid cells.
 MOST_BROADCAST = 500_000
+#: Cells of polygons, and corners in them, up to which polygons are sent to every task instead of shuffling the points.
+MOST_CELLS, MOST_CORNERS = 200_000, 2_000_000
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predicate: str = "intersects", how: str = "inner", cell: float | None = None, x: str = "x", y: str = "y", geometry: str = "geometry") -> DataFrame:
@@ -26,7 +29,8 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
     ``cell`` is the cell size; by default polygons lie on grids by their own size (each covers a few cells), and points
     have a cell on each of these grids, so that neither large nor small polygons make many rows. With ``how="left"`` points without a match
     stay, with a null id. Null coordinates and null or empty polygons match nothing; a polygon id that is also a
-    column of ``points`` raises RuntimeError.
+    column of ``points`` raises RuntimeError. Polygons with few cells and corners are sent to all tasks, and points are
+    not shuffled; otherwise cells that hold a large part of the points are split, and the polygons of these repeated.
     """
     if predicate not in PREDICATES:
         raise ValueError(f"unknown predicate {predicate!r}; use one of {', '.join(PREDICATES)}")
@@ -37,9 +41,14 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
     extent = F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny"), F.lit(1e-9))
     level = F.lit(0) if cell is not None else (2 * F.ceil(F.log2(extent) / 2)).cast("int")
     shapes = shapes.withColumn("_level", level)
-    levels = [0] if cell is not None else [r[0] for r in shapes.select("_level").distinct().collect()]
     size = F.lit(float(cell)) if cell is not None else F.pow(F.lit(2.0), F.col("_level"))
     low = lambda c: F.floor(F.col(c) / size)
+    covered = (low("_maxx") - low("_minx") + 1) * (low("_maxy") - low("_miny") + 1)
+    corners = F.aggregate("_shape", F.lit(0), lambda n, r: n + F.size(r))
+    # One row per level; levels are exponents of sizes, so there are some hundreds at most.
+    levels, cells, weight = [], 0, 0
+    for r in shapes.groupBy("_level").agg(F.sum(covered).alias("n"), F.sum(covered * corners).alias("w")).collect():
+        levels, cells, weight = [*levels, r["_level"]], cells + (r["n"] or 0), weight + (r["w"] or 0)
     shapes = shapes.withColumn("_cx", F.explode(F.sequence(low("_minx"), low("_maxx")))).withColumn("_cy", F.explode(F.sequence(low("_miny"), low("_maxy"))))
     # A left join must keep each point once if nothing matches, so the levels are only spread before an inner join.
     if how != "inner" and len(levels) > 1:
@@ -51,8 +60,17 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
     places = PREDICATES[predicate]
     inside = geom.position(F.col(x), F.col(y), F.col("_shape")).isin(*places) if places else F.lit(False)
     box = F.col(x).between(F.col("_minx"), F.col("_maxx")) & F.col(y).between(F.col("_miny"), F.col("_maxy"))
+    if cells <= MOST_CELLS and weight <= MOST_CORNERS:
+        keyed, shapes = keyed.withColumn("_salt", F.lit(0)), F.broadcast(shapes.withColumn("_salt", F.lit(0)))
+    else:
+        place = F.xxhash64("_level", "_cx", "_cy")
+        hot = hot_keys(keyed.select(place.alias("_cell")), "_cell", max(1, len(levels)) * points.count())
+        spread = F.pmod(F.xxhash64(*[c for c, t in points.dtypes if not t.startswith("map")]), F.lit(SALTS)).cast("int")
+        keyed = keyed.withColumn("_salt", F.when(place.isin(hot), spread).otherwise(0) if hot else F.lit(0))
+        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        shapes = shapes.withColumn("_salt", F.explode(F.when(place.isin(hot), every).otherwise(F.array(F.lit(0)))) if hot else F.lit(0))
     left, right = keyed.alias("p"), shapes.alias("s")
-    match = (F.col("p._level") == F.col("s._level")) & (F.col("p._cx") == F.col("s._cx")) & (F.col("p._cy") == F.col("s._cy")) & box & inside
+    match = (F.col("p._level") == F.col("s._level")) & (F.col("p._cx") == F.col("s._cx")) & (F.col("p._cy") == F.col("s._cy")) & (F.col("p._salt") == F.col("s._salt")) & box & inside
     return left.join(right, match, how).select(*[F.col(f"p.{c}") for c in points.columns], F.col(f"s.{polygon_id}"))
 
 
