@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citygrain.operators.skew import hot_keys, salted_join
+from citygrain.session import durable
 
+#: Clusters, and rounds after which they are taken as they are if they have not settled before.
+CLUSTERS, ROUNDS, GAMMA = 6, 6, 0.25
 #: Blocks have some thousands of heads at most; codes such as 9999 or 999999 stand for "not given".
 MAX_HEADS = 9_998
 CODE = r"^(?:[0-9]{9})?[0-9]{3}[0-9A-Z]$"
@@ -56,27 +59,38 @@ def _literal(value) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
 
-def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 6, rounds: int = 3, gamma: float = 0.25) -> Prototypes:
-    """K-prototypes over all rows: each round is one aggregate of k rows, whatever the size of ``df``.
+def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = CLUSTERS, rounds: int = ROUNDS, gamma: float = GAMMA) -> Prototypes:
+    """K-prototypes over all rows: each round is one aggregate of k rows, whatever the size of ``df``; it ends when no centre moves.
 
-    The first clusters are k quantile ranges of the rows' mean over their observed features. Null features are
+    The first clusters are k equal ranges of the rows' mean over their observed features. Null features are
     left out of means, modes and distances. An empty table gives no centres, and then one cluster.
     """
     known = " + ".join(f"int(`{x}` is not null)" for x in numeric)
     mean = f"try_divide({' + '.join(f'coalesce(`{x}`, 0D)' for x in numeric)}, {known})"
-    cuts = df.select(F.expr(f"percentile_approx({mean}, array({', '.join(repr(i / k) for i in range(1, k))}), 1000)")).first()[0] or []
-    assigned = F.expr(" + ".join(["0", *(f"int(coalesce({mean}, 0D) > {float(c)!r}D)" for c in cuts)]))
+    low, high = df.select(F.expr(f"min({mean})"), F.expr(f"max({mean})")).first()
+    low, high = low or 0.0, high or 0.0
+    assigned = F.expr(" + ".join(["0", *(f"int(coalesce({mean}, 0D) > {low + (high - low) * i / k!r}D)" for i in range(1, k))]))
     model = Prototypes(numeric, categorical, [], gamma)
     for _ in range(rounds):
         aggregates = [F.avg(x).alias(f"n{i}") for i, x in enumerate(numeric)] + [F.mode(F.col(x), True).alias(f"c{i}") for i, x in enumerate(categorical)]
         rows = df.groupBy(assigned.alias("_cluster")).agg(*aggregates).orderBy("_cluster").collect()
         centres = [([r[f"n{i}"] for i in range(len(numeric))], [r[f"c{i}"] for i in range(len(categorical))]) for r in rows]
+        if _settled(centres, model.centres):
+            break
         model = Prototypes(numeric, categorical, centres, gamma)
         assigned = model.cluster()
     return model
 
 
-def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] = ("pobtot", "pobfem", "pobmas"), zone_field: str = "cve_ageb", k: int = 6) -> DataFrame:
+def _settled(new: list, old: list) -> bool:
+    """No centre has moved, but for the last digits of a sum."""
+    if len(new) != len(old):
+        return False
+    same = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) <= 1e-12 * max(1.0, abs(a)))
+    return all(c == d and all(map(same, a, b)) for (a, c), (b, d) in zip(new, old, strict=True))
+
+
+def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] = ("pobtot", "pobfem", "pobmas"), zone_field: str = "cve_ageb", k: int = CLUSTERS) -> DataFrame:
     """(block_id, cvegeo, census_year, cluster, then per field ``f``, ``f_filled``, ``f_method``) for each row of ``blocks``.
 
     ``f`` holds the cleaned value, filled where it was missing; ``f_filled`` marks fills; ``f_method`` is
@@ -84,45 +98,48 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     census), ``block`` (of the same block's other censuses) or ``unfillable``. A head count is missing if null,
     NaN, negative, fractional or impossibly large; a zone code if it is no code in any form. Only other records can
     be donors, since the record itself lacks the value. Ties of a mode go to the smaller code. Rows without
-    ``cvegeo`` have no zone and are not filled from it. Zones that hold a large part of the rows are salted in the
-    joins, and their statistics are combined before the shuffle. Repeated rows stay; other columns are ignored.
+    ``cvegeo`` have no zone and are not filled from it. Repeated rows stay; other columns are ignored.
+
+    The cleaned rows are written once to the checkpoint folder and read by all steps. Only rows that lack something are
+    joined with the statistics, salted where a zone holds a large part of them; statistics combine before their shuffle.
     """
     zone = F.when(F.length(F.trim("cvegeo")) >= 13, F.upper(F.substring(F.trim("cvegeo"), 1, 13)))
     demographic = [c for c in features if c in blocks.columns]
     rows = blocks.select("block_id", "cvegeo", zone.alias("_zone"), "census_year", *[head_count(F.col(h)).alias(h) for h in heads], zone_code(F.col(zone_field)).alias(zone_field), *[F.log1p(head_count(F.col(c))).alias(f"_f_{c}") for c in demographic if c not in heads])
-    rows = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
-    model = fit_prototypes(rows, [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]], ["_c_state", "_c_suffix", "census_year"], k)
-    rows = rows.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster")
-    clusters = range(max(1, len(model.centres)))
-    rows_known = blocks.count()
-    hot_zones, hot_blocks = hot_keys(rows, "_zone", rows_known), hot_keys(rows, "cvegeo", rows_known)
+    rows = durable(rows)
+    full = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
+    model = fit_prototypes(full, [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]], ["_c_state", "_c_suffix", "census_year"], k)
+    rows = full.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster")
+    lacks = F.expr(" or ".join(f"`{f}` is null" for f in (*heads, zone_field)))
+    todo = rows.where(lacks)
 
     # Exact medians of bounded whole numbers keep one counter per value, so they combine before the shuffle.
-    by_census = rows.where(F.col("_zone").isNotNull()).groupBy("_zone", "census_year").agg(
-        *[F.expr(f"percentile(if(cluster = {i}, {h}, null), 0.5) as _{h}_{i}") for h in heads for i in clusters], *[F.expr(f"percentile({h}, 0.5) as _{h}_zone") for h in heads]
-    )
+    median = lambda name: [F.percentile(F.col(h), 0.5).alias(f"_{h}_{name}") for h in heads]
     long_code = F.when(F.length(zone_field) == 13, F.col(zone_field)).otherwise(F.concat(F.substring("_zone", 1, 9), F.col(zone_field)))
-    by_zone = rows.where(F.col("_zone").isNotNull()).groupBy("_zone").agg(
-        *[F.mode(F.when(F.col("cluster") == i, long_code), True).alias(f"_code_{i}") for i in clusters], F.mode(long_code, True).alias("_code_zone")
-    )
-    by_block = rows.where(F.col("cvegeo").isNotNull()).groupBy("cvegeo").agg(*[F.percentile(F.col(h), 0.5).alias(f"_{h}_block") for h in heads])
-    out = salted_join(rows, by_census, ["_zone", "census_year"], "_zone", hot_zones, F.col("block_id"))
-    out = salted_join(out, by_zone, ["_zone"], "_zone", hot_zones, F.col("block_id"))
-    out = salted_join(out, by_block, ["cvegeo"], "cvegeo", hot_blocks, F.col("block_id"))
-
-    def own(stem: str) -> Column:
-        return F.expr(f"element_at(array({', '.join(f'_{stem}_{i}' for i in clusters)}), cluster + 1)")
-
-    def filled(field: str, levels: list[tuple[str, Column]]) -> list[Column]:
+    zoned = rows.where(F.col("_zone").isNotNull())
+    levels = [
+        (["_zone", "census_year", "cluster"], zoned.groupBy("_zone", "census_year", "cluster").agg(*median("cluster"))), (["_zone", "census_year"], zoned.groupBy("_zone", "census_year").agg(*median("zone"))),
+        (["_zone", "cluster"], zoned.groupBy("_zone", "cluster").agg(F.mode(long_code, True).alias("_code_cluster"))), (["_zone"], zoned.groupBy("_zone").agg(F.mode(long_code, True).alias("_code_zone"))),
+        (["cvegeo"], rows.where(F.col("cvegeo").isNotNull()).groupBy("cvegeo").agg(*median("block"))),
+    ]
+    missing = todo.count()
+    hot = {c: hot_keys(todo, c, missing) for c in ("_zone", "cvegeo")}
+    out = todo
+    for on, table in levels:
+        out = salted_join(out, table, on, on[0], hot[on[0]], F.col("block_id"))
+
+    def filled(field: str, found: list[tuple[str, Column]]) -> list[Column]:
         method = F.when(F.col(field).isNotNull(), "observed")
-        for name, value in levels:
+        for name, value in found:
             method = method.when(value.isNotNull(), name)
-        value = F.coalesce(F.col(field), *[v for _, v in levels])
+        value = F.coalesce(F.col(field), *[v for _, v in found])
         return [value.alias(field), (F.col(field).isNull() & value.isNotNull()).alias(f"{field}_filled"), method.otherwise("unfillable").alias(f"{field}_method")]
 
-    columns = [c for h in heads for c in filled(h, [("cluster", own(h)), ("zone", F.col(f"_{h}_zone")), ("block", F.col(f"_{h}_block"))])]
-    columns += filled(zone_field, [("cluster", own("code")), ("zone", F.col("_code_zone"))])
-    return out.select("block_id", "cvegeo", "census_year", "cluster", *columns)
+    columns = [c for h in heads for c in filled(h, [(n, F.col(f"_{h}_{n}")) for n in ("cluster", "zone", "block")])]
+    columns += filled(zone_field, [(n, F.col(f"_code_{n}")) for n in ("cluster", "zone")])
+    whole = [c for f in (*heads, zone_field) for c in (F.col(f), F.lit(False).alias(f"{f}_filled"), F.lit("observed").alias(f"{f}_method"))]
+    keys = ["block_id", "cvegeo", "census_year", "cluster"]
+    return out.select(*keys, *columns).unionByName(rows.where(~lacks).select(*keys, *whole))
 
 
 def filled_fields(filled: DataFrame, fields: list[str]) -> DataFrame:

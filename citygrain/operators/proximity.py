@@ -22,6 +22,8 @@ LEAF_POINTS = 30_000
 #: A leaf that cannot be split further and holds more than this is worked on in pieces, each pair of pieces once.
 PIECE_POINTS = 100_000
 NODE = 16
+#: Edges from which a polygon is cut to what each leaf needs.
+LARGE_POLYGON = 64
 
 
 class RTree:
@@ -243,17 +245,47 @@ def _in_ring(px: np.ndarray, py: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2:
     return cross, on
 
 
+def _edges_by_leaf(lists: list[pa.Array], who: np.ndarray, leaf: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(list number per pair of polygon and leaf, or -1 where the leaf lies outside; edge lists x1, y1, x2, y2).
+
+    Of a large polygon a leaf needs the edges beside or right of it within its span of y, since the rays go right. If none
+    is in the leaf, it lies within or outside as a whole.
+    """
+    off = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+    x1, y1, x2, y2 = (c.flatten().to_numpy() for c in lists)
+    take, sizes, parts = np.full(len(who), -1), [], []
+    for pair, (polygon, (bx0, by0, bx1, by1)) in enumerate(zip(who.tolist(), boxes[leaf].tolist(), strict=True)):
+        own = slice(off[polygon], off[polygon + 1])
+        edge = [x1[own], y1[own], x2[own], y2[own]]
+        if len(edge[0]) > LARGE_POLYGON:
+            ax, ay, cx, cy = edge
+            band = (np.maximum(ay, cy) >= by0) & (np.minimum(ay, cy) <= by1) & (np.maximum(ax, cx) >= bx0)
+            edge = [v[band] for v in edge]
+            if not (np.minimum(edge[0], edge[2]) <= bx1).any():
+                cross, _ = _in_ring((bx0 + bx1) / 2, (by0 + by1) / 2, *edge)
+                if cross.sum() % 2 == 0:
+                    continue
+                edge = [np.array(v) for v in ((bx0, bx1, bx1, bx0), (by0, by0, by1, by1), (bx1, bx1, bx0, bx0), (by0, by1, by1, by0))]
+        take[pair] = len(parts)
+        parts.append(edge)
+        sizes.append(len(edge[0]))
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return take, [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[i] for p in parts]) if parts else np.empty(0))) for i in range(4)]
+
+
 def locate(points: DataFrame, regions: DataFrame, region_id: str, geometry: str = "geometry", rows: int | None = None, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """(id, lon, lat, region_id) of the points that lie in or on a region.
 
     ``regions`` has polygons ``array<array<struct<x,y>>>`` (rings, holes by the even-odd rule) in the same
     coordinates; a polygon that runs past x = 180 or -180 is also met from the other side. Points that are not
     valid, null ids and null or empty polygons give no row; repeated rows count once. If several regions hold a
-    point, it gets the one with the smallest id.
+    point, it gets the one with the smallest id. A leaf gets only the edges of a large polygon that can decide there, and
+    a leaf that lies within it whole gets its own four sides instead, so a country over a dense city is not repeated.
     """
     points = points.select(F.col("id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    points = points.where(F.col("id").isNotNull() & valid_location(F.col("lon"), F.col("lat"))).distinct()
+    points = points.where(F.col("id").isNotNull() & valid_location(F.col("lon"), F.col("lat")))
     lon, lat, total = _sample(points, rows, SAMPLE_POINTS)
+    points = points.distinct()
     tree = build_quadtree(lon, lat, (-180.0, -180.0, 360.0), total, 360.0 / (1 << 20), leaf_points)
     name = regions.schema[region_id].dataType.simpleString()
     segment = F.expr(f"flatten(transform({geometry}, r -> transform(sequence(1, size(r) - 1), i -> struct(r[i-1].x as x1, r[i-1].y as y1, r[i].x as x2, r[i].y as y2))))")
@@ -276,8 +308,16 @@ def locate(points: DataFrame, regions: DataFrame, region_id: str, geometry: str
             k = tree.pieces[leaf]
             each = np.repeat(np.arange(len(who)), k)
             piece = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
-            rest = batch.take(pa.array(who[each]))
-            yield pa.RecordBatch.from_arrays([pa.array((leaf[each] << 24) | piece), *rest.columns], names=["task", *batch.schema.names])
+            lists = [batch.column(i) for i in range(5, 9)]
+            size = np.diff(lists[0].offsets.to_numpy())
+            if (size > LARGE_POLYGON).any():
+                take, lists = _edges_by_leaf(lists, who, leaf, tree.boxes())
+                each, back = each[take[each] >= 0], each
+                piece = piece[take[back] >= 0]
+                columns = [*batch.take(pa.array(who[each])).columns[:5], *[c.take(pa.array(take[each])) for c in lists]]
+            else:
+                columns = batch.take(pa.array(who[each])).columns
+            yield pa.RecordBatch.from_arrays([pa.array((leaf[each] << 24) | piece), *columns], names=["task", *batch.schema.names])
 
     def match(own: pa.Table, areas: pa.Table) -> pa.Table:
         empty = own.select(["id", "lon", "lat"]).slice(0, 0).append_column("region", areas.column("region").slice(0, 0))

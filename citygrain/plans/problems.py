@@ -67,7 +67,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = table(spark, sf_dir, "nodes").select(F.lit("edges").alias("table_name"), F.col("osmid").alias("ref_id"), "loaded_at")
     parents = parents.unionByName(elements.where(F.col("type") == "node").select(F.lit("overpass_elements").alias("table_name"), F.col("id").alias("ref_id"), "loaded_at"))
     removed = table(spark, sf_dir, "removed_ids").select(F.when(F.col("table_name") == "nodes", "edges").otherwise(F.col("table_name")).alias("table_name"), "ref_id", "removed_at")
-    return references.orphans(refs.unionByName(members), parents, removed, 2 * edges.count() + elements.count())
+    return references.orphans(refs.unionByName(members), parents, removed, 2 * edges.count() + (elements.agg(F.sum(F.size("nodes"))).first()[0] or 0))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +167,42 @@ w AS (SELECT *, {counts}, count(code) OVER (PARTITION BY zone) AS z_code FROM c)
 {" UNION ALL ".join(parts)} UNION ALL SELECT block_id, 'cve_ageb' FROM w WHERE code IS NULL AND z_code > 0"""
 
 
+def _p3_filled_sql() -> str:
+    """K-prototypes round by round, then medians and modes of cluster, zone and block."""
+    head = lambda c: f"CASE WHEN NOT isnan({c}) AND {c} >= 0 AND {c} <= {imputation.MAX_HEADS} AND {c} = floor({c}) THEN {c} END"
+    bare = r"regexp_replace(upper(cve_ageb), '[\s-]', '', 'g')"
+    names = [c for c in FEATURES if c not in HEADS] + list(HEADS)
+    cats = ["substr(zone, 1, 2)", "substr(zone, 13, 1)", "census_year"]
+    k, gamma = imputation.CLUSTERS, imputation.GAMMA
+    fields = ", ".join(f"ln(1 + {head(c)}) AS f{i}" for i, c in enumerate(names))
+    known = " + ".join(f"CAST(f{i} IS NOT NULL AS INTEGER)" for i in range(len(names)))
+    steps = [f"""c AS (SELECT block_id, cvegeo, CASE WHEN length(trim(cvegeo)) >= 13 THEN upper(left(trim(cvegeo), 13)) END AS zone, census_year, {", ".join(f"{head(h)} AS {h}" for h in HEADS)},
+  CASE WHEN regexp_matches({bare}, '{imputation.CODE}') AND NOT regexp_matches({bare}, '^0+$') THEN {bare} END AS code, {fields} FROM blocks)""",
+        f"r AS (SELECT *, row_number() OVER () AS id, {', '.join(f'{c} AS c{i}' for i, c in enumerate(cats))}, ({' + '.join(f'coalesce(f{i}, 0)' for i in range(len(names)))}) / nullif({known}, 0) AS m FROM c)",
+        "span AS (SELECT coalesce(min(m), 0) AS lo, coalesce(max(m), 0) AS hi FROM r)",
+        f"a0 AS (SELECT r.id, {' + '.join(f'CAST(coalesce(m, 0) > lo + (hi - lo) * {i} / {k} AS INTEGER)' for i in range(1, k))} AS cluster FROM r, span)"]
+    for n in range(imputation.ROUNDS):
+        means = ", ".join(f"avg(f{i}) AS n{i}" for i in range(len(names)))
+        modes = [f"(SELECT cluster, arg_min(v, (-n, v)) AS m{i} FROM (SELECT cluster, c{i} AS v, count(*) AS n FROM a{n} JOIN r USING (id) WHERE c{i} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)" for i in range(len(cats))]
+        steps.append(f"z{n} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS place FROM (SELECT cluster, {means} FROM a{n} JOIN r USING (id) GROUP BY 1) {' '.join(f'LEFT JOIN {m} USING (cluster)' for m in modes)})")
+        terms = [f"coalesce((f{i} - n{i}) * (f{i} - n{i}), 0)" for i in range(len(names))] + [f"CASE WHEN m{i} IS NULL OR c{i} IS NOT DISTINCT FROM m{i} THEN 0 ELSE {gamma} END" for i in range(len(cats))]
+        steps.append(f"a{n + 1} AS MATERIALIZED (SELECT id, arg_min(place, (d, place)) AS cluster FROM (SELECT r.id, place, {' + '.join(terms)} AS d FROM r, z{n}) GROUP BY id)")
+    steps.append(f"b AS (SELECT r.*, a.cluster, CASE WHEN length(code) = 13 THEN code ELSE left(zone, 9) || code END AS long FROM r JOIN a{imputation.ROUNDS} a USING (id))")
+    for name, on in (("cluster", "zone, census_year, cluster"), ("zone", "zone, census_year"), ("block", "cvegeo")):
+        steps.append(f"h_{name} AS (SELECT {on}, {', '.join(f'quantile_cont({h}, 0.5) AS {h}_{name}' for h in HEADS)} FROM b WHERE {on.split(',')[0]} IS NOT NULL GROUP BY ALL)")
+    for name, on in (("cluster", "zone, cluster"), ("zone", "zone")):
+        steps.append(f"k_{name} AS (SELECT {on}, arg_min(long, (-n, long)) AS code_{name} FROM (SELECT {on}, long, count(*) AS n FROM b WHERE zone IS NOT NULL AND long IS NOT NULL GROUP BY ALL) GROUP BY {on})")
+
+    def field(name: str, found: list[str], alias: str) -> str:
+        method = " ".join(f"WHEN {v} IS NOT NULL THEN '{v.rsplit('_', 1)[1]}'" for v in found)
+        return f"coalesce(b.{name}, {', '.join(found)}) AS {alias}, b.{name} IS NULL AND coalesce({', '.join(found)}) IS NOT NULL AS {alias}_filled, CASE WHEN b.{name} IS NOT NULL THEN 'observed' {method} ELSE 'unfillable' END AS {alias}_method"
+
+    columns = [field(h, [f"{h}_{n}" for n in ("cluster", "zone", "block")], h) for h in HEADS] + [field("code", ["code_cluster", "code_zone"], "cve_ageb")]
+    return f"""WITH {", ".join(steps)} SELECT b.block_id, b.cvegeo, b.census_year, CAST(b.cluster AS INTEGER) AS cluster, {", ".join(columns)} FROM b
+LEFT JOIN h_cluster hc ON hc.zone = b.zone AND hc.census_year = b.census_year AND hc.cluster = b.cluster LEFT JOIN h_zone hz ON hz.zone = b.zone AND hz.census_year = b.census_year
+LEFT JOIN h_block hb ON hb.cvegeo = b.cvegeo LEFT JOIN k_cluster kc ON kc.zone = b.zone AND kc.cluster = b.cluster LEFT JOIN k_zone kz ON kz.zone = b.zone"""
+
+
 def _p4_sql() -> str:
     """Separators that do not separate are masked, then the entry is split at the rest."""
     steps = [r"""regexp_replace(trim(raw), '^[\[({](.*)[\])}]$', '\1')""", r"""regexp_replace({}, '([0-9]),([0-9]+ *[A-Za-z])', '\1¤\2', 'g')"""]
@@ -217,6 +253,7 @@ test AS (SELECT h.id, h.lon, h.lat, h.cve_ageb, h.shift,
   FROM hit h JOIN seg s ON s.cve_ageb = h.cve_ageb AND s.shift = h.shift GROUP BY ALL)
 SELECT id, lon, lat, min(cve_ageb) AS cve_ageb FROM test WHERE crossed % 2 = 1 OR touched = 1 GROUP BY id, lon, lat""",
     "p3_found": _p3_sql(),
+    "p3_filled": _p3_filled_sql(),
     "p4_found": _p4_sql(),
     "p6_found": _P6_SQL,
     "p6_ways": _P6_WAYS + " SELECT DISTINCT response_id, way_id, CAST(CASE json_type(nodes) WHEN 'ARRAY' THEN json_array_length(nodes) WHEN 'OBJECT' THEN 0 WHEN 'NULL' THEN 0 ELSE CASE WHEN nodes IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS n_nodes, CASE WHEN trim(coalesce(road, '')) <> '' THEN road END AS highway FROM way",

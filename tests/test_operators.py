@@ -101,6 +101,21 @@ def test_spatial_join_of_mixed_sizes(spark, how):
     assert joins.spatial_join(pts, polygons.limit(0), "shape", how=how).count() == (len(xy) if how == "left" else 0)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spatial_join_of_a_hot_cell(spark, monkeypatch, how):
+    rng = np.random.default_rng(8)
+    rows = [(i, *((float(5.2 + 0.4 * rng.random()), 5.3) if i % 2 else map(float, rng.random(2) * 12))) for i in range(3000)]
+    table = spark.createDataFrame([*rows, (9001, None, 1.0)], "id long, x double, y double")
+    polygons = spark.createDataFrame([(k, box(k % 4 * 3, k // 4 * 3, k % 4 * 3 + 3.5, k // 4 * 3 + 3)) for k in range(16)], f"bin long, geometry {SHAPE}")
+    joined = lambda **kw: sorted(((r.id, r.bin) for r in joins.spatial_join(table, polygons, "bin", "intersects", how, **kw).collect()), key=str)
+    plain = joined(cell=3.0)
+    monkeypatch.setattr(joins, "MOST_CELLS", 0)
+    found = []
+    monkeypatch.setattr(joins, "hot_keys", lambda *a, own=joins.hot_keys: found.append(own(*a)) or found[-1])
+    assert joined(cell=3.0) == plain and joined() == plain and len(plain) > 3000
+    assert all(found)
+
+
 @pytest.mark.parametrize("projected", [True, False])
 @pytest.mark.parametrize("most", [1000, 0])
 def test_nearest_nodes(spark, projected, most):
@@ -185,10 +200,26 @@ def test_interpolate(spark):
     assert value(interpolate.interpolate(at, seen, "id", search_radius=0.1, scalar=True))[1] == -1.0
     gap = seen.withColumn("z", F.when(F.col("z") != 20, F.col("z")))
     assert value(interpolate.interpolate(at, gap, "id"))[1] == pytest.approx(20.0) and value(interpolate.interpolate(at, gap, "id", scalar=True))[1] is None
-    assert value(interpolate.interpolate(at, seen, "id", block_targets=1, block_observations=1)) == pytest.approx({1: 25.0, 2: 275 / 17, 3: 10.0})
+    assert value(interpolate.interpolate(at, seen, "id", block_targets=1, block_observations=1, most_observations=0)) == pytest.approx({1: 25.0, 2: 275 / 17, 3: 10.0})
     assert value(interpolate.interpolate(at, seen.limit(0), "id")) == {1: 0.0, 2: 0.0, 3: 0.0}
     edge = seen.union(spark.createDataFrame([(0.5, 0.0, 15.0), (0.5, 1.0, 35.0)], seen.schema))
     assert value(interpolate.interpolate(at, edge, "id", search_radius=0.5))[1] == pytest.approx(25.0)
+    assert value(interpolate.interpolate(at, edge, "id", search_radius=0.5, most_observations=0))[1] == pytest.approx(25.0)
+
+
+def test_interpolate_within_a_radius(spark, monkeypatch):
+    monkeypatch.setattr(interpolate, "PAIRS", 500)
+    rng = np.random.default_rng(12)
+    o = np.concatenate([rng.uniform(-50, 50, (300, 3)), np.column_stack([rng.normal(2, 0.1, (200, 2)), rng.random(200)])])
+    t = np.concatenate([rng.uniform(-60, 60, (120, 2)), [[1e9, -1e9], [2.0, 2.0]]])
+    seen = spark.createDataFrame([tuple(map(float, r)) for r in o], "x double, y double, z double")
+    at = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)] + [(900, None, 1.0)], "id int, x double, y double")
+    for radius in (4.0, 30.0, 1e6):
+        d = np.hypot(t[:, :1] - o[:, 0], t[:, 1:] - o[:, 1])
+        w = np.where(d <= radius, 1 / (d + 1e-12) ** 2, 0)
+        want = {i: float((w[i] @ o[:, 2]) / w[i].sum()) if w[i].any() else 0.0 for i in range(len(t))} | {900: 0.0}
+        for most in (10_000, 0):
+            assert {r.id: r.interpolated_value for r in interpolate.interpolate(at, seen, "id", search_radius=radius, most_observations=most).collect()} == pytest.approx(want)
 
 
 def test_scalars(spark):

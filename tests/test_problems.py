@@ -425,6 +425,33 @@ def test_locate(spark):
     assert proximity.locate(table, regions.limit(0), "zone").count() == 0
 
 
+@pytest.mark.parametrize("leaf", [30_000, 40])
+def test_locate_in_large_polygons(spark, leaf):
+    rng = np.random.default_rng(6)
+
+    def star(x, y, r, n, wave=0.3):
+        a = np.linspace(0, 2 * np.pi, n + 1)
+        far = r * (1 + wave * np.sin(9 * a))
+        ring = [{"x": float(p), "y": float(q)} for p, q in zip(x + far * np.cos(a), y + far * np.sin(a), strict=True)]
+        ring[-1] = ring[0]
+        return ring
+
+    shapes = {"a": [star(0, 0, 30, 700), star(0, 0, 8, 200)], "b": [star(20, 10, 5, 100)], "c": [star(178, -20, 15, 300)], "d": [star(60, 40, 0.5, 5)]}
+    xy = np.concatenate([rng.uniform(-45, 70, (1500, 2)) * [1, 0.8], rng.normal(3, 0.5, (800, 2)), np.column_stack([rng.uniform(160, 180, 200), rng.uniform(-40, 0, 200)]), np.column_stack([rng.uniform(-180, -160, 200), rng.uniform(-40, 0, 200)])])
+    table = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, lon double, lat double")
+    regions = spark.createDataFrame(list(shapes.items()), "zone string, geometry array<array<struct<x:double,y:double>>>")
+    want = {}
+    for zone in reversed(shapes):
+        for shift in (0, 360, -360):
+            odd = np.zeros(len(xy), int)
+            for ring in shapes[zone]:
+                p = np.array([(c["x"] + shift, c["y"]) for c in ring])
+                for (x1, y1), (x2, y2) in zip(p[:-1], p[1:], strict=True):
+                    odd += proximity._in_ring(xy[:, 0], xy[:, 1], x1, y1, x2, y2)[0]
+            want.update({int(i): zone for i in np.flatnonzero(odd % 2)})
+    assert {r.id: r.zone for r in proximity.locate(table, regions, "zone", leaf_points=leaf).collect()} == want and len(want) > 500
+
+
 def test_rtree_and_quadtree():
     rng = np.random.default_rng(1)
     boxes = rng.random((500, 2))
