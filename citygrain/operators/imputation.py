@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citygrain.operators.skew import hot_keys, salted_join
@@ -51,8 +51,8 @@ class Prototypes:
             terms = [f"coalesce((`{x}` - {float(m)!r}D) * (`{x}` - {float(m)!r}D), 0D)" for x, m in zip(self.numeric, means, strict=True) if m is not None]
             terms += [f"if(`{x}` <=> {_literal(m)}, 0D, {self.gamma!r}D)" for x, m in zip(self.categorical, modes, strict=True) if m is not None]
             distances.append(" + ".join(terms) or "0D")
-        every = f"array({', '.join(distances)})"
-        return F.expr(f"cast(array_position({every}, array_min({every})) - 1 as int)")
+        # One evaluation of each distance; of equal ones the first counts.
+        return F.expr(f"array_min(array({', '.join(f'struct({d} as d, {i} as i)' for i, d in enumerate(distances))})).i")
 
 
 def _literal(value) -> str:
@@ -100,9 +100,8 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     be donors, since the record itself lacks the value. Ties of a mode go to the smaller code. Rows without
     ``cvegeo`` have no zone and are not filled from it. Repeated rows stay; other columns are ignored.
 
-    The cleaned rows are written once to the checkpoint folder and read by all steps. Only rows that lack something are
-    joined with the statistics, salted where a zone holds a large part of them; statistics are counts of values, combined
-    before their shuffle.
+    The cleaned rows are written to the checkpoint folder once for the clustering, and once with their clusters. Only rows that lack something are
+    joined with the statistics, salted where a zone holds a large part of them; statistics combine before their shuffle.
     """
     zone = F.when(F.length(F.trim("cvegeo")) >= 13, F.upper(F.substring(F.trim("cvegeo"), 1, 13)))
     demographic = [c for c in features if c in blocks.columns]
@@ -110,26 +109,22 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     rows = durable(rows)
     full = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
     model = fit_prototypes(full, [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]], ["_c_state", "_c_suffix", "census_year"], k)
-    rows = full.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster")
+    rows = durable(full.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster"))
     lacks = F.expr(" or ".join(f"`{f}` is null" for f in (*heads, zone_field)))
     todo = rows.where(lacks)
 
     long_code = F.when(F.length(zone_field) == 13, F.col(zone_field)).otherwise(F.concat(F.substring("_zone", 1, 9), F.col(zone_field)))
     zoned = rows.where(F.col("_zone").isNotNull())
-    entries = F.explode(F.array(*[F.struct(F.lit(h).alias("f"), F.col(h).alias("v")) for h in heads])).alias("e")
-    values = zoned.select("_zone", "census_year", "cluster", entries).select("_zone", "census_year", "cluster", "e.f", "e.v").where("v is not null").groupBy("_zone", "census_year", "cluster", "f", "v").agg(F.count("*").alias("n"))
-    codes = zoned.select("_zone", "cluster", long_code.alias("v")).where("v is not null").groupBy("_zone", "cluster", "v").agg(F.count("*").alias("n"))
-    levels = [
-        (["_zone", "census_year", "cluster"], _medians(values, ["_zone", "census_year", "cluster"], heads, "cluster")),
-        (["_zone", "census_year"], _medians(values.groupBy("_zone", "census_year", "f", "v").agg(F.sum("n").alias("n")), ["_zone", "census_year"], heads, "zone")),
-        (["_zone", "cluster"], codes.groupBy("_zone", "cluster").agg(F.min(F.struct(-F.col("n"), F.col("v").alias("v"))).alias("m")).select("_zone", "cluster", F.col("m.v").alias("_code_cluster"))),
-        (["_zone"], codes.groupBy("_zone", "v").agg(F.sum("n").alias("n")).groupBy("_zone").agg(F.min(F.struct(-F.col("n"), F.col("v").alias("v"))).alias("m")).select("_zone", F.col("m.v").alias("_code_zone"))),
-    ]
+    clusters = range(max(1, len(model.centres)))
+    # Exact medians of bounded whole numbers keep one counter per value, so they combine before the shuffle.
+    by_census = zoned.groupBy("_zone", "census_year").agg(*[F.expr(f"percentile(if(cluster = {i}, {h}, null), 0.5) as _{h}_{i}") for h in heads for i in clusters], *[F.expr(f"percentile({h}, 0.5) as _{h}_zone") for h in heads])
+    by_zone = zoned.groupBy("_zone").agg(*[F.mode(F.when(F.col("cluster") == i, long_code), True).alias(f"_code_{i}") for i in clusters], F.mode(long_code, True).alias("_code_zone"))
     missing = todo.count()
     hot = hot_keys(todo, "_zone", missing)
-    out = todo
-    for on, table in levels:
-        out = salted_join(out, table, on, on[0], hot, F.col("block_id"))
+    out = salted_join(todo, by_census, ["_zone", "census_year"], "_zone", hot, F.col("block_id"))
+    out = salted_join(out, by_zone, ["_zone"], "_zone", hot, F.col("block_id"))
+    own = lambda stem: F.expr(f"element_at(array({', '.join(f'_{stem}_{i}' for i in clusters)}), cluster + 1)").alias(f"_{stem}_cluster")
+    out = out.select(*todo.columns, *[own(h) for h in heads], own("code"), *[f"_{h}_zone" for h in heads], "_code_zone")
     # What no record of the zone and census has is looked for among the block's other censuses, for the few blocks that need it.
     out = durable(out)
     open_ = out.where(F.expr(" or ".join(f"coalesce(`{h}`, `_{h}_cluster`, `_{h}_zone`) is null" for h in heads))).select("cvegeo").where("cvegeo is not null").distinct()
@@ -150,20 +145,6 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     return out.select(*keys, *columns).unionByName(rows.where(~lacks).select(*keys, *whole))
 
 
-def _medians(counts: DataFrame, keys: list[str], fields: tuple[str, ...], name: str) -> DataFrame:
-    """(keys, ``_{field}_{name}``): medians from (keys, f, v, n), how often each value is there, by one running sum.
-
-    A field has at most MAX_HEADS + 1 values, so no window grows with the rows.
-    """
-    own = Window.partitionBy(*keys, "f")
-    upto = F.sum("n").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"_upto": upto, "_all": F.sum("n").over(own)})
-    covers = lambda place: (F.col("_upto") - F.col("n") < place) & (place <= F.col("_upto"))
-    lower, upper = covers(F.ceil(F.col("_all") / 2)), covers(F.floor(F.col("_all") / 2) + 1)
-    middle = lambda h, hit: F.max(F.when((F.col("f") == h) & hit, F.col("v")))
-    return placed.where(lower | upper).groupBy(*keys).agg(*[((middle(h, lower) + middle(h, upper)) / 2).alias(f"_{h}_{name}") for h in fields])
-
-
 def filled_fields(filled: DataFrame, fields: list[str]) -> DataFrame:
     """(block_id, field_name) of the fills."""
     entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_filled").alias("hit")) for f in fields])
