@@ -42,19 +42,29 @@ class Prototypes:
     centres: list[tuple[list[float], list]]
     gamma: float
 
-    def cluster(self) -> Column:
-        """Number of the nearest prototype: squared differences of observed numbers plus gamma per differing category."""
+    def cluster(self, spread: bool = False) -> Column:
+        """Number of the nearest prototype: squared differences of observed numbers plus gamma per differing category.
+
+        ``spread`` says that the table has the columns of the function of this name, which are quicker to read.
+        """
         if not self.centres:
             return F.lit(0)
+        # The squares of a row's own features are the same for all clusters and left out: what stays is short enough to be compiled.
         distances = []
         for means, modes in self.centres:
-            terms = [f"coalesce((`{x}` - {float(m)!r}D) * (`{x}` - {float(m)!r}D), 0D)" for x, m in zip(self.numeric, means, strict=True) if m is not None]
+            x, known = ((lambda i: f"_x{i}"), (lambda i: f"_k{i}")) if spread else ((lambda i: f"coalesce(`{self.numeric[i]}`, 0D)"), (lambda i: f"if(`{self.numeric[i]}` is null, 0D, 1D)"))
+            terms = [f"{known(i)} * {m * m!r}D - {x(i)} * {2 * m!r}D" for i, m in enumerate(means) if m is not None]
             terms += [f"if(`{x}` <=> {_literal(m)}, 0D, {self.gamma!r}D)" for x, m in zip(self.categorical, modes, strict=True) if m is not None]
             distances.append(" + ".join(terms) or "0D")
         # One evaluation of each distance; of equal ones the first counts.
         return F.expr(f"array_min(array({', '.join(f'struct({d} as d, {i} as i)' for i, d in enumerate(distances))})).i")
 
 
+def spread(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """``df`` with ``_x0``... for the numeric columns, 0 where null, and ``_k0``..., 1 where known, in their place."""
+    return df.select(*[c for c in df.columns if c not in numeric], *[F.expr(f"coalesce(double(`{c}`), 0D) as _x{i}") for i, c in enumerate(numeric)], *[F.expr(f"if(`{c}` is null, 0D, 1D) as _k{i}") for i, c in enumerate(numeric)])
+
+
 def _literal(value) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
@@ -65,20 +75,21 @@ def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k:
     The first clusters are k equal ranges of the rows' mean over their observed features. Null features are
     left out of means, modes and distances. An empty table gives no centres, and then one cluster.
     """
-    known = " + ".join(f"int(`{x}` is not null)" for x in numeric)
-    mean = f"try_divide({' + '.join(f'coalesce(`{x}`, 0D)' for x in numeric)}, {known})"
+    own = range(len(numeric))
+    df = df if "_x0" in df.columns or not numeric else spread(df, numeric)
+    mean = f"try_divide({' + '.join(f'_x{i}' for i in own)}, {' + '.join(f'_k{i}' for i in own)})"
     low, high = df.select(F.expr(f"min({mean})"), F.expr(f"max({mean})")).first()
     low, high = low or 0.0, high or 0.0
     assigned = F.expr(" + ".join(["0", *(f"int(coalesce({mean}, 0D) > {low + (high - low) * i / k!r}D)" for i in range(1, k))]))
     model = Prototypes(numeric, categorical, [], gamma)
     for _ in range(rounds):
-        aggregates = [F.avg(x).alias(f"n{i}") for i, x in enumerate(numeric)] + [F.mode(F.col(x), True).alias(f"c{i}") for i, x in enumerate(categorical)]
+        aggregates = [F.expr(f"try_divide(sum(_x{i}), sum(_k{i})) as n{i}") for i in own] + [F.mode(F.col(x), True).alias(f"c{i}") for i, x in enumerate(categorical)]
         rows = df.groupBy(assigned.alias("_cluster")).agg(*aggregates).orderBy("_cluster").collect()
         centres = [([r[f"n{i}"] for i in range(len(numeric))], [r[f"c{i}"] for i in range(len(categorical))]) for r in rows]
         if _settled(centres, model.centres):
             break
         model = Prototypes(numeric, categorical, centres, gamma)
-        assigned = model.cluster()
+        assigned = model.cluster(spread=True)
     return model
 
 
@@ -105,11 +116,12 @@ def fill_blocks(blocks: DataFrame, features: list[str], heads: tuple[str, ...] =
     """
     zone = F.when(F.length(F.trim("cvegeo")) >= 13, F.upper(F.substring(F.trim("cvegeo"), 1, 13)))
     demographic = [c for c in features if c in blocks.columns]
+    numeric = [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]]
     rows = blocks.select("block_id", "cvegeo", zone.alias("_zone"), "census_year", *[head_count(F.col(h)).alias(h) for h in heads], zone_code(F.col(zone_field)).alias(zone_field), *[F.log1p(head_count(F.col(c))).alias(f"_f_{c}") for c in demographic if c not in heads])
-    rows = durable(rows)
-    full = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
-    model = fit_prototypes(full, [f"_f_{c}" for c in [*[c for c in demographic if c not in heads], *heads]], ["_c_state", "_c_suffix", "census_year"], k)
-    rows = durable(full.withColumn("cluster", model.cluster()).select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, "cluster"))
+    rows = rows.withColumns({f"_f_{h}": F.log1p(h) for h in heads} | {"_c_state": F.substring("_zone", 1, 2), "_c_suffix": F.substring("_zone", 13, 1)})
+    rows = durable(spread(rows, numeric))
+    model = fit_prototypes(rows, numeric, ["_c_state", "_c_suffix", "census_year"], k)
+    rows = durable(rows.select("block_id", "cvegeo", "_zone", "census_year", *heads, zone_field, model.cluster(spread=True).alias("cluster")))
     lacks = F.expr(" or ".join(f"`{f}` is null" for f in (*heads, zone_field)))
     todo = rows.where(lacks)
 
