@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,19 @@ DEMOGRAPHIC = """
 GROUPS = ["P_0A2", "P_3A5", "P_6A11", "P_12A14", "P_15A17"]
 SPLIT_BY_SEX = [*GROUPS, "P_18A24", "P_60YMAS"]
 ZONE, BLOCK, TOTAL = "CVE_AGEB", "CVEGEO", "POBTOT"
+
+
+@dataclass(frozen=True)
+class Columns:
+    """Which columns are worked on, which of them are left as they are, and the names of the keys and the total."""
+
+    demographic: tuple[str, ...] = tuple(DEMOGRAPHIC)
+    excluded: tuple[str, ...] = ("REL_H_M",)
+    zone: str = ZONE
+    block: str = BLOCK
+    total: str = TOTAL
+
+
 YOUNG = ["P_0A2", "P_3A5", "P_6A11", "P_12A14"]
 
 
@@ -78,35 +92,39 @@ def apply_equations(rows: pd.DataFrame, passes: int = 50) -> pd.DataFrame:
     return pd.DataFrame(values.T, index=rows.index, columns=rows.columns)
 
 
-def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50) -> DataFrame:
-    """``blocks`` with missing demographic values filled, names in lower case; REL_H_M stays as it is.
+def impute_blocks(zones: DataFrame, blocks: DataFrame, most_passes: int = 50, columns: Columns | None = None) -> DataFrame:
+    """``blocks`` with missing demographic values filled, names in lower case; excluded columns (REL_H_M) stay as they are.
 
     A row with any demographic value goes through the equations. Then, per zone of ``zones`` and column, a single missing
     value is the zone's total less the known ones, and several share that remainder by their POBTOT (if its sum is above
     0). Negative remainders stay. Empty tables: ValueError; missing columns: KeyError; a block of an unknown zone only
     goes through the equations. Zone sums are aggregated before the shuffle and joined back, so a large zone is no window.
+    ``columns`` names other columns and keys; the equations are about the default names, further columns only share remainders.
     """
     if zones.isEmpty() or blocks.isEmpty():
         raise ValueError("zones and blocks must not be empty")
+    setup = columns or Columns()
     upper = lambda df: df.toDF(*[c if c == "geometry" else c.upper() for c in df.columns])
+    zone, block, total = setup.zone.upper(), setup.block.upper(), setup.total.upper()
     zones, blocks = upper(zones), upper(blocks)
-    require(zones, [ZONE], KeyError)
-    require(blocks, [ZONE, BLOCK, TOTAL, "POBFEM", "POBMAS"], KeyError)
-    columns = [c for c in DEMOGRAPHIC if c in blocks.columns]
-    worked = [c for c in columns if c != "REL_H_M"]
-    numbers = {c: F.expr(f"nanvl(double(`{c}`), null)") for c in [*columns, TOTAL]}
-    rows = blocks.withColumns(numbers).withColumn("_any", F.expr(f"coalesce({', '.join(f'`{c}`' for c in columns)}) is not null"))
+    require(zones, [zone], KeyError)
+    require(blocks, [zone, block, total, *[c for c in ("POBFEM", "POBMAS") if c in setup.demographic]], KeyError)
+    known = [c.upper() for c in setup.demographic if c.upper() in blocks.columns]
+    worked = [c for c in known if c not in {x.upper() for x in setup.excluded}]
+    numbers = {c: F.expr(f"nanvl(double(`{c}`), null)") for c in [*known, total]}
+    some = F.expr(f"coalesce({', '.join(f'`{c}`' for c in known)}) is not null") if known else F.lit(False)
+    rows = blocks.withColumns(numbers).withColumn("_any", some)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             use = batch["_any"].to_numpy(bool)
             if use.any():
-                fill = apply_equations(batch.loc[use, [*worked, TOTAL]].astype(float), most_passes)
-                batch.loc[use, [*worked, TOTAL]] = fill
+                fill = apply_equations(batch.loc[use, [*worked, total]].astype(float).rename(columns={total: TOTAL}), most_passes)
+                batch.loc[use, [*worked, total]] = fill.rename(columns={TOTAL: total})
             yield batch
 
     rows = rows.mapInPandas(kernel, rows.schema)
-    out = zone_remainder(zones, rows, ZONE, TOTAL, [c for c in worked if c in zones.columns])
+    out = zone_remainder(zones, rows, zone, total, [c for c in worked if c in zones.columns])
     return out.select(*[F.col(c).alias(c if c == "geometry" else c.lower()) for c in blocks.columns])
 
 

@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from citygrain.functions import geom
 from citygrain.functions.convert import require
 from citygrain.functions.scalar import band_expression, cloud_share, months_between, tile_key
+from citygrain.session import durable
+from citygrain.sources import files
 
 # What stands for no data in a pixel.
 NODATA = (0.0, -124.25)
+#: Years that become columns if none are named; more raise.
+MOST_YEARS = 1_000
 SATELLITES = ("sentinel-2-l2a", "landsat-c2-l2")
 
 
@@ -203,13 +207,28 @@ def fill_months(series: DataFrame, keys: list[str], value: str = "value", order:
     return rows.withColumns({"filled": filled, "interpolate": case}).drop("_i", "_k", "_p", "_n")
 
 
-def zonal_mean(pixels: DataFrame, zones: DataFrame, zone_id: str, affine: tuple[float, float, float, float], keys: list[str] | None = None, value: str = "value", outside: float | None = 0.0) -> DataFrame:
+def zonal_mean(pixels: DataFrame, zones: DataFrame, zone_id: str, affine: tuple[float, float, float, float], keys: list[str] | None = None, value: str = "value", outside: float | None = 0.0, months: DataFrame | None = None) -> DataFrame:
     """(keys, zone_id, value): mean of the pixels each zone touches; a zone that meets no pixel has ``outside``.
 
     ``affine`` is (x origin, pixel width, y origin, pixel height). A pixel counts if the zone overlaps or touches its
-    square. Zones are repeated for the pixels of their bounds and joined by (row, col).
+    square. Zones are repeated for the pixels of their bounds and joined by (row, col). ``months`` has the ``keys`` if they
+    are known, else they are looked up in the pixels.
     """
     keys = keys or []
+    cells = zone_cells(zones, zone_id, affine)
+    joined = pixels.withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")}).join(cells, ["row", "col"])
+    found = joined.groupBy(*keys, zone_id).agg(F.avg(value).alias(value), F.lit(True).alias("_met"))
+    every = zones.select(zone_id).distinct()
+    if keys:
+        # Every zone gets every month; the list of months is one small array. An inventory has it without a scan of the pixels.
+        have = (pixels if months is None else months).select(*keys).distinct()
+        every = every.withColumn("_k", F.explode(have.agg(F.collect_list(F.struct(*keys))).scalar())).select(zone_id, "_k.*")
+    out = every.join(found, [*keys, zone_id], "left")
+    return out.select(*keys, zone_id, F.when(F.col("_met").isNull(), F.lit(outside).cast("double")).otherwise(F.col(value)).alias(value))
+
+
+def zone_cells(zones: DataFrame, zone_id: str, affine: tuple[float, float, float, float]) -> DataFrame:
+    """(zone_id, row, col): the pixels that each zone overlaps or touches."""
     x0, dx, y0, dy = affine
     shapes = zones.where(F.size("geometry") > 0).select(zone_id, F.col("geometry").alias("_shape"))
     shapes = shapes.withColumns({f"_{k}": v for k, v in geom.bounds(F.col("_shape")).items()})
@@ -217,15 +236,7 @@ def zonal_mean(pixels: DataFrame, zones: DataFrame, zone_id: str, affine: tuple[
     rows = F.sequence(F.floor((F.lit(y0) - F.col("_maxy")) / dy), F.floor((F.lit(y0) - F.col("_miny")) / dy))
     cells = shapes.withColumn("col", F.explode(cols)).withColumn("row", F.explode(rows))
     left, top = F.col("col") * dx + x0, F.lit(y0) - F.col("row") * dy
-    cells = cells.where(_touches(F.col("_shape"), left, top - dy, left + dx, top)).select(zone_id, "row", "col")
-    joined = pixels.withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")}).join(cells, ["row", "col"])
-    found = joined.groupBy(*keys, zone_id).agg(F.avg(value).alias(value), F.lit(True).alias("_met"))
-    every = zones.select(zone_id).distinct()
-    if keys:
-        # Every zone gets every month; the list of months is one small array.
-        every = every.withColumn("_k", F.explode(pixels.agg(F.collect_set(F.struct(*keys))).scalar())).select(zone_id, "_k.*")
-    out = every.join(found, [*keys, zone_id], "left")
-    return out.select(*keys, zone_id, F.when(F.col("_met").isNull(), F.lit(outside).cast("double")).otherwise(F.col(value)).alias(value))
+    return cells.where(_touches(F.col("_shape"), left, top - dy, left + dx, top)).select(zone_id, "row", "col")
 
 
 def _touches(shape, x0, y0, x1, y1):
@@ -302,7 +313,9 @@ def panel_summary(panel: DataFrame, key: str, index: str, years: list[int] | Non
     """
     require(panel, [key, "year", "month", value])
     if years is None:
-        years = [r[0] for r in panel.select("year").distinct().orderBy("year").limit(1000).collect()]
+        years = [r[0] for r in panel.select("year").distinct().orderBy("year").limit(MOST_YEARS + 1).collect()]
+        if len(years) > MOST_YEARS:
+            raise ValueError(f"more than {MOST_YEARS} years; name those that should be columns")
     by_year = panel.groupBy(key, "year").agg(F.max(value).alias("_max"), F.min(value).alias("_min"), F.avg(value).alias("_avg"))
     yearly = by_year.groupBy(key).agg(F.avg("_max").alias(f"{index}_avg_yearly_max"), F.avg("_min").alias(f"{index}_avg_yearly_min"), *[F.max(F.when(F.col("year") == y, F.col("_avg"))).alias(f"{index}_{y}") for y in years])
     total = panel.groupBy(key).agg(F.avg(value).alias(f"{index}_mean"), F.stddev_samp(value).alias(f"{index}_std"), F.percentile(value, 0.5).alias(f"{index}_median"))
@@ -315,3 +328,69 @@ def raster_summary(pixels: DataFrame, zones: DataFrame, zone_id: str, affine: tu
     """(summary per zone, long panel) of monthly pixels (year, month, row, col, value)."""
     panel = zonal_mean(pixels, zones, zone_id, affine, ["year", "month"])
     return panel_summary(panel, zone_id, index, years), panel
+
+
+def run_job(job: RasterJob, items: DataFrame, scenes: DataFrame, area: DataFrame, affine: tuple[float, float, float, float], folder: str) -> DataFrame:
+    """The monthly rasters of a job, written to ``folder``/pixels by month; returns the inventory, also kept in ``folder``/inventory.
+
+    ``items`` is the catalogue, ``scenes`` the pixels (date, tile, band, row, col, value), ``area`` polygons in ``geometry`` whose
+    pixels must all have a value (the null test). A month is tried on its least clouded dates that have all tiles, up to
+    ``retries`` of them, then with the best date of each tile; all open months go through an attempt in one plan. What is
+    written stays: a job that is started again goes on with the months not yet tried. Months without scenes, and those that
+    failed, are then filled from the months around, with the case in ``interpolate``. Too few scenes: AvailableData.
+    """
+    spark = items.sparkSession
+    found = search_items(items, job.start, job.end, properties=job.properties or None)
+    if found.isEmpty():
+        raise AvailableData("no scenes")
+    matrix = durable(cloud_matrix(found, job.satellite, job.max_cloud))
+    dated = matrix.withColumns({"year": F.year("date"), "month": F.month("date")})
+    ranked = ranked_dates(matrix)
+    months = inventory(ranked, job.start, job.end)
+    check_availability(months, job.missing_percent, job.missing_in_row)
+    book, store = f"{folder}/inventory", f"{folder}/pixels"
+    files.start_inventory(months.withColumns({"download_method": F.lit("none"), "interpolate": F.lit(0)}), book)
+    # One row a month of the job's period.
+    state = {(r["year"], r["month"]): r.asDict() for r in files.read_inventory(spark, book).collect()}
+    cells = durable(zone_cells(area.select(F.lit(1).alias("_zone"), "geometry"), "_zone", affine).select("row", "col").distinct())
+    wanted = cells.count()
+    order = Window.partitionBy("year", "month").orderBy("avg_cloud", "date")
+    complete = ranked.where("complete").withColumns({"year": F.year("date"), "month": F.month("date")}).withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") < job.retries)
+    dates = {(r["year"], r["month"], r["_at"]): r["date"] for r in complete.collect()}
+    months_kind = "year int, month int, date date"
+
+    def book_it() -> None:
+        rows = [tuple(r[c] for c in ("year", "month", "data_id", "able_to_download", "download_method", "interpolate")) for _, r in sorted(state.items())]
+        files.write_inventory(spark.createDataFrame(rows, files.INVENTORY), book)
+
+    for attempt in range(job.retries + 1):
+        open_ = [k for k, r in state.items() if r["data_id"] == 1 and r["able_to_download"] is None]
+        tried = [(*k, dates.get((*k, attempt))) for k in open_ if attempt == job.retries or (*k, attempt) in dates]
+        if tried:
+            chosen = F.broadcast(spark.createDataFrame(tried, months_kind).withColumnRenamed("date", "_date"))
+            own = dated.join(chosen, ["year", "month"]).where(F.col("_date").isNull() | (F.col("_date") == F.col("date"))).select(*matrix.columns)
+            pixels = durable(monthly_index(scenes, own, job.bands, job.equation))
+            known = pixels.where(F.col("value").isNotNull()).join(cells, ["row", "col"], "left_semi").groupBy("year", "month").agg(F.count("*").alias("n"))
+            passed = [(r["year"], r["month"]) for r in known.where(F.col("n") == wanted).collect()]
+            if passed:
+                good = F.broadcast(spark.createDataFrame(passed, "year int, month int"))
+                files.write_pixels(pixels.join(good, ["year", "month"], "left_semi"), store)
+            for k in passed:
+                state[k] |= {"able_to_download": 1.0, "download_method": "full_tile" if attempt == job.retries else "specific_date"}
+            book_it()
+    for r in state.values():
+        if r["data_id"] == 1 and r["able_to_download"] is None:
+            r |= {"data_id": 0, "able_to_download": 0.0}
+    if all(r["data_id"] == 0 for r in state.values()):
+        raise AvailableData("no month passed the null test")
+    gaps = [k for k, r in sorted(state.items()) if r["data_id"] == 0]
+    if gaps:
+        cases = fill_months(spark.createDataFrame([(1, *k, 1.0 if r["data_id"] else None) for k, r in state.items()], "one int, year int, month int, value double"), ["one"])
+        for r in cases.collect():
+            state[r["year"], r["month"]]["interpolate"] = r["interpolate"]
+        had = files.read_pixels(spark, store).select("year", "month", "row", "col", "value").join(F.broadcast(spark.createDataFrame([k for k in state if k not in gaps], "year int, month int")), ["year", "month"], "left_semi")
+        empty = had.select("row", "col").distinct().select(F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in gaps])).alias("k"), "row", "col").select("k.year", "k.month", "row", "col", F.lit(None).cast("double").alias("value"))
+        filled = fill_months(had.unionByName(empty), ["row", "col"]).where(F.col("interpolate") != 0).select("year", "month", "row", "col", F.col("filled").alias("value"))
+        files.write_pixels(durable(filled.join(F.broadcast(spark.createDataFrame(gaps, "year int, month int")), ["year", "month"], "left_semi")), store)
+    book_it()
+    return files.read_inventory(spark, book)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import shutil
 import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INVENTORY = "year int, month int, data_id int, able_to_download double, download_method string, interpolate int"
-GEOJSON = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>>"
+GEOJSON = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -47,32 +50,123 @@ def list_rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> Data
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
-def _tiff(data: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]]:
-    """(band, row, col) values and (x origin, pixel width, y origin, pixel height) of an uncompressed striped TIFF."""
+def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """(byte order, values by number) of the first directory of a classic TIFF."""
     order = "<" if data[:2] == b"II" else ">"
+    if struct.unpack(order + "H", data[2:4])[0] != 42:
+        raise ValueError("only classic TIFF files are supported")
     at = struct.unpack(order + "I", data[4:8])[0]
-    sizes = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d"}
+    forms = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
     tags: dict[int, tuple] = {}
     for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
         tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-        form = order + sizes.get(kind, "B") * count
-        size = struct.calcsize(form)
-        where = at + 10 + 12 * k if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-        tags[tag] = struct.unpack(form, data[where : where + size])
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("compressed TIFF files are not supported")
-    bands, kind = tags.get(277, (1,))[0], tags.get(339, (1,))[0]
+        if kind in forms:
+            form = order + forms[kind] * count
+            size = struct.calcsize(form)
+            where = at + 10 + 12 * k if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
+            tags[tag] = struct.unpack(form, data[where : where + size])
+    return order, tags
+
+
+def _tiff(data: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]]:
+    """(band, row, col) values and (x origin, pixel width, y origin, pixel height) of a TIFF in strips or tiles, plain or deflated."""
+    order, tags = _tags(data)
+    packed = tags.get(259, (1,))[0]
+    if packed not in (1, 8, 32946):
+        raise ValueError(f"TIFF compression {packed} is not supported; only none and deflate are")
+    bands, kind, predictor = tags.get(277, (1,))[0], tags.get(339, (1,))[0], tags.get(317, (1,))[0]
     dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{tags[258][0] // 8}")
-    raw = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    values = np.frombuffer(raw, dtype)
-    shape = (tags[257][0], tags[256][0], bands)
-    planes = values.reshape(shape).transpose(2, 0, 1) if tags.get(284, (1,))[0] == 1 else values.reshape(bands, *shape[:2])
+    height, width = tags[257][0], tags[256][0]
+    mixed = tags.get(284, (1,))[0] == 1
+    tiled = 322 in tags
+    tall, wide = (tags[323][0], tags[322][0]) if tiled else (min(tags.get(278, (height,))[0], height), width)
+    depth = bands if mixed else 1
+    down, across = -(-height // tall), -(-width // wide)
+    out = np.zeros((bands, down * tall, across * wide), dtype.newbyteorder("="))
+    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    for k, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, (i, j) = k // (down * across), divmod(k % (down * across), across)
+        raw = data[at : at + size] if packed == 1 else zlib.decompress(data[at : at + size]) if size else b""
+        rows = tall if tiled else min(tall, height - i * tall)
+        if not raw:
+            continue
+        if predictor == 3:
+            # Bytes of a row lie by significance, high ones first, each as the difference to the one before.
+            lines = np.frombuffer(raw, np.uint8).reshape(rows, -1, depth)
+            lines = np.cumsum(lines, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, wide * depth)
+            block = np.ascontiguousarray(lines.transpose(0, 2, 1)).view(f">{dtype.kind}{dtype.itemsize}").reshape(rows, wide, depth)
+        else:
+            block = np.frombuffer(raw, dtype)[: rows * wide * depth].reshape(rows, wide, depth)
+            if predictor == 2:
+                block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
+        planes = slice(0, bands) if mixed else slice(plane, plane + 1)
+        out[planes, i * tall : i * tall + rows, j * wide : (j + 1) * wide] = block.transpose(2, 0, 1)
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    return planes, (tie[3] - tie[0] * scale[0], scale[0], tie[4] + tie[1] * scale[1], scale[1])
+    return out[:, :height, :width], (tie[3] - tie[0] * scale[0], scale[0], tie[4] + tie[1] * scale[1], scale[1])
+
+
+def tiff_bytes(planes: np.ndarray, affine: tuple[float, float, float, float], epsg: int | None = None, tile: int = 256) -> bytes:
+    """A tiled, deflated float32 GeoTIFF of (band, row, col) values; ``affine`` as ``read_rasters`` has it."""
+    bands, height, width = planes.shape
+    down, across = -(-height // tile), -(-width // tile)
+    whole = np.full((bands, down * tile, across * tile), np.nan, "<f4")
+    whole[:, :height, :width] = planes
+    blocks = [zlib.compress(whole[:, i * tile : (i + 1) * tile, j * tile : (j + 1) * tile].transpose(1, 2, 0).tobytes()) for i in range(down) for j in range(across)]
+    x0, dx, y0, dy = affine
+    tags = [(256, "I", (width,)), (257, "I", (height,)), (258, "H", (32,) * bands), (259, "H", (8,)), (262, "H", (1,)), (277, "H", (bands,)), (284, "H", (1,)), (322, "I", (tile,)), (323, "I", (tile,))]
+    tags += [(324, "I", tuple(8 + n for n in np.cumsum([0, *map(len, blocks)])[:-1].tolist())), (325, "I", tuple(map(len, blocks))), (339, "H", (3,) * bands), (33550, "d", (dx, dy, 0.0)), (33922, "d", (0.0, 0.0, 0.0, x0, y0, 0.0))]
+    if epsg is not None:
+        # Keys: directory version, model type (projected 1, geographic 2), raster type area, code of the system.
+        geographic = epsg in (4326, 4269, 4979, 6365)
+        tags.append((34735, "H", (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg)))
+    body = b"".join(blocks)
+    at = 8 + len(body) + len(body) % 2
+    entries, extra, free = b"", b"", at + 2 + 12 * len(tags) + 4
+    for tag, form, values in tags:
+        packed = struct.pack(f"<{len(values)}{form}", *values)
+        kind = {"H": 3, "I": 4, "d": 12}[form]
+        if len(packed) <= 4:
+            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+        else:
+            entries += struct.pack("<HHII", tag, kind, len(values), free + len(extra))
+            extra += packed
+    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra
+
+
+def encode_rasters(pixels: DataFrame, keys: list[str], affine: tuple[float, float, float, float], value: str = "value", epsg: int | None = None) -> DataFrame:
+    """(keys, content): one GeoTIFF per key of pixels (keys, row, col, value), from row and column 0 on; missing pixels are NaN.
+
+    A raster is made by one task, so it must fit there (as for the readers of such files).
+    """
+    kinds = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
+
+    def encode(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        plane = np.full((1, int(own["row"].max()) + 1, int(own["col"].max()) + 1), np.nan, np.float32)
+        plane[0, own["row"].to_numpy(int), own["col"].to_numpy(int)] = own[value].to_numpy(float)
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "content": [tiff_bytes(plane, affine, epsg)]})
+
+    return pixels.select(*keys, "row", "col", value).groupBy(*keys).applyInPandas(encode, f"{kinds}, content binary")
+
+
+def save_rasters(rasters: DataFrame, keys: list[str], folder: str, prefix: str) -> int:
+    """Write each raster of ``encode_rasters`` as ``{prefix}_{key}_{key}.tif`` into a folder that all executors share; the number written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = Path(folder) / f"{'_'.join([prefix, *(str(row[k]) for k in keys)])}.tif"
+                # Under another name first, so that a task that is run again never leaves half a file.
+                part = path.with_suffix(f".{uuid.uuid4().hex}.part")
+                part.write_bytes(row["content"])
+                part.replace(path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return rasters.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """(path, band, row, col, value, x, y): the pixels of uncompressed (Geo)TIFF files with their centres."""
+    """(path, band, row, col, value, x, y): the pixels of (Geo)TIFF files in strips or tiles, plain or deflated, with their centres."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,20 +182,26 @@ def read_rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> Data
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, geometry) of polygon features, one collection a file."""
+    """(properties, geometry) of Polygon and MultiPolygon features, one collection a file; the rings of all parts in one list.
+
+    By the even-odd rule the rings of parts that do not overlap are one polygon with holes. Other geometries have null.
+    """
     raw = spark.read.option("multiLine", True).schema(GEOJSON).json(path)
-    ring = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return raw.select(F.explode("features").alias("f")).select("f.properties", ring.alias("geometry"))
+    each = raw.select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    rings = F.when(F.col("kind") == "Polygon", F.from_json("c", "array<array<array<double>>>")).when(F.col("kind") == "MultiPolygon", F.flatten(F.from_json("c", "array<array<array<array<double>>>>")))
+    return each.withColumn("r", rings).select("properties", F.transform("r", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("geometry"))
 
 
 def point_wkb(x: Column, y: Column) -> Column:
     """A point as little-endian well-known binary, built from the bits of its coordinates."""
 
     @F.pandas_udf("binary")
-    def encode(a, b):
-        import pandas as pd
-
-        return pd.Series([struct.pack("<BIdd", 1, 1, p, q) if p == p and q == q else None for p, q in zip(a, b, strict=True)])
+    def encode(a: pd.Series, b: pd.Series) -> pd.Series:
+        rows = np.zeros(len(a), np.dtype([("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+        rows["order"], rows["kind"], rows["x"], rows["y"] = 1, 1, a.to_numpy(float), b.to_numpy(float)
+        whole = rows.tobytes()
+        known = ~(np.isnan(rows["x"]) | np.isnan(rows["y"]))
+        return pd.Series([whole[i * 21 : i * 21 + 21] if k else None for i, k in enumerate(known.tolist())], dtype=object)
 
     return encode(x, y)
 

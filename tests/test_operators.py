@@ -5,6 +5,7 @@ import heapq
 import json
 import math
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -462,13 +463,69 @@ def test_overpass_files(spark, tmp_path):
     body = {"version": 0.6, "elements": [node(1, 0.0), node(2, 0.01), node(3, 0.02), {"type": "way", "id": 7, "nodes": [1, 2, 3, 99], "tags": {"highway": "residential", "oneway": "yes"}}, {"type": "way", "id": 8, "nodes": [1, 2], "tags": {"building": "yes"}}, {"type": "way", "id": 9, "nodes": [3, 2], "tags": {"highway": "footway"}}]}
     (tmp_path / "a.json").write_text(json.dumps(body))
     nodes, edges = overpass.network_from_elements(overpass.read_overpass(spark, str(tmp_path)))
-    assert [(r.u, r.v, r.osmid, round(r.length)) for r in edges.orderBy("osmid", "u").collect()] == [(1, 2, "7", 1112), (2, 3, "7", 1112), (3, 2, "9", 1112)]
+    assert [(r.u, r.v, r.osmid, round(r.length)) for r in edges.orderBy("osmid", "u").collect()] == [(1, 2, "7", 1112), (2, 3, "7", 1112), (2, 3, "9", 1112), (3, 2, "9", 1112)]
     assert {r.osmid: r.street_count for r in nodes.collect()} == {1: 1, 2: 3, 3: 2} and edges.columns == list(overpass.EDGE_COLUMNS)
     assert overpass.network_from_elements(overpass.read_overpass(spark, str(tmp_path)), "drive")[1].count() == 2
     with pytest.raises(ValueError):
         overpass.network_from_elements(nodes, "fly")
 
 
+def simplified_plainly(edges):
+    """(u, v, length, osmids) of the chains between junctions, followed step by step."""
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e.u, []).append(e)
+        into.setdefault(e.v, []).append(e)
+
+    def passed(n):
+        a, b = out.get(n, []), into.get(n, [])
+        near = {e.v for e in a} | {e.u for e in b}
+        return n not in near and a and b and len(near) == 2 and len(a) + len(b) in (2, 4)
+
+    found = []
+    for e in edges:
+        if not passed(e.u):
+            length, ids, place, before = e.length, [e.osmid], e.v, e.u
+            while passed(place):
+                step = next(x for x in out[place] if x.v != before)
+                length, before, place = length + step.length, place, step.v
+                ids += [] if step.osmid in ids else [step.osmid]
+            found.append((e.u, place, round(length, 6), ";".join(ids)))
+    return sorted(found)
+
+
+def test_simplified_networks(spark):
+    rng = np.random.default_rng(3)
+    at = {i: (float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 0.1, (60, 2)))}
+    chain = lambda *n: list(n)
+    ways = [(1, chain(*range(12)), {"highway": "a"}), (2, chain(11, 12, 13, 14, 15), {"highway": "a", "name": "x"}), (3, chain(5, 20, 21, 22, 11), {"highway": "b", "oneway": "yes"}), (4, chain(15, 16, 17, 15), {"highway": "a"}), (5, chain(30, 31, 32, 33, 30), {"highway": "ring"}), (6, chain(40, 41, 42), {"highway": "far", "oneway": "-1"}), (7, chain(13, 50, 51, 50), {"highway": "c", "junction": "roundabout"})]
+    rows = [("node", i, b, a, None, None) for i, (a, b) in at.items()] + [("way", i, None, None, n, t) for i, n, t in ways]
+    elements = spark.createDataFrame(rows, "type string, id long, lat double, lon double, nodes array<long>, tags map<string,string>")
+    plain = overpass.network_from_elements(elements)[1].collect()
+    nodes, edges = overpass.network_from_elements(elements, simplify=True)
+    got = edges.collect()
+    assert sorted((r.u, r.v, round(r.length, 6), r.osmid) for r in got) == simplified_plainly(plain)
+    assert all((r.geometry[0].x, r.geometry[0].y) == at[r.u] and (r.geometry[-1].x, r.geometry[-1].y) == at[r.v] for r in got)
+    assert {r.osmid for r in nodes.collect()} == {n for r in got for n in (r.u, r.v)} and len({(r.u, r.v, r.key) for r in got}) == len(got)
+    assert {(r.u, r.v): r.oneway for r in plain}[42, 41] and (41, 42) not in {(r.u, r.v) for r in plain}
+    large, kept = overpass.network_from_elements(elements, largest_only=True)
+    assert {r.osmid for r in large.collect()} == {*range(18), 20, 21, 22, 50, 51} and kept.count() == sum(r.u < 30 or r.u in (50, 51) for r in plain)
+    parts = {r.osmid: r.part for r in overpass.connected_parts(overpass.network_from_elements(elements)[1]).collect()}
+    assert set(parts.values()) == {0, 30, 40} and parts[51] == 0 and parts[33] == 30
+    shape = spark.createDataFrame([([[{"x": -1.0, "y": -1.0}, {"x": 1.0, "y": -1.0}, {"x": -1.0, "y": 1.0}, {"x": -1.0, "y": -1.0}]],)], f"geometry {SHAPE}")
+    inner = overpass.network_from_elements(elements.withColumn("lat", F.col("lat") - 0.05).withColumn("lon", F.col("lon") - 0.05), area=shape)[0]
+    assert {r.osmid for r in inner.collect()} <= {i for i, (a, b) in at.items() if a + b - 0.1 <= 1e-12}
+    assert overpass.network_from_elements(elements.limit(0), simplify=True, largest_only=True)[1].count() == 0
+
+
+def test_unknown_nodes_raise(spark):
+    nodes, edges, *_ = lattice(spark)
+    with pytest.raises(KeyError):
+        network.isochrone_nodes(nodes, edges, 10**9, 5.0)
+    with pytest.raises(KeyError):
+        network.nearest_seed(nodes, edges, spark.createDataFrame([(1, 10**9)], "poi_id long, osmid long"), "x")
+
+
 # ---------------------------------------------------------------- raster
 
 
@@ -587,6 +644,17 @@ def test_impute_blocks(spark):
 # ---------------------------------------------------------------- files and streams
 
 
+def test_census_columns_can_be_named(spark):
+    setup = census.Columns(demographic=("POBFEM", "POBMAS", "jobs", "keep"), excluded=("keep",), zone="area", block="place", total="people")
+    zones = spark.createDataFrame([("z", 30.0, 10.0)], "area string, jobs double, keep double")
+    blocks = spark.createDataFrame([("z", "a", 10.0, 4.0, None, 12.0, None), ("z", "b", 5.0, None, 2.0, None, 1.0), ("z", "c", 1.0, None, 0.0, None, 1.0)], "area string, place string, people double, pobfem double, pobmas double, jobs double, keep double")
+    got = {r.place: r for r in census.impute_blocks(zones, blocks, columns=setup).collect()}
+    assert (got["a"].pobmas, got["b"].pobfem, got["c"].pobfem) == (6.0, 3.0, 1.0) and got["a"].keep is None
+    assert got["b"].jobs == 15.0 and got["c"].jobs == 3.0
+    with pytest.raises(KeyError):
+        census.impute_blocks(zones, blocks)
+
+
 def tiff(values, x0, y0):
     """A little-endian float32 TIFF of one strip with its tie point and pixel size."""
     rows, cols = values.shape
@@ -625,6 +693,95 @@ def test_files(spark, tmp_path):
         files.clear_directory(tmp_path / "none")
 
 
+@pytest.mark.parametrize("tile", [16, 64])
+def test_tiled_rasters(spark, tmp_path, tile):
+    rng = np.random.default_rng(1)
+    planes = rng.normal(size=(3, 37, 50)).astype(np.float32)
+    data = files.tiff_bytes(planes, (500.0, 10.0, 900.0, 20.0), 6372, tile)
+    got, affine = files._tiff(data)
+    assert (got == planes).all() and affine == (500.0, 10.0, 900.0, 20.0) and len(data) < 2 * planes.nbytes + 3 * 4 * tile * tile
+    (tmp_path / "a.tif").write_bytes(data)
+    rows = files.read_rasters(spark, str(tmp_path)).where("band = 2 and row = 36 and col = 49").collect()
+    assert len(rows) == 1 and rows[0].value == planes[1, 36, 49] and (rows[0].x, rows[0].y) == (995.0, 170.0)
+
+
+@pytest.mark.parametrize(("order", "dtype", "predictor"), [("<", "u2", 2), (">", "u2", 2), ("<", "i4", 1), ("<", "f4", 3), (">", "f4", 3)])
+def test_deflated_strips_and_predictors(order, dtype, predictor):
+    rng = np.random.default_rng(2)
+    values = (rng.integers(0, 60000, (11, 7)) if dtype != "f4" else rng.normal(size=(11, 7))).astype(order + dtype)
+    strips = []
+    for at in range(0, 11, 4):
+        rows = values[at : at + 4]
+        if predictor == 2:
+            rows = np.diff(rows, axis=1, prepend=np.zeros((len(rows), 1), rows.dtype)).astype(order + dtype)
+        raw = rows.tobytes()
+        if predictor == 3:
+            planes = np.frombuffer(rows.astype(">f4").tobytes(), np.uint8).reshape(len(rows), 7, 4).transpose(0, 2, 1).reshape(len(rows), 28)
+            raw = np.diff(planes, axis=1, prepend=np.zeros((len(rows), 1), np.uint8)).astype(np.uint8).tobytes()
+        strips.append(zlib.compress(raw))
+    at = 8 + sum(map(len, strips))
+    where = [8 + sum(map(len, strips[:k])) for k in range(len(strips))]
+    kind = {"u": 1, "i": 2, "f": 3}[dtype[0]]
+    short = lambda t, v: struct.pack(order + "HHIHH", t, 3, 1, v, 0)
+    entries = [short(256, 7), short(257, 11), short(258, int(dtype[1]) * 8), short(259, 8), struct.pack(order + "HHII", 273, 4, 3, at + 500), short(278, 4), struct.pack(order + "HHII", 279, 4, 3, at + 600), short(317, predictor), short(339, kind)]
+    data = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + b"".join(strips) + struct.pack(order + "H", len(entries)) + b"".join(entries)
+    data = data.ljust(at + 500, b"\0") + struct.pack(order + "3I", *where)
+    data = data.ljust(at + 600, b"\0") + struct.pack(order + "3I", *map(len, strips))
+    assert (files._tiff(data)[0][0] == values).all()
+    with pytest.raises(ValueError):
+        files._tiff(data.replace(short(259, 8), short(259, 5)))
+
+
+def test_rasters_are_written(spark, tmp_path):
+    pixels = spark.range(60).selectExpr("2024 year", "cast(id % 2 + 1 as int) month", "cast(id div 10 as int) row", "cast(id % 10 as int) col", "if(id = 7, null, id * 0.5) value")
+    assert files.save_rasters(files.encode_rasters(pixels, ["year", "month"], (0.0, 2.0, 10.0, 2.0), epsg=4326), ["year", "month"], str(tmp_path / "out"), "area_ndvi") == 2
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["area_ndvi_2024_1.tif", "area_ndvi_2024_2.tif"]
+    back = files.read_rasters(spark, str(tmp_path / "out")).where("not isnan(value)")
+    assert back.count() == 59 and back.agg(F.sum("value")).first()[0] == sum(i * 0.5 for i in range(60) if i != 7)
+
+
+def test_multipolygons_and_points_as_geojson(spark, tmp_path):
+    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]]
+    shapes = [{"type": "Polygon", "coordinates": square(0)}, {"type": "MultiPolygon", "coordinates": [square(5), square(8)]}, {"type": "Point", "coordinates": [1, 2]}, None]
+    (tmp_path / "g.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": g, "properties": {"k": str(i)}} for i, g in enumerate(shapes)]}))
+    rows = files.read_geojson(spark, str(tmp_path / "g.json")).select(F.col("properties")["k"].alias("k"), F.size("geometry").alias("n"), geom.position(F.lit(8.5), F.lit(0.5), F.col("geometry")).alias("p")).orderBy("k").collect()
+    assert [(r.k, r.n) for r in rows][:2] == [("0", 1), ("1", 2)] and rows[1].p == 1 and rows[0].p == -1 and rows[2].n in (None, -1) and rows[3].n in (None, -1)
+
+
+def test_raster_job(spark, tmp_path):
+    days = [(1, 3, 5.0), (1, 9, 1.0), (2, 4, 2.0), (3, 6, 3.0), (5, 2, 1.0), (5, 20, 9.0), (6, 1, 4.0)]
+    tiles, items, scenes = ("A", "B"), [], []
+    for month, day, cloud in days:
+        date = dt.datetime(2024, month, day)
+        for tile in tiles:
+            if (month, day, tile) == (3, 6, "B"):
+                continue
+            items.append((f"{date:%m%d}{tile}", date, {"s2:mgrs_tile": tile, "s2:high_proba_clouds_percentage": str(cloud)}))
+            for row in range(4):
+                for col in range(3):
+                    hole = (month, day) == (1, 9) and tile == "A" or (month, day) == (6, 1)
+                    for band, v in (("nir", month * 10.0 + row), ("red", 1.0 + col)):
+                        scenes.append((date.date(), tile, band, row, col + 3 * tiles.index(tile), None if hole else v))
+    catalogue = spark.createDataFrame(items, "id string, datetime timestamp, properties map<string,string>")
+    pixels = spark.createDataFrame(scenes, "date date, tile string, band string, row int, col int, value double")
+    west, whole = (spark.createDataFrame([(box(0.5, -3.5, x, -0.5),)], f"geometry {SHAPE}") for x in (2.5, 5.5))
+    job = raster.RasterJob("here", "ndvi", dt.date(2024, 1, 1), dt.date(2024, 6, 30), ["nir", "red"], "(nir-red)/(nir+red)", retries=2, missing_percent=60, missing_in_row=4)
+    book = {r.month: r for r in raster.run_job(job, catalogue, pixels, west, (0.0, 1.0, 0.0, 1.0), str(tmp_path / "w")).collect()}
+    assert [book[m].data_id for m in range(1, 7)] == [1, 1, 1, 0, 1, 0] and [book[m].interpolate for m in range(1, 7)] == [0, 0, 0, 3, 0, 2]
+    assert [book[m].download_method for m in (1, 2, 3, 5)] == ["specific_date", "specific_date", "full_tile", "specific_date"] and book[6].able_to_download == 0.0
+    got = {(r.month, r.row, r.col): r.value for r in files.read_pixels(spark, str(tmp_path / "w" / "pixels")).collect()}
+    assert got[1, 2, 1] == pytest.approx((12 - 2) / 14) and got[4, 2, 1] == pytest.approx((got[3, 2, 1] + got[5, 2, 1]) / 2) and got[6, 0, 0] == pytest.approx(got[5, 0, 0])
+    before = sorted(p.name for p in (tmp_path / "w" / "pixels").rglob("*.parquet"))
+    again = raster.run_job(job, catalogue, pixels.limit(0), west, (0.0, 1.0, 0.0, 1.0), str(tmp_path / "w"))
+    assert {r.month: r.data_id for r in again.collect()} == {m: r.data_id for m, r in book.items()}
+    months = {p.split("/")[0] for p in before}
+    assert months and {r.month for r in files.read_pixels(spark, str(tmp_path / "w" / "pixels")).select("month").distinct().collect()} == set(range(1, 7))
+    wide = {r.month: r.data_id for r in raster.run_job(job, catalogue, pixels, whole, (0.0, 1.0, 0.0, 1.0), str(tmp_path / "x")).collect()}
+    assert wide[2] == 1 and wide[3] == 0
+    with pytest.raises(raster.AvailableData):
+        raster.run_job(raster.RasterJob("here", "ndvi", dt.date(2019, 1, 1), dt.date(2019, 6, 30), ["nir"], "nir"), catalogue, pixels, west, (0.0, 1.0, 0.0, 1.0), str(tmp_path / "y"))
+
+
 def test_streams(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, h), 1, "a", 1.0) for h in (0, 1, 5)]
     table = spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string, value double")
