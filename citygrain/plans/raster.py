@@ -98,24 +98,59 @@ def q35_gap_fill(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feature", F.col("day").cast("string").alias("day"), F.round("filled", 6).alias("filled"), "interpolate")
 
 
-@query(f"""{with_views('pixels')}, zone AS (SELECT i AS zone_id, (i % 4) * 10e0 + 0.5 AS x0, (i // 4) * 8e0 + 0.5 AS y0 FROM range(48) AS r(i))
-SELECT z.zone_id, round(coalesce(avg(p.nir), 0), 6) AS nir FROM zone z LEFT JOIN pixels p ON p.col <= z.x0 + 7 AND p.col + 1 >= z.x0 AND p.row <= z.y0 + 5 AND p.row + 1 >= z.y0 GROUP BY z.zone_id""")
-def q36_zonal_mean(spark: SparkSession, d: str) -> DataFrame:
+_ZONES = "SELECT i AS zone_id, (i % 4) * 10e0 + 0.5 AS x0, (i // 4) * 8e0 + 0.5 AS y0 FROM (SELECT unnest(range((max(row) // 8 + 1) * 4)) AS i FROM pixels)"
+
+
+def _zones(pixels: DataFrame, wide: float, tall: float) -> DataFrame:
+    """Four zones for each eight rows of pixels, as far as the pixels go."""
+    ids = pixels.agg(F.max("row").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), (F.floor(F.col("last") / 8) + 1) * 4 - 1)).alias("id"))
     x, y = (F.col("id") % 4) * 10 + 0.5, F.floor(F.col("id") / 4) * 8 + 0.5
-    zones = spark.range(48).select(F.col("id").alias("zone_id"), geom.rectangle(x, -y - 5, x + 7, -y).alias("geometry"))
+    return ids.select(F.col("id").alias("zone_id"), geom.rectangle(x, -y - tall, x + wide, -y).alias("geometry"))
+
+
+def _means(wide: int, tall: int) -> str:
+    return f"""{with_views('pixels')}, zone AS ({_ZONES}) SELECT z.zone_id, round(coalesce(avg(p.nir), 0), 6) AS nir FROM zone z
+LEFT JOIN pixels p ON p.col <= z.x0 + {wide} AND p.col + 1 >= z.x0 AND p.row <= z.y0 + {tall} AND p.row + 1 >= z.y0 GROUP BY z.zone_id"""
+
+
+@query(_means(7, 5))
+def q36_zonal_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Zones with gaps between them, over the whole extent of the pixels."""
     pixels = views.pixels(spark, d).select("row", "col", "nir")
-    return raster.zonal_mean(pixels, zones, "zone_id", (0.0, 1.0, 0.0, 1.0), value="nir").withColumn("nir", F.round("nir", 6))
+    return raster.zonal_mean(pixels, _zones(pixels, 7, 5), "zone_id", (0.0, 1.0, 0.0, 1.0), value="nir").withColumn("nir", F.round("nir", 6))
 
 
-@query()
+@query(_means(9, 7))
 def q36b_zonal_mean_all(spark: SparkSession, d: str) -> DataFrame:
-    """Zones of 8 rows and 10 columns over the whole extent of the pixels; q36 and its SQL have 48 zones that end at row 93."""
+    """Zones that meet each pixel at least once."""
     pixels = views.pixels(spark, d).select("row", "col", "nir")
-    across = views.LATTICE // 10
-    ids = pixels.agg(F.max("row").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), (F.floor(F.col("last") / 8) + 1) * across - 1)).alias("id"))
-    x, y = (F.col("id") % across) * 10 + 0.5, F.floor(F.col("id") / across) * 8 + 0.5
-    zones = ids.select(F.col("id").alias("zone_id"), geom.rectangle(x, -y - 7, x + 9, -y).alias("geometry"))
-    return raster.zonal_mean(pixels, zones, "zone_id", (0.0, 1.0, 0.0, 1.0), value="nir").withColumn("nir", F.round("nir", 6))
+    return raster.zonal_mean(pixels, _zones(pixels, 9, 7), "zone_id", (0.0, 1.0, 0.0, 1.0), value="nir").withColumn("nir", F.round("nir", 6))
+
+
+@query(f"""{with_views('pixels')}, tri AS (SELECT i, i * 6e0 + 0.25 AS x0, y * 9e0 + 0.25 AS y0 FROM range(6) AS a(i), (SELECT unnest(range(max(row) // 9 + 1)) AS y FROM pixels)),
+cell AS (SELECT t.*, p.row, p.col, p.nir FROM tri t JOIN pixels p ON p.col + 1 >= x0 AND p.col <= x0 + 5 AND p.row + 1 >= y0 AND p.row <= y0 + 8
+  WHERE (greatest(p.col, x0) - x0) / 5 + (greatest(p.row, y0) - y0) / 8 <= 1)
+SELECT t.i * 1000000 + CAST((t.y0 - 0.25) / 9 AS BIGINT) AS zone_id, round(coalesce(avg(c.nir), 0), 6) AS nir, count(c.nir) AS n FROM tri t LEFT JOIN cell c ON c.i = t.i AND c.y0 = t.y0 GROUP BY t.i, t.y0""")
+def q36c_zonal_mean_triangles(spark: SparkSession, d: str) -> DataFrame:
+    """Right-angled triangles: a pixel of their box counts only if it touches the triangle."""
+    pixels = views.pixels(spark, d).select("row", "col", "nir")
+    ids = pixels.agg(F.max("row").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 9))).alias("y")).select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i"))
+    x, y = F.col("i") * 6 + 0.25, F.col("y") * 9 + 0.25
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), (-b).cast("double").alias("y"))
+    zones = ids.select((F.col("i") * 1_000_000 + F.col("y")).alias("zone_id"), F.array(F.array(at(x, y), at(x + 5, y), at(x, y + 8), at(x, y))).alias("geometry"))
+    affine = (0.0, 1.0, 0.0, 1.0)
+    n = pixels.join(raster.zone_cells(zones, "zone_id", affine), ["row", "col"]).groupBy("zone_id").agg(F.count("nir").alias("n"))
+    return raster.zonal_mean(pixels, zones, "zone_id", affine, value="nir").join(n, "zone_id", "left").select("zone_id", F.round("nir", 6).alias("nir"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""{with_views('pixels')}, g AS (SELECT a.i AS gx, b.i AS gy FROM range(30) AS a(i), (SELECT unnest(range(CAST(floor(max(row) * 0.75e0) AS BIGINT) + 1)) AS i FROM pixels) b)
+SELECT gx, gy, nir FROM g LEFT JOIN pixels ON row = floor((gy + 0.5e0) / 0.75e0) AND col = floor((gx + 0.5e0) * 1.375e0 - 0.25e0)""")
+def q56_resample_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Values at the centres of a coarser grid with another origin."""
+    pixels = views.pixels(spark, d).select("row", "col", "nir")
+    rows = pixels.agg(F.max("row").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), (F.col("last") * 0.75).cast("long"))).alias("gy"))
+    grid = rows.withColumn("gx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")))).select("gx", "gy", ((F.col("gx") + 0.5) * 1.375 - 0.25).alias("x"), (-(F.col("gy") + 0.5) / 0.75).alias("y"))
+    return raster.resample_nearest(pixels, (0.0, 1.0, 0.0, 1.0), grid).select("gx", "gy", "nir")
 
 
 _YEARS = list(range(1995, 2002))
@@ -139,10 +174,18 @@ def q39_sen_slope(spark: SparkSession, d: str) -> DataFrame:
     return raster.theil_sen(views.panel(spark, d), "feature", ["year", "month"], "value").where("slope is not null").withColumn("slope", F.round("slope", 9) + 0.0)
 
 
-@query()
+_NEAR = ", ".join(f"{f}_value(CASE WHEN value IS NOT NULL THEN {along} END IGNORE NULLS) OVER {w} AS p{k}, {f}_value(value IGNORE NULLS) OVER {w} AS v{k}" for k, (f, along, w) in enumerate((("last", "col", "l"), ("first", "col", "r"), ("last", "row", "u"), ("first", "row", "d"))))
+_WEIGHTS = [f"coalesce(CASE WHEN abs(p{k} - {along}) <= 50 THEN 1e0 / abs(p{k} - {along}) END, 0)" for k, along in enumerate(("col", "col", "row", "row"))]
+
+
+@query(f"""{with_views('pixels')}, holes AS (SELECT row, col, CASE WHEN red > 10 THEN CAST(nir AS FLOAT) END AS value FROM pixels), near AS (SELECT *, {_NEAR} FROM holes WINDOW
+  l AS (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY row ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+  u AS (PARTITION BY col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), d AS (PARTITION BY col ORDER BY row ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+w AS (SELECT *, {', '.join(f'{x} AS w{k}' for k, x in enumerate(_WEIGHTS))} FROM near)
+SELECT 1 AS scene, row, col, round(coalesce(CAST(value AS DOUBLE), ({' + '.join(f'w{k} * coalesce(v{k}, 0)' for k in range(4))}) / nullif({' + '.join(f'w{k}' for k in range(4))}, 0)), 3) AS value FROM w""")
 def q53_nodata_fill(spark: SparkSession, d: str) -> DataFrame:
     holes = views.pixels(spark, d).select(F.lit(1).alias("scene"), "row", "col", F.when(F.col("red") > 10, F.col("nir")).alias("value"))
-    return raster.fill_nodata(raster.clean_pixels(holes), ["scene"]).withColumn("value", F.round("value", 4))
+    return raster.fill_nodata(raster.clean_pixels(holes), ["scene"]).withColumn("value", F.round("value", 3))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS starts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygrain.functions import classify, convert, geom, scalar
+from citygrain.functions import classify, convert, crs, geom, scalar
 from citygrain.operators import aggregate, grid, interpolate, joins, tessellate
 from citygrain.plans import views
 from citygrain.plans.views import with_views
@@ -174,15 +174,23 @@ def q19_hexagon_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.hexagon_grid(views.areas(spark, d), edge=HEX_EDGE).drop("geometry")
 
 
-@query(f"""{with_views('points')}, {_AXIAL}, c0 AS (SELECT q, r, CASE WHEN (q + 2 * r) % 3 <> 0 THEN avg(value) END AS v FROM hex GROUP BY q, r),
-near AS (SELECT q + dq AS q, r + dr AS r, v FROM c0, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) AS n(dq, dr)),
-around AS (SELECT q, r, avg(v) AS v FROM near GROUP BY q, r)
-SELECT c.q, c.r, round(coalesce(c.v, n.v, CASE WHEN n.q IS NULL THEN (SELECT avg(v) FROM c0) END), 4) AS v FROM c0 c LEFT JOIN around n ON n.q = c.q AND n.r = c.r""")
+def _sweeps(n: int) -> str:
+    """``n`` sweeps over cells c0; further ones change nothing once all that can be filled is."""
+    out = []
+    for k in range(n):
+        alone = "CASE WHEN n.q IS NULL THEN (SELECT avg(v) FROM c0) END" if k == 0 else "NULL"
+        out.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.q, c.r, coalesce(c.v, n.v, {alone}) AS v FROM c{k} c LEFT JOIN (SELECT q + dq AS q, r + dr AS r, avg(v) AS v FROM c{k}, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) AS o(dq, dr)
+  GROUP BY q + dq, r + dr) n ON n.q = c.q AND n.r = c.r)""")
+    return ",\n".join(out)
+
+
+@query(f"""{with_views('points')}, {_AXIAL}, c0 AS (SELECT q, r, CASE WHEN avg(value) > 6000 THEN avg(value) END AS v FROM hex GROUP BY q, r), {_sweeps(20)} SELECT q, r, round(v, 4) AS v FROM c20""")
 def q20_hexagon_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of small means count as missing, so that holes lie side by side and many sweeps are needed."""
     q, r = grid.cell_of(F.col("x"), F.col("y"), HEX_EDGE)
     cells = views.points(spark, d).select(q.alias("q"), r.alias("r"), "value").groupBy("q", "r").agg(F.avg("value").alias("v"))
-    holes = cells.withColumn("v", F.when((F.col("q") + 2 * F.col("r")) % 3 != 0, F.col("v")))
-    return interpolate.fill_hexagons(holes, ["v"], max_iterations=1).select("q", "r", _round("v"))
+    holes = cells.withColumn("v", F.when(F.col("v") > 6000, F.col("v")))
+    return interpolate.fill_hexagons(holes, ["v"]).select("q", "r", _round("v"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 15 THEN '15 minutes or less' WHEN l_quantity < 30 THEN '15 minutes to 30 minutes' WHEN l_quantity < 45 THEN '30 minutes to 45 minutes' WHEN l_quantity < 60 THEN '45 minutes to 60 minutes' ELSE '60 or more minutes' END AS time_class, CASE WHEN l_quantity < 15 THEN 0 WHEN l_quantity < 30 THEN 1 WHEN l_quantity < 45 THEN 2 WHEN l_quantity < 60 THEN 3 ELSE 4 END AS time_order FROM lineitem")
@@ -211,10 +219,18 @@ def q45_bounds(spark: SparkSession, d: str) -> DataFrame:
     return square.select("*", *[colours.select(c).scalar().alias(c) for c in ("vmin", "vmax")])
 
 
-@query(f"{with_views('pois')} SELECT 4096e0 AS total_area, count(*) AS n_cells FROM (SELECT DISTINCT x, y FROM pois)")
+@query(f"""{with_views('pois')}, s AS (SELECT x, y, min(id) AS id FROM pois GROUP BY x, y),
+line AS (SELECT p.id, p.x AS px, p.y AS py, q.id AS k, q.x - p.x AS a, q.y - p.y AS b, (q.x * q.x + q.y * q.y - p.x * p.x - p.y * p.y) / 2 AS c FROM s p JOIN s q ON p.id <> q.id UNION ALL
+  SELECT id, x, y, k, a, b, c FROM s, (VALUES (-1, 1e0, 0e0, 64e0), (-2, -1e0, 0e0, 0e0), (-3, 0e0, 1e0, 64e0), (-4, 0e0, -1e0, 0e0)) AS w(k, a, b, c)),
+corner AS (SELECT l.id, l.px, l.py, (l.c * m.b - m.c * l.b) / (l.a * m.b - m.a * l.b) AS x, (l.a * m.c - m.a * l.c) / (l.a * m.b - m.a * l.b) AS y FROM line l JOIN line m ON l.id = m.id AND l.k < m.k AND abs(l.a * m.b - m.a * l.b) > 1e-12),
+kept AS (SELECT DISTINCT id, px, py, round(x, 7) AS x, round(y, 7) AS y FROM corner v WHERE NOT EXISTS (SELECT 1 FROM line l WHERE l.id = v.id AND l.a * v.x + l.b * v.y > l.c + 1e-7)),
+turn AS (SELECT *, lead(x, 1, first_x) OVER o AS nx, lead(y, 1, first_y) OVER o AS ny FROM (SELECT *, first_value(x) OVER w AS first_x, first_value(y) OVER w AS first_y FROM kept WINDOW w AS (PARTITION BY id ORDER BY atan2(y - py, x - px), x, y))
+  WINDOW o AS (PARTITION BY id ORDER BY atan2(y - py, x - px), x, y))
+SELECT id, round(sum(x * ny - nx * y) / 2, 3) AS area FROM turn GROUP BY id""")
 def q48_voronoi_area(spark: SparkSession, d: str) -> DataFrame:
+    """The area of each cell; the SQL tries all corners of all pairs of bisectors."""
     cells = tessellate.voronoi(views.pois(spark, d), [(0, 0), (64, 0), (64, 64), (0, 64), (0, 0)], "id")
-    return cells.agg(F.round(F.sum("area"), 3).alias("total_area"), F.count("*").alias("n_cells"))
+    return cells.select("id", F.round("area", 3).alias("area"))
 
 
 @query(f"{with_views('areas')} SELECT area_id, (least(x0 + 12, 30) - greatest(x0, 5)) * (least(y0 + 12, 50) - greatest(y0, 10)) AS area FROM areas WHERE least(x0 + 12, 30) > greatest(x0, 5) AND least(y0 + 12, 50) > greatest(y0, 10)")
@@ -222,7 +238,11 @@ def q49_clip_polygons(spark: SparkSession, d: str) -> DataFrame:
     return tessellate.clip_polygons(views.areas(spark, d), "area_id", [(5, 10), (30, 10), (30, 50), (5, 50)]).select("area_id", "area")
 
 
-@query()
+@query(f"""{with_views('points')}, p AS (SELECT DISTINCT weight, x, y FROM points),
+side AS (SELECT a.weight, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM p a JOIN p b ON a.weight = b.weight AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (
+  SELECT 1 FROM p c WHERE c.weight = a.weight AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+    AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))))
+SELECT g.weight, s.area FROM (SELECT DISTINCT weight FROM points) g LEFT JOIN (SELECT weight, round(sum(ax * oy - ox * ay) / 2, 6) AS area FROM side GROUP BY weight HAVING sum(ax * oy - ox * ay) > 0) s ON s.weight = g.weight""")
 def q50_hulls(spark: SparkSession, d: str) -> DataFrame:
     hulls = tessellate.hulls(views.points(spark, d), "weight")
     return hulls.select("weight", F.round(geom.polygon_area(F.col("geometry")), 6).alias("area"))
@@ -233,3 +253,37 @@ def q51_polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     shape = F.col("geometry")
     box = geom.bounds(shape)
     return views.areas(spark, d).select("area_id", geom.polygon_area(shape).alias("area"), geom.line_length(shape[0]).alias("length"), box["minx"].alias("minx"), box["maxy"].alias("maxy"))
+
+
+_IN_ZONE = """seg AS (SELECT cve_ageb, r[i].x AS x1, r[i].y AS y1, r[i + 1].x AS x2, r[i + 1].y AS y2 FROM (SELECT cve_ageb, r, unnest(range(1, len(r))) AS i FROM (SELECT cve_ageb, unnest(geometry) AS r FROM zones))),
+place AS (SELECT osmid, min(x) AS x, min(y) AS y FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND NOT (x = 0 AND y = 0) GROUP BY osmid),
+hit AS (SELECT p.osmid, b.cve_ageb FROM place p JOIN (SELECT cve_ageb, min(x1) AS x0, max(x1) AS xm, min(y1) AS y0, max(y1) AS ym FROM seg GROUP BY 1) b ON p.x BETWEEN x0 AND xm AND p.y BETWEEN y0 AND ym),
+held AS (SELECT h.osmid, h.cve_ageb FROM hit h JOIN place p USING (osmid) JOIN seg s USING (cve_ageb) GROUP BY 1, 2
+  HAVING count(*) FILTER (WHERE (y1 > p.y) <> (y2 > p.y) AND ((x2 - x1) * (p.y - y1) - (y2 - y1) * (p.x - x1) > 0) = (y2 > y1)) % 2 = 1)"""
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """One row per street junction with a possible place."""
+    nodes = table(spark, d, "nodes").where(F.col("x").between(-180, 180) & F.col("y").between(-90, 90) & ~((F.col("x") == 0) & (F.col("y") == 0)))
+    return nodes.groupBy("osmid").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+
+
+@query(f"WITH {_IN_ZONE} SELECT h.cve_ageb, count(*) AS points_count FROM place p LEFT JOIN held h USING (osmid) GROUP BY h.cve_ageb")
+def q60_junctions_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions per zone of the census, those of no zone under null."""
+    return aggregate.count_points(_placed(spark, d), table(spark, d, "zones").select("cve_ageb", "geometry"), "cve_ageb")
+
+
+@query(f"WITH {_IN_ZONE} SELECT z.cve_ageb, round(coalesce(avg(street_count), 0), 6) AS street_count FROM zones z LEFT JOIN held h USING (cve_ageb) LEFT JOIN (SELECT osmid, max(street_count) AS street_count FROM nodes GROUP BY osmid) n USING (osmid) GROUP BY z.cve_ageb")
+def q61_streets_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Mean number of streets at the junctions of each zone."""
+    streets = table(spark, d, "nodes").groupBy("osmid").agg(F.max("street_count").cast("double").alias("street_count"))
+    points = _placed(spark, d).join(streets, "osmid")
+    out = aggregate.group_points_by_bins(points, table(spark, d, "zones").select("cve_ageb", "geometry"), "cve_ageb", "street_count", predicate="intersects")
+    return out.select("cve_ageb", F.round("street_count", 6).alias("street_count"))
+
+
+@query(f"""WITH {_IN_ZONE} SELECT osmid, round(6378137 * radians(x), 4) AS x, round(6378137 * ln(tan(pi() / 4 + radians(y) / 2)), 4) AS y FROM place WHERE abs(y) <= 85""")
+def q62_mercator(spark: SparkSession, d: str) -> DataFrame:
+    x, y = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    return _placed(spark, d).where(F.abs("y") <= 85).select("osmid", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))

@@ -65,11 +65,12 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    """One row per user and day of January 2024, without a value on days without events of the first kind."""
-    events = table(spark, d, "events")
+    """One row per user, kind of event and day of January 2024, without a value on days without such events."""
+    feature = F.concat_ws(":", "user_id", "event_type").alias("feature")
+    events = table(spark, d, "events").select(feature, F.to_date("ts").alias("day"), "value")
     days = F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30')")).alias("day")
-    known = events.where(F.col("event_id") % 3 == 0).groupBy(F.col("user_id").alias("feature"), F.to_date("ts").alias("day")).agg(F.max("value").alias("value"))
-    return events.select(F.col("user_id").alias("feature")).distinct().select("feature", days).join(known, ["feature", "day"], "left")
+    known = events.groupBy("feature", "day").agg(F.max("value").alias("value"))
+    return events.select("feature").distinct().select("feature", days).join(known, ["feature", "day"], "left")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +89,8 @@ SQL = {
     "seeds": "SELECT s_suppkey AS seed_pos, (s_suppkey * 37 + 11) % (SELECT count(*) FROM part) AS osmid FROM supplier",
     "items": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, o_orderdate AS datetime, '31T' || (o_custkey % 5) AS tile, CAST(floor(o_totalprice % 100) AS DOUBLE) AS cloud FROM orders",
     "panel": "SELECT l_suppkey AS feature, year(l_shipdate) AS year, month(l_shipdate) AS month, avg(l_discount) AS value FROM lineitem GROUP BY ALL",
-    "daily": """SELECT f.feature, d.day, k.value FROM (SELECT DISTINCT user_id AS feature FROM events) f CROSS JOIN (SELECT CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(30) AS r(i)) d
-      LEFT JOIN (SELECT user_id AS feature, CAST(ts AS DATE) AS day, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL) k ON k.feature = f.feature AND k.day = d.day""",
+    "daily": """SELECT f.feature, d.day, k.value FROM (SELECT DISTINCT user_id || ':' || event_type AS feature FROM events) f CROSS JOIN (SELECT CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(30) AS r(i)) d
+      LEFT JOIN (SELECT user_id || ':' || event_type AS feature, CAST(ts AS DATE) AS day, max(value) AS value FROM events GROUP BY ALL) k ON k.feature = f.feature AND k.day = d.day""",
     "pixels": f"SELECT p_partkey // {LATTICE} AS row, p_partkey % {LATTICE} AS col, p_retailprice AS nir, CAST(p_size AS DOUBLE) AS red FROM part",
 }
 
