@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citygrain.functions import geom
-from citygrain.operators.proximity import EARTH_M, RTree, haversine_m
+from citygrain.operators.proximity import EARTH_M, NODE, haversine_m, str_order
 from citygrain.operators.skew import SALTS, hot_keys
 from citygrain.session import durable
 
@@ -74,11 +75,15 @@ def spatial_join(points: DataFrame, polygons: DataFrame, polygon_id: str, predic
     return left.join(right, match, how).select(*[F.col(f"p.{c}") for c in points.columns], F.col(f"s.{polygon_id}"))
 
 
-def nearest_polygon(points: DataFrame, point_id: str, polygons: DataFrame, polygon_id: str, x: str = "x", y: str = "y", geometry: str = "geometry", cell: float | None = None) -> DataFrame:
+def nearest_polygon(points: DataFrame, point_id: str, polygons: DataFrame, polygon_id: str, x: str = "x", y: str = "y", geometry: str = "geometry", cell: float | None = None, most_corners: int = MOST_CORNERS) -> DataFrame:
     """(point_id, polygon_id, boundary_distance): the polygon whose boundary is nearest, ties to the smallest id.
 
-    Rings of grid cells of doubling size are searched until a point has a boundary no farther than a cell.
+    Polygons of at most ``most_corners`` corners are sent to every task as a tree of their edges, and nothing is shuffled.
+    More are searched by rings of grid cells of doubling size until a point has a boundary no farther than a cell.
     """
+    corners = polygons.where(F.size(geometry) > 0).agg(F.sum(F.aggregate(geometry, F.lit(0), lambda n, r: n + F.size(r)))).first()[0] or 0
+    if cell is None and 0 < corners <= most_corners:
+        return _nearest_by_tree(points, point_id, polygons, polygon_id, x, y, geometry)
     shapes = polygons.where(F.size(geometry) > 0).select(polygon_id, F.col(geometry).alias("_shape"))
     shapes = shapes.withColumns({f"_{k}": v for k, v in geom.bounds(F.col("_shape")).items()})
     world = shapes.agg(F.min("_minx"), F.min("_miny"), F.max("_maxx"), F.max("_maxy"), F.avg(F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")))).first()
@@ -107,48 +112,120 @@ def nearest_polygon(points: DataFrame, point_id: str, polygons: DataFrame, polyg
         size *= 4
 
 
+def _nearest_by_tree(points: DataFrame, point_id: str, polygons: DataFrame, polygon_id: str, x: str, y: str, geometry: str) -> DataFrame:
+    segments = F.explode(F.flatten(F.transform(geometry, geom._segments))).alias("s")
+    table = polygons.where(F.size(geometry) > 0).select(F.col(polygon_id).alias("id"), segments).select("id", *[F.col(f"s.{e}.{c}").cast("double").alias(f"{e}{c}") for e in "ab" for c in "xy"]).where("id is not null").toArrow()
+    ids = pa.concat_arrays(table.column("id").chunks).dictionary_encode() if table.num_rows else pa.array([], table.schema.field("id").type).dictionary_encode()
+    names = ids.dictionary
+    rank = np.empty(len(names), np.int64)
+    rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+    edges = np.column_stack([table.column(f"{e}{c}").to_numpy() for e in "ab" for c in "xy"]) if table.num_rows else np.empty((0, 4))
+    shared = points.sparkSession.sparkContext.broadcast((rank[ids.indices.to_numpy()], edges, names.take(pc.sort_indices(names))))
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (point_id,)} | {polygon_id: polygons.schema[polygon_id].dataType.simpleString()}
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, edges, names = shared.value
+        index = BoundaryIndex(owner, edges)
+        for batch in batches:
+            who, far = index.query(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(who)), pa.array(far)], names=[point_id, polygon_id, "boundary_distance"])
+
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return placed.mapInArrow(kernel, f"`{point_id}` {kinds[point_id]}, `{polygon_id}` {kinds[polygon_id]}, boundary_distance double")
+
+
+class BoxTree:
+    """Boxes of two or three dimensions in a packed tree, searched for what may be nearest to many points at once.
+
+    A branch is left once something else is surely nearer, so far points meet few boxes too.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.order = str_order(x, y)
+        self.levels = [(low[self.order], high[self.order])]
+        while len(self.levels[-1][0]) > 1:
+            below_low, below_high = self.levels[-1]
+            cut = np.arange(0, len(below_low), NODE)
+            self.levels.append((np.minimum.reduceat(below_low, cut), np.maximum.reduceat(below_high, cut)))
+
+    def candidates(self, p: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """(index of point, index of box) of all boxes that can be nearest, distances known up to ``slack`` of themselves."""
+        who, node, bound = np.arange(len(p)), np.zeros(len(p), np.int64), np.full(len(p), np.inf)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            low, high = self.levels[depth]
+            if depth < len(self.levels) - 1:
+                first = node * NODE
+                many = np.minimum(first + NODE, len(low)) - first
+                who = np.repeat(who, many)
+                node = np.repeat(first, many) + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+            below, above = p[who] - low[node], p[who] - high[node]
+            near = np.sqrt((np.maximum(np.maximum(-below, above), 0.0) ** 2).sum(1))
+            far = np.sqrt((np.maximum(np.abs(below), np.abs(above)) ** 2).sum(1))
+            np.minimum.at(bound, who, far)
+            keep = near <= bound[who] * (1 + slack) + 1e-15
+            who, node = who[keep], node[keep]
+        return who, self.order[node]
+
+
 class NearestIndex:
-    """Nearest target in the plane or on the sphere, over an R-tree probed with growing boxes."""
+    """Nearest target in the plane, or on the sphere by the directions from its centre; of targets in one place the smallest id."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, sphere: bool):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.y, self.sphere = ids[order], x[order], y[order], sphere
-        self.owner = np.arange(len(ids))
-        px, py = self.x, self.y
-        if sphere:
-            self.owner = np.tile(self.owner, 3)
-            px, py = np.concatenate([px, px - 360, px + 360]), np.tile(py, 3)
-        self.tree = RTree(np.column_stack([px, py, px, py]))
-        spread = max(np.ptp(self.x), np.ptp(self.y), 1e-9) if len(ids) else 1.0
-        self.first = spread / max(1.0, np.sqrt(len(ids)))
+        order = np.lexsort((ids, y, x))
+        ids, x, y = ids[order], x[order], y[order]
+        first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.empty(0, bool)
+        self.ids, self.x, self.y, self.sphere = ids[first], x[first], y[first], sphere
+        at = self._at(self.x, self.y)
+        self.tree = BoxTree(self.x, self.y, at, at)
+
+    def _at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if not self.sphere:
+            return np.column_stack([x, y])
+        a, b = np.radians(x), np.radians(y)
+        return np.column_stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)])
 
     def query(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(target id, distance) per point; equal distances go to the smallest id."""
-        best, which = np.full(len(x), np.inf), np.full(len(x), len(self.ids))
-        todo, reach = np.arange(len(x)), self.first
-        while len(todo):
-            wide = np.full(len(todo), reach)
-            if self.sphere:
-                edge = np.minimum(np.abs(y[todo]) + reach, 89.999999)
-                wide = np.where(np.abs(y[todo]) + reach < 89.9, reach / np.cos(np.radians(edge)), 360.0)
-            box = np.column_stack([x[todo] - wide, y[todo] - reach, x[todo] + wide, y[todo] + reach])
-            for lo in range(0, len(todo), 4096):
-                p, t = self.tree.probe(box[lo : lo + 4096])
-                p, t = todo[lo + p], self.owner[t]
-                if self.sphere:
-                    d = haversine_m(x[p], y[p], self.x[t], self.y[t])
-                else:
-                    d = np.sqrt((x[p] - self.x[t]) ** 2 + (y[p] - self.y[t]) ** 2)
-                order = np.lexsort((t, d, p))
-                p, t, d = p[order], t[order], d[order]
-                head = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.empty(0, bool)
-                best[p[head]], which[p[head]] = d[head], t[head]
-            sure = reach if not self.sphere else np.radians(reach) * EARTH_M
-            todo = todo[best[todo] > sure] if reach < 720 or not self.sphere else todo[:0]
-            if not self.sphere and reach > 1e300:
-                break
-            reach *= 2
-        return self.ids[np.minimum(which, len(self.ids) - 1)], best
+        best, which = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), 4096):
+            p, t = self.tree.candidates(self._at(x[lo : lo + 4096], y[lo : lo + 4096]), 1e-8)
+            p = p + lo
+            d = haversine_m(x[p], y[p], self.x[t], self.y[t]) if self.sphere else np.sqrt((x[p] - self.x[t]) ** 2 + (y[p] - self.y[t]) ** 2)
+            order = np.lexsort((self.ids[t], d, p))
+            p, t, d = p[order], t[order], d[order]
+            head = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.empty(0, bool)
+            best[p[head]], which[p[head]] = d[head], self.ids[t[head]]
+        return which, best
+
+
+class BoundaryIndex:
+    """The polygon whose boundary is nearest, over its edges; of equal edges that of the smallest polygon."""
+
+    def __init__(self, owner: np.ndarray, edges: np.ndarray):
+        order = np.lexsort((owner, *edges.T[::-1]))
+        owner, edges = owner[order], edges[order]
+        first = np.concatenate([[True], (edges[1:] != edges[:-1]).any(1)]) if len(edges) else np.empty(0, bool)
+        self.owner, self.edges = owner[first], edges[first]
+        a, b = self.edges[:, :2], self.edges[:, 2:]
+        self.tree = BoxTree(*((a + b) / 2).T, np.minimum(a, b), np.maximum(a, b))
+
+    def query(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, distance) per point; equal distances go to the smallest owner."""
+        best, which = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        at = np.column_stack([x, y])
+        for lo in range(0, len(x), 1024):
+            p, e = self.tree.candidates(at[lo : lo + 1024], 1e-12)
+            p = p + lo
+            ax, ay, bx, by = self.edges[e].T
+            dx, dy = bx - ax, by - ay
+            square = dx * dx + dy * dy
+            t = np.clip(np.divide((x[p] - ax) * dx + (y[p] - ay) * dy, square, out=np.zeros(len(p)), where=square > 0), 0, 1)
+            d = np.sqrt((x[p] - (ax + t * dx)) ** 2 + (y[p] - (ay + t * dy)) ** 2)
+            order = np.lexsort((self.owner[e], d, p))
+            p, e, d = p[order], e[order], d[order]
+            head = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.empty(0, bool)
+            best[p[head]], which[p[head]] = d[head], self.owner[e[head]]
+        return which, best
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, projected: bool, return_distance: bool = False, x: str = "x", y: str = "y", node_id: str = "osmid", most_broadcast: int = MOST_BROADCAST) -> DataFrame:

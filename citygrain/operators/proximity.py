@@ -26,18 +26,20 @@ NODE = 16
 LARGE_POLYGON = 64
 
 
+def str_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The order of sort-tile-recursive packing: strips by x, within them by y."""
+    n = len(x)
+    slab = max(1, int(np.ceil(np.sqrt(-(-n // NODE))))) * NODE
+    strip = np.empty(n, np.int64)
+    strip[np.argsort(x, kind="stable")] = np.arange(n) // slab
+    return np.lexsort((y, strip))
+
+
 class RTree:
     """Static R-tree over boxes, packed by sort-tile-recursive bulk loading and probed for many boxes at once."""
 
     def __init__(self, boxes: np.ndarray):
-        n = len(boxes)
-        x, y = boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3]
-        leaves = -(-n // NODE)
-        slab = max(1, int(np.ceil(np.sqrt(leaves)))) * NODE
-        by_x = np.argsort(x, kind="stable")
-        strip = np.empty(n, np.int64)
-        strip[by_x] = np.arange(n) // max(slab, 1)
-        self.order = np.lexsort((y, strip))
+        self.order = str_order(boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3])
         self.levels = [boxes[self.order]]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]

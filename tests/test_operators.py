@@ -102,6 +102,37 @@ def test_spatial_join_of_mixed_sizes(spark, how):
     assert joins.spatial_join(pts, polygons.limit(0), "shape", how=how).count() == (len(xy) if how == "left" else 0)
 
 
+@pytest.mark.parametrize("sphere", [True, False])
+def test_nearest_index_of_far_points_and_copies(sphere):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(-180, 180, 300), np.full(40_000, 12.0), [180.0, -180.0, 0.0, 0.0]])
+    y = np.concatenate([rng.uniform(-90, 90, 300), np.full(40_000, 45.0), [10.0, 10.0, 90.0, -90.0]])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    px, py = np.concatenate([rng.uniform(-180, 180, 4500), [12.0, 179.999, -179.999, 50.0]]), np.concatenate([rng.uniform(-90, 90, 4500), [45.0, 10.0, 10.0, 89.9999]])
+    who, far = joins.NearestIndex(ids, x, y, sphere).query(px, py)
+    small = np.concatenate([np.arange(300), [300 + int(ids[300:40_300].argmin())], np.arange(40_300, 40_304)])
+    d = joins.haversine_m(px[:, None], py[:, None], x[small], y[small]) if sphere else np.hypot(px[:, None] - x[small], py[:, None] - y[small])
+    assert np.allclose(far, d.min(1), rtol=1e-12, atol=1e-6) and (np.take_along_axis(d, np.array([np.flatnonzero(ids[small] == w)[0] for w in who])[:, None], 1)[:, 0] <= d.min(1) * (1 + 1e-12) + 1e-6).all()
+    assert who[4500] == ids[300:40_300].min()
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_nearest_polygon_of_far_points(spark, most):
+    rng = np.random.default_rng(3)
+    corners = [(f"z{k:02}", *map(float, rng.uniform(0, 50, 2)), float(rng.uniform(0.5, 4))) for k in range(40)] + [("a", 7.0, 7.0, 2.0), ("b", 7.0, 7.0, 2.0)]
+    polygons = spark.createDataFrame([(z, box(a, b, a + s, b + s)) for z, a, b, s in corners] + [("n", None)], f"zone string, geometry {SHAPE}")
+    xy = np.concatenate([rng.uniform(-10, 60, (150, 2)), rng.uniform(-5000, 5000, (20, 2)), [[8.0, 8.0]]])
+    table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(900, None, 0.0)], "id long, x double, y double")
+    got = {r.id: (r.zone, r.boundary_distance) for r in joins.nearest_polygon(table, "id", polygons, "zone", most_corners=most).collect()}
+
+    def distance(p, a, b, s):
+        dx, dy = max(a - p[0], 0, p[0] - a - s), max(b - p[1], 0, p[1] - b - s)
+        return math.hypot(dx, dy) if dx or dy else min(p[0] - a, a + s - p[0], p[1] - b, b + s - p[1])
+
+    want = {i: min((distance(p, a, b, s), z) for z, a, b, s in corners) for i, p in enumerate(xy)}
+    assert {i: z for i, (z, _) in got.items()} == {i: z for i, (_, z) in want.items()} and all(got[i][1] == pytest.approx(d) for i, (d, _) in want.items())
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spatial_join_of_a_hot_cell(spark, monkeypatch, how):
     rng = np.random.default_rng(8)
