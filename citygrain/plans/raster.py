@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from citygrain.functions import geom
 from citygrain.operators import raster
 from citygrain.plans import views
 from citygrain.plans.views import with_views
+from citygrain.session import shared_folder
+from citygrain.sources import files
 from citygrain.sources.tables import table
 from citygrain.streaming import events as streams
 
@@ -188,6 +193,42 @@ def q53_nodata_fill(spark: SparkSession, d: str) -> DataFrame:
     return raster.fill_nodata(raster.clean_pixels(holes), ["scene"]).withColumn("value", F.round("value", 3))
 
 
+_JOB = f"""{_MATRIX}, last AS (SELECT date, tile, max(id) AS id FROM items WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' GROUP BY date, tile),
+m AS (SELECT x.date, x.tile, x.cloud, last.id, year(x.date) AS year, month(x.date) AS month FROM matrix x JOIN last ON last.date = x.date AND last.tile = x.tile),
+mean AS (SELECT date, year, month, avg(cloud) AS mean, count(cloud) AS n FROM m GROUP BY ALL), tiles AS (SELECT count(DISTINCT tile) AS t FROM m),
+best AS (SELECT year, month, arg_min(date, (mean, date)) AS date FROM mean, tiles WHERE n = t GROUP BY ALL),
+pick AS (SELECT m.year, m.month, m.tile, m.id FROM m JOIN best b ON b.date = m.date UNION ALL
+  SELECT year, month, tile, arg_min(id, (cloud, mean, date)) FROM (SELECT m.*, mean.mean FROM m JOIN mean USING (date)) WHERE cloud IS NOT NULL AND (year, month) NOT IN (SELECT (year, month) FROM best) GROUP BY ALL),
+ok AS (SELECT year, month FROM pick, tiles GROUP BY ALL HAVING count(DISTINCT tile) = max(t)),
+pixel AS (SELECT p.year, p.month, r AS row, CAST(right(tile, 1) AS INTEGER) * 2 + c AS col, CAST(CAST(100 + id % 89 + r - (1 + id % 41 + c) AS DOUBLE) / (100 + id % 89 + r + (1 + id % 41 + c)) AS FLOAT) AS value
+  FROM pick p SEMI JOIN ok ON ok.year = p.year AND ok.month = p.month, range(2) AS a(r), range(2) AS b(c)),
+months AS (SELECT year(CAST(m AS DATE)) AS year, month(CAST(m AS DATE)) AS month FROM range(TIMESTAMP '1993-01-01', TIMESTAMP '1998-01-01', INTERVAL 1 MONTH) AS r(m)),
+every AS (SELECT g.year, g.month, c.row, c.col, CAST(p.value AS DOUBLE) AS value, row_number() OVER (PARTITION BY c.row, c.col ORDER BY g.year, g.month) AS i FROM months g, (SELECT DISTINCT row, col FROM pixel) c
+  LEFT JOIN pixel p ON p.year = g.year AND p.month = g.month AND p.row = c.row AND p.col = c.col),
+w AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, last_value(value IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni, first_value(value IGNORE NULLS) OVER a AS nv FROM every
+  WINDOW b AS (PARTITION BY row, col ORDER BY year, month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY row, col ORDER BY year, month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT year, month, row, col, coalesce(value, CASE WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END) AS value FROM w)"""
+
+
+@query(f"{_JOB} SELECT year, month, col // 5 AS zone_id, round(avg(value), 4) AS value FROM filled GROUP BY ALL")
+def q58_raster_job(spark: SparkSession, d: str) -> DataFrame:
+    """From a catalogue and scenes to the monthly panel of two zones: dates, fallback, null test, files, gap filling, zonal means."""
+    items = views.items(spark, d)
+    tile = F.col("properties")["s2:mgrs_tile"]
+    last = items.groupBy(F.to_date("datetime").alias("date"), tile.alias("tile")).agg(F.max("id").alias("id"))
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])).alias("p")
+    nir, red = 100 + F.col("id") % 89 + F.col("p.r"), 1 + F.col("id") % 41 + F.col("p.c")
+    bands = F.explode(F.array(F.struct(F.lit("nir").alias("band"), nir.cast("double").alias("value")), F.struct(F.lit("red").alias("band"), red.cast("double").alias("value")))).alias("b")
+    col = (F.substring("tile", -1, 1).cast("int") * 2 + F.col("p.c")).alias("col")
+    scenes = last.select("date", "tile", "id", cells).select("date", "tile", F.col("p.r").alias("row"), col, bands).select("date", "tile", "b.band", "row", "col", "b.value")
+    job = raster.RasterJob("area", "index", date(1993, 1, 1), date(1997, 12, 31), ["nir", "red"], "(nir-red)/(nir+red)", max_cloud=60.0, missing_percent=101.0, missing_in_row=1000, retries=1)
+    zones = spark.range(2).select(F.col("id").alias("zone_id"), geom.rectangle(F.col("id") * 5 + 0.25, F.lit(-1.75), F.col("id") * 5 + 4.75, F.lit(-0.25)).alias("geometry"))
+    affine, folder = (0.0, 1.0, 0.0, 1.0), f"{shared_folder(spark)}/raster-{uuid.uuid4().hex}"
+    months = raster.run_job(job, items, scenes, zones, affine, folder)
+    panel = raster.zonal_mean(files.read_pixels(spark, f"{folder}/pixels"), zones, "zone_id", affine, ["year", "month"], months=months)
+    return panel.select("year", "month", "zone_id", F.round("value", 4).alias("value"))
+
+
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS starts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def q54_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.windowed_counts(table(spark, d, "events"), "6 hours").withColumn("total", F.round("total", 4))

@@ -30,6 +30,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set if it was not."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citygrain-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 
@@ -37,12 +48,7 @@ def durable(df: DataFrame) -> DataFrame:
     ``local`` or ``local-cluster``) a temporary folder is used if none is set; elsewhere a missing folder raises RuntimeError,
     as the executors could not read each other's files. The files outlive lost executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citygrain-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
