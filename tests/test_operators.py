@@ -434,6 +434,50 @@ def test_searches_on_dirty_edges(spark, most):
     assert counts == {k: sum(o == k for _, o in near) for _, k in near}
 
 
+@pytest.mark.parametrize("name", ["q57_proximity_by_hexagon"])
+def test_no_graph_passes_the_driver(spark, monkeypatch, name):
+    """Edges are neither gathered by the driver nor sent by it."""
+    import __spark_entry__ as entry
+
+    frame, context = type(spark.range(1)), type(spark.sparkContext)
+    gather, send = frame.toPandas, context.broadcast
+
+    def gathered(df):
+        assert not {"u", "v", "w"} & set(df.columns)
+        return gather(df)
+
+    def sent(sc, value):
+        assert not any(isinstance(x, network.Graph) for x in (value if isinstance(value, tuple) else (value,)))
+        return send(sc, value)
+
+    monkeypatch.setattr(frame, "toPandas", gathered)
+    monkeypatch.setattr(context, "broadcast", sent)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_rings_on_a_long_strip_begin_with_small_cells():
+    assert joins._ring_size(39.0, 29999.0, 1_200_000) < 4
+    assert joins._ring_size(0.0, 30000.0, 1_200_000) < 1 and joins._ring_size(0.0, 0.0, 1) > 0
+
+
+@pytest.mark.parametrize("few", [0, 32, 10**9])
+def test_spread_finds_as_search_does(monkeypatch, few):
+    monkeypatch.setattr(network, "FEW", few)
+    monkeypatch.setattr(network, "MANY", max(few, 40))
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 0), (1, 0), (60, 90), (3000, 5000)):
+        ids = np.arange(n) * 3 + 7
+        ends = rng.choice(ids, (m, 2)) if n else np.empty((0, 2), np.int64)
+        chain = np.column_stack([ids[:-1], ids[1:]])[: n // 3]
+        u, v = np.concatenate([ends, chain]).T
+        graph = network.Graph.of(ids, u, v, rng.choice([0.0, 0.5, 1.0, 1.5, math.inf, math.nan], len(u)))
+        at, seed = rng.integers(0, n, min(n, 25)) if n else np.empty(0, np.int64), rng.permutation(min(n, 25)) - 5
+        for limit in (None, 2.0):
+            want = network.search(graph.lists, list(zip([0.0] * len(at), seed.tolist(), at.tolist(), strict=True)), limit)
+            got = network.spread(graph, at, seed, limit)
+            assert {k: (d, s) for k, d, s in zip(*(x.tolist() for x in got), strict=True)} == want
+
+
 def test_time_to_pois(spark):
     nodes, edges, plain = lattice(spark)
     pois = spark.createDataFrame([("p", 3.2, 0.1, "g1"), ("q", 5.0, 5.1, "g1"), ("r", 5.0, 4.9, "g2")], "poi_id string, x double, y double, goi string")
