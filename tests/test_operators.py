@@ -434,7 +434,7 @@ def test_searches_on_dirty_edges(spark, most):
     assert counts == {k: sum(o == k for _, o in near) for _, k in near}
 
 
-@pytest.mark.parametrize("name", ["q57_proximity_by_hexagon", "q64_hubs_within_reach", "q21_network_time", "q24_multi_geometry"])
+@pytest.mark.parametrize("name", ["q57_proximity_by_hexagon", "q64_hubs_within_reach", "q21_network_time", "q24_multi_geometry", "q63_streets_to_hubs"])
 def test_no_graph_passes_the_driver(spark, monkeypatch, name):
     """Edges are neither gathered by the driver nor sent by it."""
     import __spark_entry__ as entry
