@@ -461,6 +461,26 @@ def test_large_graph_of_many_parts_is_searched_in_pieces(spark, monkeypatch, siz
         network.multi_source(ids, shifted.withColumn("length", -F.col("length")), seeds, "length", most_edges=len(plain)).count()
 
 
+@pytest.mark.parametrize(("name", "operator"), [("q63_streets_to_hubs", "multi_source"), ("q64_hubs_within_reach", "counts_within")])
+def test_hubs_over_streets_in_pieces(spark, monkeypatch, name, operator):
+    """As by SQL, also where the streets are above the limit, without rounds of joins."""
+    from functools import partial
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("nodes", "edges"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    monkeypatch.setattr(network, operator, partial(getattr(network, operator), most_edges=100))
+    monkeypatch.setattr(network, "PIECE_SIZE", 200)
+    monkeypatch.setattr(network, "relax", None)
+    got = sorted(tuple(r) for r in entry.queries()[name](spark, data).collect())
+    assert got == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["q57_proximity_by_hexagon", "q64_hubs_within_reach", "q21_network_time", "q24_multi_geometry", "q63_streets_to_hubs"])
 def test_no_graph_passes_the_driver(spark, monkeypatch, name):
     """Edges are neither gathered by the driver nor sent by it."""
