@@ -481,6 +481,20 @@ def test_hubs_over_streets_in_pieces(spark, monkeypatch, name, operator):
     assert got == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
 
 
+@pytest.mark.parametrize("most_edges", [500, 10**6])
+def test_connected_parts_stay_whole(spark, monkeypatch, most_edges):
+    """Ways through nodes in any order: as one part each they give one row a node, in pieces and in one."""
+    monkeypatch.setattr(network, "PIECE_SIZE", 150)
+    monkeypatch.setattr(network, "relax", None)
+    way = np.random.default_rng(1).permutation(400)
+    ids = [int(n) + k for k in (0, 1000) for n in way]
+    edges = spark.createDataFrame([(ids[i], ids[i + 1], 1.0) for i in range(799) if i != 399], "u long, v long, length double")
+    seeds = spark.createDataFrame([(i, ids[i]) for i in range(0, 800, 40)], "seed_pos long, osmid long")
+    got = network.multi_source(spark.createDataFrame([(n,) for n in ids], "osmid long"), edges, seeds, "length", most_edges=most_edges).collect()
+    want = [(n, float(min(i % 40, 40 - i % 40 if i % 400 < 360 else 40))) for i, n in enumerate(ids)]
+    assert sorted((r.osmid, r.dist) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["q57_proximity_by_hexagon", "q64_hubs_within_reach", "q21_network_time", "q24_multi_geometry", "q63_streets_to_hubs"])
 def test_no_graph_passes_the_driver(spark, monkeypatch, name):
     """Edges are neither gathered by the driver nor sent by it."""
